@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from .near import near_groups, near_pairs
+from .origin import file_origins, not_handwritten
+from .secrets import redacted, secret_lines
 from .spans import shared_share, span_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +46,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p5_shared")
 def p5_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(table(spark, folder, "chunks"), "chunk_id", "file_id", "text")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_lines(table(spark, folder, "source_files"))
+
+
+@query("p4_redacted")
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redacted(table(spark, folder, "source_files"), table(spark, folder, "chunks"), "chunk_id", "text")
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return not_handwritten(table(spark, folder, "source_files"))
+
+
+@query("p6_origins")
+def p6_origins(spark: SparkSession, folder: str) -> DataFrame:
+    return file_origins(table(spark, folder, "source_files"))
