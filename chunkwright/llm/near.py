@@ -7,8 +7,9 @@ No pair of different records at or over the threshold is lost:
 
 * Records with the same set form a class; one record stands for it.
 * Blocks: with runs ordered from rare to frequent (by a merged count-min sketch, ties by hash), two sets with
-  similarity t or more must share a run among the first ``n - ceil(t * n) + 1`` of each. That many runs of every
-  class are its block keys. The order only has to be the same everywhere, so the sketch may be of a fixed size.
+  similarity t or more must share a run among the first ``n - ceil(t * n) + 1`` of each. Those of them that the
+  sketch doesn't prove to be of one record only are the block keys of a class. The order only has to be the same
+  everywhere and estimates are never too low, so the sketch may be of a fixed size.
 * Tiles: within a block the classes are compared by numpy exclusive-or and bit counts of parity sketches (bit
   ``h mod BITS`` flips with each run), whose distance never exceeds the symmetric difference of the sets. At
   similarity t or more that difference is at most ``(1 - t) / (1 + t) * (|A| + |B|)``, the radius. Rows are sorted by set
@@ -35,7 +36,7 @@ from .kernels import CountMin, U, mixed, powers, prefix_hash, sketch_of, slabs,
 SHINGLE = 3
 LEAST = 20
 THRESHOLD = 0.6
-SKETCH_BITS = 20
+SKETCH_BITS = 24
 BITS = 512
 TILE = 4096
 SMALL = 24
@@ -102,7 +103,7 @@ def parity_sketch(flat: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
 
 
 def block_keys(rows: DataFrame, size: int, least: int, threshold: float, sketch: CountMin) -> DataFrame:
-    """key, c1, c2, n, sketch BINARY, hashes: of each row its class, size, parity sketch and block keys."""
+    """key, cls, n, sketch BINARY, hashes: of each row its class (a hash of the set), size, parity sketch and block keys."""
     held, bits, depth = rows.sparkSession.sparkContext.broadcast(sketch.cells), sketch.bits, sketch.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,19 +116,19 @@ def block_keys(rows: DataFrame, size: int, least: int, threshold: float, sketch:
             at = np.r_[0, np.cumsum(n)]
             if not len(n):
                 continue
-            doc = np.repeat(np.arange(len(n)), n)
-            by = np.lexsort((flat, seen.estimate(flat), doc))
+            doc, met = np.repeat(np.arange(len(n)), n), seen.estimate(flat)
+            by = np.lexsort((flat, met, doc))
             first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             place = np.arange(len(flat)) - np.repeat(at[:-1], n)
-            keys = flat[by][place < np.repeat(first, n)]
-            c1, c2 = np.add.reduceat(mixed(flat), at[:-1]), np.add.reduceat(mixed(flat ^ U(0x5851F42D4C957F2D)), at[:-1])
+            chosen = by[(place < np.repeat(first, n)) & (met[by] > 1)]
+            cls = np.add.reduceat(mixed(flat), at[:-1])
             bitmap = [r.tobytes() for r in parity_sketch(flat, at, BITS)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").filter(pa.array(keep)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bitmap, pa.binary()), _lists(keys, np.r_[0, np.cumsum(first)])],
-                ["key", "c1", "c2", "n", "sketch", "hashes"],
+                [b.column("key").filter(pa.array(keep)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bitmap, pa.binary()), _lists(flat[chosen], np.r_[0, np.cumsum(np.bincount(doc[chosen], minlength=len(n)))])],
+                ["key", "cls", "n", "sketch", "hashes"],
             )
 
-    return rows.select("key", "t").mapInArrow(run, "key BIGINT, c1 BIGINT, c2 BIGINT, n INT, sketch BINARY, hashes ARRAY<BIGINT>")
+    return rows.select("key", "t").mapInArrow(run, "key BIGINT, cls BIGINT, n INT, sketch BINARY, hashes ARRAY<BIGINT>")
 
 
 def within_radius(sk: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -212,26 +213,22 @@ def near_classes(records: DataFrame, key: str, text: str, threshold: float = THR
     rows = records.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t"))
     sketch = sketch_of(sets_of(rows, size, least), SKETCH_BITS, 1)
     keyed = written(block_keys(rows, size, least, threshold, sketch), "blocks")
-    classes = keyed.select("key", "c1", "c2")
-    reps = classes.groupBy("c1", "c2").agg(F.min("key").alias("rep"))
-    members = written(classes.join(reps, ["c1", "c2"]).select("key", "rep").distinct(), "members")
-
-    # Blocks of two classes or more; the keys come first and without sketches, as most keys are met once.
-    alone = members.filter("key = rep").select("key")
-    keys = keyed.join(alone, "key", "left_semi").select("key", F.explode("hashes").alias("h")).repartition("h").distinct()
-    counts = keys.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = keys.join(counts, "h").withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int"))
-    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    placed = shared.select("key", "h", own.alias("side"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    units = placed.select("key", F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", (F.col("side") != F.col("other")).cast("int").alias("crossed"))
-    facts = keyed.select("key", "n", "sketch").dropDuplicates(["key"])
-    tiles = units.join(facts, "key").select("unit", "side", "crossed", "key", "n", "sketch")
+    # Of each class one row stands for all; the facts about it are small and joined only where a block has two classes.
+    facts = keyed.groupBy("cls").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    members = keyed.select("key", "cls").distinct().join(facts.select("cls", "rep"), "cls").select("key", "rep")
+
+    keys = keyed.select("cls", F.explode("hashes").alias("h")).repartition("h").distinct()
+    shared = keys.join(keys.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "h").withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int"))
+    own = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    placed = shared.select("cls", "h", own.alias("side"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    units = placed.select("cls", F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", (F.col("side") != F.col("other")).cast("int").alias("crossed"))
+    tiles = units.join(facts, "cls").select("unit", "side", "crossed", F.col("rep").alias("key"), "n", "sketch")
     near = written(tiles.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare_units(threshold), "a BIGINT, b BIGINT").distinct(), "near")
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = rows.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
-    sets = written(sets_of(texts, size, least).groupBy("key").agg(F.max("hashes").alias("hashes")), "sets")
+    sets = written(sets_of(texts, size, least).dropDuplicates(["key"]), "sets")
     a, b = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
     common = near.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("n_a"), F.size("y").alias("n_b"))
     links = common.withColumn("similarity", F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).filter(F.col("similarity") >= threshold - 1e-12)
