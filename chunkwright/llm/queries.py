@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from .docpairs import function_docs
 from .near import near_groups, near_pairs
 from .origin import file_origins, not_handwritten
 from .secrets import redacted, secret_lines
@@ -66,3 +67,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p6_origins")
 def p6_origins(spark: SparkSession, folder: str) -> DataFrame:
     return file_origins(table(spark, folder, "source_files"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return function_docs(table(spark, folder, "source_files")).select("file_id", "name", "line").distinct()
+
+
+@query("p3_pairs")
+def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return function_docs(table(spark, folder, "source_files"))
