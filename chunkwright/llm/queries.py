@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from .docpairs import function_docs
+from .mixing import mixed_documents, reached_shares, short_sources
 from .near import near_groups, near_pairs
 from .origin import file_origins, not_handwritten
 from .secrets import redacted, secret_lines
 from .spans import shared_share, span_pairs
+from .splitting import oversized, split_texts
+from .tokens import encoded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +80,39 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p3_pairs")
 def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return function_docs(table(spark, folder, "source_files"))
+
+
+@query(
+    "p7_found",
+    """
+    SELECT c.chunk_id FROM chunks c LEFT JOIN chunk_limits l ON lower(trim(c.language)) = l.language CROSS JOIN (SELECT max_chars FROM chunk_limits WHERE language = 'default') d
+    WHERE length(c.text) > coalesce(l.max_chars, d.max_chars)
+    """,
+)
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return oversized(table(spark, folder, "chunks"), table(spark, folder, "chunk_limits"))
+
+
+@query("p7_pieces")
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_texts(table(spark, folder, "chunks"), table(spark, folder, "chunk_limits"))
+
+
+@query("p8_ids")
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return short_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed_documents(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return reached_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
