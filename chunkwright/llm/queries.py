@@ -14,6 +14,7 @@ from .origin import file_origins, not_handwritten
 from .secrets import redacted, secret_lines
 from .spans import shared_share, span_pairs
 from .splitting import oversized, split_texts
+from .subjects import corpus_composition, subjects_found
 from .tokens import encoded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,13 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects_found(table(spark, folder, "documents"), table(spark, folder, "subject_areas"), table(spark, folder, "subject_labels"))
+
+
+@query("p10_composition")
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_composition(table(spark, folder, "documents"), table(spark, folder, "subject_areas"), table(spark, folder, "subject_labels"))
