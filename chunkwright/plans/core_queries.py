@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.snapshots import snapshot_changes
 from ..sources.tables import table
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register the function below as query ``name``, and ``sql`` as its oracle."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 @query(
     "p1_found",
@@ -47,3 +32,6 @@ def query(name: str, sql: str | None = None):
 )
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes(table(spark, folder, "snapshot_files"))
+
+
+from . import search_queries  # noqa: E402, F401
