@@ -51,10 +51,11 @@ def words(text: Column) -> Column:
 def shingles(w: Column, n: int = 4) -> Column:
     """Hashes of the distinct runs of ``n`` of the words ``w``; fewer words are one run, none are the empty one.
 
-    ``w`` must be a column, not an expression over a text: it is read once for each run.
+    The words are zipped with themselves moved on by 1 to n - 1, so ``w`` isn't evaluated again for each run.
     """
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-    return F.array_distinct(runs)
+    moved = F.arrays_zip(*[(w if i == 0 else F.slice(w, i + 1, 2**30)).alias(f"w{i}") for i in range(n)])
+    runs = F.transform(F.slice(moved, 1, F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda z: F.xxhash64(F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)])))
+    return F.array_distinct(F.when(F.size(w) > 0, runs).otherwise(F.array(F.xxhash64(F.lit("")))))
 
 
 def base_name(path: Column) -> Column:

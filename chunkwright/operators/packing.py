@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.tables import written
 
 STOP_WORDS = {"the", "and", "for", "with", "from", "that", "this", "what", "where", "when", "how"}
 
@@ -98,7 +99,7 @@ def duplicates(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:
     candidates, filtered by size, are then confirmed on the whole sets.
     """
     sets = chunks.filter("text IS NOT NULL").select("chunk_id", T.words(F.col("text")).alias("w")).select("chunk_id", F.array_sort(T.shingles(F.col("w"))).alias("s"))
-    classes = sets.withColumn("c", F.xxhash64(F.to_json("s"), F.size("s")))
+    classes = written(sets.withColumn("c", F.xxhash64("s")), "shingles")  # the words are cut once
     reps = classes.groupBy("c").agg(F.min("chunk_id").alias("rep"), F.first("s").alias("s")).withColumn("n", F.size("s"))
     members = classes.select("chunk_id", "c").join(reps.select("c", "rep"), "c").select("chunk_id", "rep")
     each = reps.select("rep", "n", F.explode("s").alias("h"))
