@@ -78,8 +78,9 @@ def found(chunks: DataFrame, rules: list[tuple[str, str, str]], flags: str = "i"
     """
     rules = [r for r in rules if SEVERITY[r[1]] >= SEVERITY[least]]
     own = {kind: f"(?{flags}:{p})" for kind, _, p in rules}
-    # A piece is what stands between two matches together with the second; texts without a match aren't cut.
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(sev).alias("severity"), F.when(F.col("text").rlike(own[k]), F.regexp_extract_all("text", F.lit(f"(?s:.*?){own[k]}"), 0)).alias("pieces")) for k, sev, _ in rules])
+    # A piece is what stands between two matches together with the second; \G lets no search begin elsewhere, so that what
+    # follows the last match is read once. Texts without a match aren't cut.
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(sev).alias("severity"), F.when(F.col("text").rlike(own[k]), F.regexp_extract_all("text", F.lit(rf"\G(?s:.*?){own[k]}"), 0)).alias("pieces")) for k, sev, _ in rules])
     rows = chunks.filter("text IS NOT NULL").select("chunk_id", "file", "start_line", "text", F.explode(F.filter(each, lambda r: r["pieces"].isNotNull())).alias("r"))
     rows = rows.select("chunk_id", "file", "start_line", "text", "r.kind", "r.severity", F.col("r.pieces").alias("cut"))
     tail = F.lit(None).cast("string")

@@ -193,7 +193,7 @@ def matches(docs: DataFrame, pattern: str, case_sensitive: bool = False, context
     """chunk_id, file, line, snippet, n: one row for each match of ``pattern`` in a text, the n-th of its chunk."""
     p = pattern if case_sensitive else f"(?i){pattern}"
     # Each piece is what stands before a match, together with the match.
-    piece = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).*?(?:{p})"), 0)
+    piece = F.regexp_extract_all(F.col("text"), F.lit(rf"(?s)\G.*?(?:{p})"), 0)
     rows = docs.filter(F.col("text").rlike(p)).select("chunk_id", "file", "start_line", "text", F.posexplode(F.transform(piece, lambda x: F.length(x))).alias("n", "size"), piece.alias("pieces"))
     upto = F.array_join(F.slice("pieces", F.lit(1), F.col("n") + 1), "")
     hit = F.regexp_extract(F.element_at("pieces", F.col("n") + 1), f"(?s)^.*?({p})$", 1)
