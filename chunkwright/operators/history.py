@@ -38,11 +38,11 @@ def histogram(rows: DataFrame, by: str, value: str) -> DataFrame:
 
     Values are counted before they are ranked, so what is ordered is as large as the number of distinct values.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = counts.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy(by)))
-    at = lambda p: F.when(F.first("n") >= 2, F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("v")))).otherwise(F.lit(0))
-    return upto.groupBy(by).agg(F.sum("k").alias("count"), F.sum(F.col("v") * F.col("k")).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("k")) / F.sum("k"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
+    w = Window.partitionBy(by).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counts.withColumn("upto", F.sum("__k").over(w)).withColumn("n", F.sum("__k").over(Window.partitionBy(by)))
+    at = lambda p: F.when(F.first("n") >= 2, F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("__v")))).otherwise(F.lit(0))
+    return upto.groupBy(by).agg(F.sum("__k").alias("count"), F.sum(F.col("__v") * F.col("__k")).alias("sum"), F.min("__v").alias("min"), F.max("__v").alias("max"), F.round(F.sum(F.col("__v") * F.col("__k")) / F.sum("__k"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def cumulative_buckets(rows: DataFrame, by: str, value: str, bounds: list[int] = BUCKETS) -> DataFrame:

@@ -37,7 +37,8 @@ def save_chunks(chunks: DataFrame, path: str) -> None:
 
 def read_git_log(spark: SparkSession, path: str) -> DataFrame:
     """commit, author, at, file: an exported ``git log --name-only --format='commit %H|%an|%ct'``, one row per file of each commit."""
-    text = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"(?m)^commit ")).alias("c")).filter("length(trim(c)) > 0")
+    # Records end where the next commit begins, so a long log is split over tasks.
+    text = spark.read.text(path, lineSep="\ncommit ").select(F.regexp_replace("value", "^commit ", "").alias("c")).filter("length(trim(c)) > 0")
     head = F.split(F.substring_index("c", "\n", 1), r"\|")
     return text.select(head[0].alias("commit"), head[1].alias("author"), head[2].cast("bigint").alias("at"), F.explode(F.filter(F.slice(F.split("c", "\n"), 2, 2**30), lambda x: F.length(F.trim(x)) > 0)).alias("file"))
 
