@@ -42,7 +42,7 @@ DEFINITIONS = {
         re.compile(rf"[ \t]*+(?:(?:static|async|private|public|protected|readonly|override)\s++)*(#?[\w$]+)\s*+(?::[^=;{{\n]++)?=\s*+{_fn}"),
         re.compile(rf"[ \t]*+(?:(?:static|async|get|set|private|public|protected|override|export|default)\s++)*\*?[ \t]*+(#?[\w$]+)\s*+(?:<[^<>()]*+>)?{_args}\s*+(?::[^={{;\n]++)?\{{"),
     ],
-    "java": [re.compile(rf"[ \t]*+(?:@[\w.]++(?:{_args})?\s*+)*+((?:(?:[\w.$]+(?:<[^;{{}}()]*?>)?(?:\s*+\[\s*+\])*+|<[^;{{}}()=]*+>)\s+)*)([A-Za-z_$][\w$]*)\s*+{_args}\s*+(?:\[\s*+\]\s*+)*+(?:throws\s++[\w.,\s<>]++)?(?:\{{|;|default\b)")],
+    "java": [re.compile(rf"[ \t]*+(?:@[\w.]++(?:{_args})?\s*+)*+((?:(?:[\w.$]+(?:<[^;{{}}()]*?>)?(?:\s*+\[\s*+\])*+|<[^<>;{{}}()=]*+(?:<[^<>]*+>[^<>;{{}}()=]*+)*+>)\s+)*)([A-Za-z_$][\w$]*)\s*+{_args}\s*+(?:\[\s*+\]\s*+)*+(?:throws\s++[\w.,\s<>]++)?(?:\{{|;|default\b)")],
     "go": [re.compile(r"func\b[ \t]*+(?:\([^()]*+\)[ \t]*+)?([A-Za-z_]\w*)[ \t]*+(?:\[[^\]\n]*+\][ \t]*+)?\(")],
 }
 _annotation = re.compile(rf"[ \t]*+@[\w.$]++[ \t]*+(?:{_args})?[ \t]*+(?:\r?\n|$)")
