@@ -216,12 +216,12 @@ def confirmed(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     return rare.select(F.explode("parts").alias("literal")).distinct()
 
 
-def _automata(literals: DataFrame) -> list[list[str]]:
-    """The confirmed literals in shards of at most ``AUTOMATON_ROWS``, each a list that is small enough to be broadcast."""
+def _automata(literals: DataFrame) -> Iterator[list[str]]:
+    """The confirmed literals in shards of at most about ``AUTOMATON_ROWS``, of which the driver holds one at a time; one empty shard if there are none."""
     held = written(literals, "secrets")
-    n = held.count()
-    shards = -(-n // AUTOMATON_ROWS)
-    return [[r[0] for r in (held if shards == 1 else held.filter(F.pmod(F.xxhash64("literal"), F.lit(shards)) == s)).toLocalIterator()] for s in range(shards)]
+    shards = max(1, -(-held.count() // AUTOMATON_ROWS))
+    for s in range(shards):
+        yield [r[0] for r in (held if shards == 1 else held.filter(F.pmod(F.xxhash64("literal"), F.lit(shards)) == s)).toLocalIterator()]
 
 
 def _scanner(literals: list[str]):
@@ -249,10 +249,9 @@ def _scanner(literals: list[str]):
 def secret_lines(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """file_id, line: the lines of ``files`` (file_id, path, content) that hold a secret or begin a key block."""
     files = files.filter("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "path", "content")
-    shards = _automata(confirmed(files, max_owners)) or [[]]
     sc = files.sparkSession.sparkContext
     out = None
-    for number, shard in enumerate(shards):
+    for number, shard in enumerate(_automata(confirmed(files, max_owners))):
         held = sc.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, first=number == 0) -> Iterator[pa.RecordBatch]:
@@ -287,10 +286,9 @@ def redacted_text(text: str, spots: list[tuple[int, int]], mark: str) -> str:
 def redacted(files: DataFrame, texts: DataFrame, key: str, text: str, mark: str = "REDACTED", max_owners: int = MAX_OWNERS) -> DataFrame:
     """key, text, secrets: the rows of ``texts`` (files or their chunks) without the secrets confirmed over ``files``."""
     source = files.filter("content IS NOT NULL").select("path", "content")
-    shards = _automata(confirmed(source, max_owners)) or [[]]
     sc = files.sparkSession.sparkContext
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(0).alias("secrets"))
-    for number, shard in enumerate(shards):
+    for number, shard in enumerate(_automata(confirmed(source, max_owners))):
         held = sc.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, first=number == 0) -> Iterator[pa.RecordBatch]:
