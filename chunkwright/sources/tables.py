@@ -10,7 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder`` (a file or a folder of part files)."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame, most: int = 8) -> DataFrame:
+    """``df`` over more tasks if its scan has fewer than there are cores, at most ``most`` times as many.
+
+    A file of one row group can't be split, so a small table would keep all work on its texts in one task. A table with
+    as many partitions as cores stays as it is; filters and column choices still reach the scan through the exchange.
+    """
+    n, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, n * most)) if n < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
