@@ -1,7 +1,5 @@
 """Streams give what the same operators give on tables."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from chunkwright.streaming.watch import assigned_clusters, keep_chunks, rate_limited, watched_files
@@ -41,4 +39,3 @@ def test_token_bucket(spark, tmp_path):
 def test_clusters(spark):
     v = spark.createDataFrame([("p", 1, [1.0, 0.0]), ("p", 2, [0.99, 0.01]), ("p", 3, [0.0, 1.0])], "part STRING, id BIGINT, v ARRAY<DOUBLE>")
     assert [(r.id, r.cluster) for r in assigned_clusters(v).orderBy("id").collect()] == [(1, 1), (2, 1), (3, 3)]
-    assert dt is not None
