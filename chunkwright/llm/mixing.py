@@ -5,10 +5,12 @@ The budget of a source is its target share of the tokens of all documents. A sou
 fits, and for what is left of the budget a subset of its records once more:
 
 * records are counted by exact token length, the only facts that reach the driver: one row per source and length,
-  however many records there are;
+  however many records there are (a source of t tokens has at most sqrt(2 t) lengths);
 * of each length the share of the rest goes in evenly, and what rounding leaves is filled by a bounded-knapsack dynamic
   program over the counts, as a bit set of the sums that can be reached, so the budget is met to the token wherever it
   can be;
+* records over ``LONG`` get their share of the rest first, in seeded order of their lengths, and more of it only where the
+  others can't fill what is left; their sums are told apart by 1/``EXACT`` of that, the others then fill to the token;
 * which records of a length are used is decided by a seeded hash of the key, so a run can be repeated.
 
 Defined results: sources are compared trimmed and in lower case; documents of other or null sources count for the total
@@ -19,6 +21,9 @@ that tie in the hash are told apart by the key.
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +32,7 @@ from ..sources.tables import written
 from .tokens import encoded
 
 SEED = 42
-#: Records over this length join whole passes only, so lengths, and with them the driver's counts, are bounded.
+#: Records over this length are chosen before the others, whose sums fill what is left.
 LONG = 65_536
 #: Rest of a budget that the dynamic program fills exactly; what is above it is filled greedily before.
 EXACT = 1 << 17
@@ -38,7 +43,46 @@ def clean_source(column: str) -> F.Column:
     return F.lower(F.regexp_replace(F.col(column), r"^\s+|\s+$", ""))
 
 
-def fit(counts: list[tuple[int, int]], rest: int) -> dict[int, int]:
+def fit_long(counts: list[tuple[int, int]], rest: int, others: int, seed: int = SEED) -> dict[int, int]:
+    """How many of the records of each length over ``LONG`` to use, where shorter records have ``others`` tokens."""
+    total = others + sum(n * c for n, c in counts)
+    use = {n: c * rest // total for n, c in counts}
+    left = rest * (total - others) // total - sum(n * k for n, k in use.items())
+    order = [n for n, _ in counts]
+    random.Random(seed).shuffle(order)
+    for n in order:
+        if n <= left:  # rounding took less than one record of each length
+            use[n], left = use[n] + 1, left - n
+    rest -= sum(n * k for n, k in use.items())
+    for n in [n for n in reversed(order) if use[n]][:32] if rest > others else ():  # room for a better sum
+        use[n], rest = use[n] - 1, rest + n
+    while rest > others:
+        # Half of what the others fill to the token is left to them, if a record fits below it.
+        spare, goal = [(n, c - use[n]) for n, c in counts if n <= rest and c > use[n]], rest - min(others, EXACT) // 2
+        if not spare:
+            break
+        room = goal if spare[0][0] <= goal else rest
+        # Sums in parts of the rest, rounded up, with the step that reaches each first.
+        size = min(room, EXACT)
+        first = np.full(size + 1, -1, dtype=np.int32)
+        first[0], steps = 0, [(0, 0, 0)]
+        for n, c in spare:
+            w, c, k = -(-n * size // room), min(c, room // n), 1
+            while c > 0 and first[size] < 0:
+                k = min(k, c)
+                if w * k <= size:
+                    new = np.flatnonzero((first[: size + 1 - w * k] >= 0) & (first[w * k :] < 0)) + w * k
+                    first[new] = len(steps)
+                    steps.append((n, k, w * k))
+                c, k = c - k, k * 2
+        at = int(np.flatnonzero(first >= 0)[-1])
+        while at:
+            n, k, w = steps[first[at]]
+            use[n], rest, at = use[n] + k, rest - n * k, at - w
+    return {n: k for n, k in use.items() if k}
+
+
+def fit(counts: list[tuple[int, int]], rest: int, seed: int = SEED) -> dict[int, int]:
     """How many of the records of each length to use so that their sum is as near below ``rest`` as possible.
 
     ``counts`` has (length, records) of one source.
@@ -49,6 +93,10 @@ def fit(counts: list[tuple[int, int]], rest: int) -> dict[int, int]:
         return {}
     if rest >= total:
         return dict(counts)
+    if counts[-1][0] > LONG:
+        short, long = [x for x in counts if x[0] <= LONG], [x for x in counts if x[0] > LONG]
+        use = fit_long(long, rest, sum(n * c for n, c in short), seed)
+        return use | fit(short, rest - sum(n * k for n, k in use.items()), seed)
     # Evenly by length; what rounding leaves comes after.
     use = {n: c * rest // total for n, c in counts}
     rest -= sum(n * k for n, k in use.items())
@@ -102,8 +150,8 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, seed: int = SEED,
     facts = budgets(sized, targets).collect()  # one row per target source
     counts: dict[str, list[tuple[int, int]]] = {}
     known = [r["source"] for r in facts]
-    hist = sized.filter(F.col("source").isin(known) & (F.col("n_tokens") <= LONG)).groupBy("source", "n_tokens").agg(F.count("*").alias("c"))
-    for r in hist.toLocalIterator():  # bounded: target sources x LONG
+    hist = sized.filter(F.col("source").isin(known)).groupBy("source", "n_tokens").agg(F.count("*").alias("c"))
+    for r in hist.toLocalIterator():  # bounded: lengths of a source, at most sqrt(2 x its tokens)
         counts.setdefault(r["source"], []).append((r["n_tokens"], r["c"]))
     for r in facts:
         budget, tokens = int(r["target_share"] * r["total"]), r["tokens"]
@@ -112,7 +160,7 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, seed: int = SEED,
             continue
         whole = budget // tokens if tokens else 0
         plan.append((r["source"], -1, whole, 0))
-        plan += [(r["source"], n, whole, k) for n, k in fit(counts.get(r["source"], []), budget - whole * tokens).items() if k]
+        plan += [(r["source"], n, whole, k) for n, k in fit(counts.get(r["source"], []), budget - whole * tokens, seed).items() if k]
     spark = documents.sparkSession
     rows = spark.createDataFrame(plan or [("", -1, 0, 0)], "source STRING, n INT, whole INT, extra INT")
     passes = rows.filter("n = -1").select("source", "whole")

@@ -366,6 +366,28 @@ def test_mix(spark):
     assert mixing.mixed_documents(d.limit(0), t).count() == 0 and mixing.short_sources(d.limit(0), t).count() == 0
 
 
+def test_fit_long():
+    rng = random.Random(5)
+    for _ in range(40):
+        counts = [(n, rng.randrange(1, 3)) for n in rng.sample(range(mixing.LONG + 1, 3_000_000), 30)] + [(n, 40) for n in rng.sample(range(1, 2000), rng.choice([0, 20]))]
+        total = sum(n * c for n, c in counts)
+        rest = rng.randrange(total // 10, total * 9 // 10)
+        use = mixing.fit(counts, rest)
+        got = sum(n * k for n, k in use.items())
+        assert all(0 <= k <= dict(counts)[n] for n, k in use.items())
+        assert 0 <= rest - got <= (2000 if len(counts) > 30 else 0.001 * rest)
+    assert mixing.fit([(100_000, 1), (70_000, 1)], 60_000) == {} and mixing.fit([(100_000, 1), (70_000, 1), (3, 1)], 70_001)[70_000] == 1
+
+
+def test_mix_uses_long_records(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LONG", 8)
+    d = spark.createDataFrame([(i, "word " * (20 + i), "book") for i in range(30)] + [(100 + i, "x", "note") for i in range(40)], "doc_id BIGINT, text STRING, source STRING")
+    t = spark.createDataFrame([("book", 0.5, 1), ("note", 0.01, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+    total = sum(tokens_of(spark, d).values())
+    book = {r.source: r for r in mixing.reached_shares(d, t).collect()}["book"]
+    assert 0.49 * total <= book.tokens <= 0.5 * total and book.most_repeats == 1
+
+
 def tokens_of(spark, d):
     return {i: r.n_tokens for i, r in enumerate(tokens.encoded(d, "doc_id", "text", counts_only=True).collect())}
 
