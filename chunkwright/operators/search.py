@@ -119,6 +119,32 @@ def vector_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
     return best(out, top_k)
 
 
+def vector_links(vectors: DataFrame, key: str, vector: str, queries: DataFrame, threshold: float, spark_blocks: int = BLOCK) -> DataFrame:
+    """qid, id, score: every vector whose inner product with one of ``queries`` (qid, q) is at least ``threshold``.
+
+    As :func:`vector_search`, but all pairs at or over the threshold go out, however many a query has.
+    """
+    import numpy as np
+    import pandas as pd
+
+    out = None
+    for block in _blocks(queries.filter("q IS NOT NULL"), spark_blocks):
+        held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)))
+
+        def link(batches, held=held):
+            qid, q = held.value
+            for b in batches:
+                v, ids = np.stack(b["v"].to_numpy()).astype(np.float64), b["id"].to_numpy()
+                for at in range(0, len(v), 256):
+                    s = np.round(q @ v[at : at + 256].T, 6)
+                    i, j = np.nonzero(s >= threshold)
+                    yield pd.DataFrame({"qid": qid[i], "id": ids[at + j], "score": s[i, j]})
+
+        rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInPandas(link, "qid BIGINT, id BIGINT, score DOUBLE")
+        out = rows if out is None else out.unionByName(rows)
+    return vectors.sparkSession.createDataFrame([], "qid BIGINT, id BIGINT, score DOUBLE") if out is None else out
+
+
 def _blocks(queries: DataFrame, size: int):
     block = []
     for r in queries.select("qid", "q").toLocalIterator():

@@ -33,7 +33,8 @@ def q16_text_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("j8_similar_vectors", f"WITH {NEAREST} SELECT qid, id, score FROM {top('near', 100)} WHERE score >= 0.3")
 def j8_similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return nearest(spark, folder, 100).filter("score >= 0.3").select("qid", "id", "score")
+    v = table(spark, folder, "embeddings")
+    return S.vector_links(v, "vec_id", "embedding", v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 0.3)
 
 
 @query("w4_top_two_gap", f"WITH {NEAREST} SELECT qid, round(score - next, 6) AS gap FROM (SELECT qid, rank, score, lead(score) OVER (PARTITION BY qid ORDER BY rank) AS next FROM {top('near', 5)}) WHERE rank = 1")

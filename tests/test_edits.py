@@ -43,3 +43,12 @@ def test_embedding(spark):
 def test_permissions(spark):
     a = spark.createDataFrame([("write_code", "viewer"), ("write_code", "admin"), ("write_code", None), ("read", "guest")], "operation STRING, role STRING")
     assert E.denied(a, {"write_code": "write"}).count() == 2
+
+
+def test_similar_vectors_keeps_every_link(spark, tmp_path):
+    from chunkwright.plans.core_queries import QUERIES
+
+    rows = [(i, [1.0, 0.0] if i <= 150 else [0.0, 1.0]) for i in range(100, 300)]  # 149 links of 200
+    spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r.qid, r.id) for r in QUERIES["j8_similar_vectors"](spark, str(tmp_path)).collect()}
+    assert found == {(100, i) for i in range(100, 151)} | {(200, i) for i in range(151, 300)}
