@@ -256,11 +256,12 @@ def facet_filter(docs: DataFrame, language: str | None = None, path_regex: str |
     return docs
 
 
-def faceted(docs: DataFrame, semantic: DataFrame, query: str, top_k: int = 10, wanted_type: str | None = None) -> DataFrame:
-    """chunk_id, score, lexical, symbol, confidence, why, rank: scores of ``semantic`` (id, score) broken down and combined.
+def faceted(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query: str, top_k: int = 10, wanted_type: str | None = None) -> DataFrame:
+    """qid, chunk_id, score, lexical, symbol, confidence, why, rank: the best ``top_k`` of ``docs`` for each of ``queries`` (qid, q).
 
-    score = .7 semantic + .15 lexical + .15 symbol + .05 if the type is the wanted one; lexical is the share of the
-    query's distinct terms that the text has.
+    score = .7 semantic + .15 lexical + .15 symbol + .05 if the type is the wanted one; semantic is the inner product with
+    the row of ``vectors`` (id, v), lexical the share of the query's distinct terms that the text has. Every row of ``docs``
+    that has a vector is scored; each task keeps the ``top_k`` whole scores of each query.
     """
     q = check_search(query, top_k).lower()
     terms = F.array(*[F.lit(t) for t in dict.fromkeys(q.split())])
@@ -268,18 +269,45 @@ def faceted(docs: DataFrame, semantic: DataFrame, query: str, top_k: int = 10, w
     lexical = F.size(F.filter(terms, lambda t: F.contains(F.lower("text"), t))) / F.size(terms)
     symbol = F.when(name == q, 1.0).when((F.length(name) > 0) & name.contains(q), 0.7).when((F.length(name) > 0) & F.exists(terms, lambda t: F.contains(name, t)), 0.5).otherwise(0.0)
     bonus = F.when(F.col("type") == wanted_type, 0.05).otherwise(0.0) if wanted_type else F.lit(0.0)
-    s = docs.join(semantic.select(F.col("id").alias("chunk_id"), F.col("score").alias("semantic")), "chunk_id").withColumns({"lexical": lexical, "symbol": symbol})
-    s = s.withColumn("score", F.round(0.7 * F.col("semantic") + 0.15 * F.col("lexical") + 0.15 * F.col("symbol") + bonus, 3))
-    first = s.orderBy(F.desc("score"), "chunk_id").limit(top_k)  # the report of this feature has top_k rows
-    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
-    stats = Window.partitionBy()
+    parts = docs.select(F.col("chunk_id").cast("bigint").alias("id"), lexical.alias("lexical"), symbol.alias("symbol"), bonus.alias("bonus"))
+    ranked = best(_faceted_scores(parts.join(vectors.filter("v IS NOT NULL"), "id").select("id", "v", (0.15 * F.col("lexical") + 0.15 * F.col("symbol") + F.col("bonus")).alias("rest")), queries, top_k), top_k)
+    ranked = ranked.join(parts.drop("bonus"), "id").withColumnRenamed("id", "chunk_id")
+    stats = Window.partitionBy("qid")
     gap, mean = F.max("score").over(stats) - F.max(F.when(F.col("rank") == 2, F.col("score"))).over(stats), F.avg("score").over(stats)
     confidence = (
         F.when(F.col("score") < 0.3, "low").when(F.col("score") > 0.85, "high").when((gap > 0.2) & (F.col("rank") == 1), "high").when(gap < 0.05, "low")
         .when(F.col("score") > mean + 0.1, "high").when(F.col("score") < mean - 0.3, "low").otherwise("medium")
     )
     why = F.concat_ws(" ", F.when(F.col("semantic") > 0.7, "Strong semantic match.").when(F.col("semantic") > 0.4, "Moderate semantic match."), F.when(F.col("lexical") > 0.5, "Query terms found in the text."), F.when(F.col("symbol") > 0, "Symbol name matches."))
-    return ranked.select("chunk_id", "score", F.round("lexical", 3).alias("lexical"), F.round("symbol", 3).alias("symbol"), confidence.alias("confidence"), why.alias("why"), "rank")
+    return ranked.select("qid", "chunk_id", "score", F.round("lexical", 3).alias("lexical"), F.round("symbol", 3).alias("symbol"), confidence.alias("confidence"), why.alias("why"), "rank")
+
+
+def _faceted_scores(rows: DataFrame, queries: DataFrame, top_k: int, spark_blocks: int = 2_000) -> DataFrame:
+    """qid, id, semantic, score: of each task the best ``top_k`` of ``rows`` (id, v, rest) by .7 semantic + rest."""
+    import numpy as np
+    import pandas as pd
+
+    schema, out = "qid BIGINT, id BIGINT, semantic DOUBLE, score DOUBLE", None
+    for block in _blocks(queries.filter("q IS NOT NULL"), spark_blocks):
+        held = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)))
+
+        def score(batches, held=held):
+            qid, q = held.value
+            kept = [np.zeros((len(qid), 0), dtype=np.int64), np.zeros((len(qid), 0)), np.zeros((len(qid), 0))]
+            for b in batches:
+                v, ids, rest = np.stack(b["v"].to_numpy()).astype(np.float64), b["id"].to_numpy(), b["rest"].to_numpy()
+                for at in range(0, len(v), 1024):
+                    s = np.round(q @ v[at : at + 1024].T, 6)
+                    total = np.floor((0.7 * s + rest[at : at + 1024]) * 1000 + 0.5 + 1e-9) / 1000  # halves go up, as F.round does
+                    new = [np.broadcast_to(ids[at : at + 1024], s.shape), s, total]
+                    kept = [np.concatenate(x, axis=1) for x in zip(kept, new, strict=True)]
+                    order = np.lexsort((kept[0], -kept[2]), axis=1)[:, :top_k]
+                    kept = [np.take_along_axis(x, order, 1) for x in kept]
+            yield pd.DataFrame({"qid": np.repeat(qid, kept[0].shape[1]), "id": kept[0].ravel(), "semantic": kept[1].ravel(), "score": kept[2].ravel()})
+
+        part = rows.mapInPandas(score, schema)
+        out = part if out is None else out.unionByName(part)
+    return rows.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def result_confidence(scored: DataFrame) -> DataFrame:

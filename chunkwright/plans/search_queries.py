@@ -138,8 +138,8 @@ def q12_score_parts(spark: SparkSession, folder: str) -> DataFrame:
 @query("q11_faceted")
 def q11_faceted(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings")
-    semantic = S.vector_search(v, "vec_id", "embedding", v.filter("vec_id = 100").select(F.lit(1).alias("qid"), F.col("embedding").alias("q")), 200)
-    return S.faceted(S.facet_filter(table(spark, folder, "chunks"), language="python", min_lines=3), semantic, "load token", 10, "function")
+    queries = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return S.faceted(S.facet_filter(table(spark, folder, "chunks"), language="python", min_lines=3), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries, "load token", 10, "function")
 
 
 @query("q29_ivf")

@@ -52,3 +52,31 @@ def test_similar_vectors_keeps_every_link(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = {(r.qid, r.id) for r in QUERIES["j8_similar_vectors"](spark, str(tmp_path)).collect()}
     assert found == {(100, i) for i in range(100, 151)} | {(200, i) for i in range(151, 300)}
+
+
+def test_faceted_scores_every_row(spark, folder, duck):
+    from chunkwright.plans.core_queries import QUERIES
+
+    dot = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE))"
+    sql = f"""WITH c AS (SELECT *, lower(coalesce(name, '')) AS n FROM chunks WHERE lower(trim(language)) = 'python' AND end_line - start_line + 1 >= 3),
+        s AS (SELECT q.vec_id AS qid, chunk_id AS id, 0.7 * round({dot}, 6) + 0.15 * (coalesce(contains(lower(text), 'load'), false)::INT + coalesce(contains(lower(text), 'token'), false)::INT) / 2.0
+          + 0.15 * CASE WHEN n = 'load token' THEN 1.0 WHEN contains(n, 'load token') THEN 0.7 WHEN contains(n, 'load') OR contains(n, 'token') THEN 0.5 ELSE 0.0 END + CASE WHEN type = 'function' THEN 0.05 ELSE 0 END AS score
+          FROM c JOIN embeddings v ON v.vec_id = chunk_id CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
+        SELECT qid, round(score, 3)::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10"""
+    found = sorted((r.qid, r.score) for r in QUERIES["q11_faceted"](spark, folder).collect())
+    wanted = sorted(duck.sql(sql).fetchall())
+    assert len(found) == len(wanted) > 10
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 0.001001 for a, b in zip(found, wanted, strict=True))
+
+
+def test_faceted_takes_rows_beyond_the_nearest(spark, tmp_path):
+    from chunkwright.plans.core_queries import QUERIES
+
+    near = [(i, f"f{i}", "text", "java") for i in range(100, 300)]
+    far = [(300 + i, "load token", "load token", "python") for i in range(12)]
+    chunks = [(i, "a.py", 1, 9, "function", n, t, lang) for i, n, t, lang in near + far]
+    spark.createDataFrame(chunks, "chunk_id BIGINT, file STRING, start_line INT, end_line INT, type STRING, name STRING, text STRING, language STRING").write.parquet(f"{tmp_path}/chunks.parquet")
+    vectors = [(i, [1.0, 0.0]) for i in range(100, 300)] + [(300 + i, [0.5, 0.5]) for i in range(12)]
+    spark.createDataFrame(vectors, "vec_id BIGINT, embedding ARRAY<FLOAT>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = QUERIES["q11_faceted"](spark, str(tmp_path)).collect()
+    assert {(r.qid, r.chunk_id) for r in rows} == {(q, 300 + i) for q in (100, 200, 300) for i in range(10)}
