@@ -176,12 +176,52 @@ def impact(chunks: DataFrame, symbols: DataFrame, depth: int = 6) -> DataFrame:
     return by.withColumn("risk", F.round(risk, 3)).withColumn("level", F.when(F.col("risk") < 0.25, "low").when(F.col("risk") < 0.6, "medium").otherwise("high"))
 
 
+def held_names(words: DataFrame, names: DataFrame) -> DataFrame:
+    """word, name: which of ``words`` (word) contain which of ``names`` (name).
+
+    A word that contains a name has the name's first letters, three or as many as it has, among its runs, so the exact
+    test runs on an equi-join.
+    """
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    w, n = words.filter("word <> ''").distinct(), names.filter("name <> ''").distinct()
+    left = w.select("word", F.explode(F.array_distinct(F.concat(*[runs(F.col("word"), k) for k in (1, 2, 3)]))).alias("g"))
+    return left.join(n.withColumn("g", F.substring("name", 1, 3)), "g").filter(F.contains("word", "name")).select("word", "name")
+
+
+def file_evidence(tests: DataFrame, files: DataFrame, base: int, path: int, imported: int) -> DataFrame:
+    """file, chunk_id, test_file, points: which of ``tests`` (chunk_id, test_file, text, imports) speak of which of ``files`` (file).
+
+    ``base`` for the file's base name without suffix in the text, ``path`` for its path in the text, ``imported`` for the
+    base name in one of the imports.
+    """
+    f = files.select("file").filter("file IS NOT NULL").distinct().withColumn("name", F.regexp_replace(T.base_name(F.col("file")), r"(?<=.)\.[^.]+$", ""))
+    plain, spaced = f.filter(~F.col("file").rlike(r"\s")), f.filter(F.col("file").rlike(r"\s"))
+    # A name without white space stands in a text if and only if it stands in a run without white space.
+    words = tests.select("chunk_id", "test_file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), 0))).alias("word"))
+    text = words.join(held_names(words.select("word"), plain.select("name")), "word").join(plain, "name").select("file", "chunk_id", "test_file", F.contains("word", "file").alias("p"))
+    odd = tests.join(F.broadcast(spaced), F.contains("text", "name")).select("file", "chunk_id", "test_file", F.contains("text", "file").alias("p"))  # paths with white space are few
+    text = text.unionByName(odd).groupBy("file", "chunk_id", "test_file").agg((F.lit(base) + F.when(F.max("p"), path).otherwise(0)).alias("points"))
+    imports = tests.select("chunk_id", "test_file", F.explode(F.array_distinct("imports")).alias("word"))
+    by_import = imports.join(held_names(imports.select("word"), f.select("name")), "word").join(f, "name").select("file", "chunk_id", "test_file", F.lit(imported).alias("points")).distinct()
+    return text.unionByName(by_import).groupBy("file", "chunk_id", "test_file").agg(F.sum("points").cast("int").alias("points"))
+
+
 def impacted_tests(chunks: DataFrame, changes: DataFrame, top_k: int = 20) -> DataFrame:
-    """file, symbol, test_file, score: tests that a change (file, symbol) concerns: 40 for the name in the text, 30 for a call, 20 for the module's import."""
+    """file, symbol, test_file, score: tests that a change (file, symbol) concerns, by the best chunk of each test file.
+
+    40 for the symbol as a word of the text, 30 for a call of it, 50 for the file's base name in the text, 50 for its path in
+    the text, 20 for its base name in an import.
+    """
     tests = chunks.filter(T.is_test_file_loose(F.col("file")) & F.col("text").isNotNull()).select("chunk_id", F.col("file").alias("test_file"), "text", "imports")
     words = tests.select("chunk_id", "test_file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), 0))).alias("symbol"))
     called = call_sites(chunks).select("chunk_id", F.col("callee").alias("symbol"), F.lit(30).alias("call"))
-    rows = words.join(changes, "symbol").join(called, ["chunk_id", "symbol"], "left").withColumn("score", F.lit(40) + F.coalesce("call", F.lit(0)))
+    named = words.join(changes, "symbol").join(called, ["chunk_id", "symbol"], "left").select("file", "symbol", "chunk_id", "test_file", (F.lit(40) + F.coalesce("call", F.lit(0))).alias("own"))
+    points = written(file_evidence(tests, changes, 50, 50, 20), "evidence")
+    both = named.join(points.drop("test_file"), ["file", "chunk_id"], "left").select("file", "symbol", "test_file", (F.col("own") + F.coalesce("points", F.lit(0))).alias("score"))
+    # Evidence of the file is the same for all its symbols: of a file's tests only the first top_k can be among a symbol's first top_k by that alone.
+    by_file = points.groupBy("file", "test_file").agg(F.max("points").alias("score"))
+    first = by_file.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "test_file"))).filter(F.col("r") <= top_k)
+    rows = both.unionByName(first.join(changes.select("file", "symbol").distinct(), "file").select("file", "symbol", "test_file", "score"))
     w = Window.partitionBy("file", "symbol").orderBy(F.desc("score"), "test_file")
     return rows.groupBy("file", "symbol", "test_file").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top_k).drop("r")
 

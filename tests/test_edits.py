@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from chunkwright.operators import edits as E
+from chunkwright.operators import graph as G
+from chunkwright.operators import packing as P
 from chunkwright.operators.embedding import embedded
 
 
@@ -80,3 +82,17 @@ def test_faceted_takes_rows_beyond_the_nearest(spark, tmp_path):
     spark.createDataFrame(vectors, "vec_id BIGINT, embedding ARRAY<FLOAT>").write.parquet(f"{tmp_path}/embeddings.parquet")
     rows = QUERIES["q11_faceted"](spark, str(tmp_path)).collect()
     assert {(r.qid, r.chunk_id) for r in rows} == {(q, 300 + i) for q in (100, 200, 300) for i in range(10)}
+
+
+CHUNKS = "chunk_id BIGINT, file STRING, start_line INT, end_line INT, type STRING, name STRING, text STRING, language STRING, imports ARRAY<STRING>"
+
+
+def test_impacted_by_file_evidence(spark):
+    rows = [
+        (1, "src/store.py", 1, 5, "function", "put", "def put(): pass", "python", []), (2, "tests/test_a.py", 1, 5, "function", "test_a", "run()", "python", ["lib.store"]),
+        (3, "tests/test_b.py", 1, 5, "function", "test_b", "open('src/store.py')", "python", []), (4, "tests/test_c.py", 1, 5, "function", "test_c", "put()", "python", ["lib.store"]),
+        (5, "tests/test_c.py", 6, 9, "function", "test_d", "x = 'storehouse'", "python", []), (6, "tests/test_e.py", 1, 5, "function", "test_e", "nothing", "python", None),
+    ]
+    found = G.impacted_tests(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([("src/store.py", "put")], "file STRING, symbol STRING"))
+    assert {(r.test_file, r.score) for r in found.collect()} == {("tests/test_a.py", 20), ("tests/test_b.py", 100), ("tests/test_c.py", 90)}
+    assert [r.test_file for r in G.impacted_tests(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([("src/store.py", "put")], "file STRING, symbol STRING"), 1).collect()] == ["tests/test_b.py"]
