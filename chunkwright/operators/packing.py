@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..sources.tables import written
+from .graph import file_evidence
+from .search import l2_normalized, vector_links
 
 STOP_WORDS = {"the", "and", "for", "with", "from", "that", "this", "what", "where", "when", "how"}
 
@@ -79,16 +81,48 @@ def disclosed(chunks: DataFrame, level: str) -> DataFrame:
     return chunks.select("chunk_id", "file", "name", body.alias("body")).withColumn("tokens", F.floor(F.length("body") / 4))
 
 
-def related_code(chunks: DataFrame, targets: DataFrame, budget: int) -> DataFrame:
-    """qid, section, id, score, used: callers, tests and neighbours of each target chunk, in sections that share a budget."""
+def related_code(chunks: DataFrame, vectors: DataFrame, targets: DataFrame, budget: int) -> DataFrame:
+    """qid, section, id, score, used: callers, tests, interfaces and semantic neighbours of each of ``targets`` (chunk_id).
+
+    tests: 50 for the base name of the target's file in the text, 40 for the target's name as a word, 30 for an import of the
+    file; interfaces, of functions and methods: 90 for a class that defines one of the name, 30 for one that has the name as a
+    word; semantic: chunks of other files whose vector (id, v) has a cosine of at least 0.3, scored by 100 times that. The
+    sections share a budget: each takes its longest prefix that fits what those before it left.
+    """
     named = chunks.filter("text IS NOT NULL")
-    t = targets.join(named.select("chunk_id", "name", "file"), "chunk_id").filter("name IS NOT NULL").select(F.col("chunk_id").alias("qid"), F.col("name").alias("target"), F.col("file").alias("tfile"))
-    uses = named.select(F.col("chunk_id").alias("id"), "file", "text", F.explode(T.calls(F.col("text"))).alias("call")).withColumn("target", F.substring_index("call", ".", -1))
-    hit = uses.join(t, "target").filter("id <> qid").dropDuplicates(["qid", "id"])
+    all_ = targets.select("chunk_id").distinct().join(named.select("chunk_id", "name", "file", "type"), "chunk_id").select(F.col("chunk_id").alias("qid"), F.col("name").alias("target"), F.col("file").alias("tfile"), "type")
+    t = all_.filter("target IS NOT NULL")
+    info = named.select(F.col("chunk_id").alias("id"), "file", "text")
     test = T.is_test_file_loose(F.col("file"))
-    rows = hit.select("qid", "id", "text", F.when(test, "tests").otherwise("callers").alias("section"), F.when(F.col("file") == F.col("tfile"), 50).otherwise(30).alias("score"))
-    order = F.struct(F.when(F.col("section") == "callers", 1).otherwise(2), -F.col("score"), "id")
-    return within_budget(rows.withColumn("place", order), T.estimated_tokens(F.col("text")), budget, order="place").select("qid", "section", "id", "score", "used")
+    uses = named.filter(~test).select(F.col("chunk_id").alias("id"), "file", F.explode(T.calls(F.col("text"))).alias("call")).withColumn("target", F.substring_index("call", ".", -1))
+    callers = uses.join(t, "target").filter("id <> qid").select("qid", "id", F.when(F.col("file") == F.col("tfile"), 50).otherwise(30).alias("score")).distinct()
+
+    tests = named.filter(test).select("chunk_id", F.col("file").alias("test_file"), "text", "imports")
+    words = lambda rows: rows.select(F.col("chunk_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), 0))).alias("target"))
+    by_file = file_evidence(tests, all_.select(F.col("tfile").alias("file")), 50, 0, 30).select(F.col("file").alias("tfile"), F.col("chunk_id").alias("id"), "points").join(all_, "tfile").select("qid", "id", F.col("points").alias("score"))
+    by_name = words(tests).join(t, "target").select("qid", "id", F.lit(40).alias("score"))
+    tested = by_file.unionByName(by_name).filter("id <> qid").groupBy("qid", "id").agg(F.sum("score").cast("int").alias("score"))
+
+    of = t.filter("type IN ('function', 'nested_function', 'method')").select("qid", "target")
+    classes = named.filter("type IN ('class', 'trait', 'interface')")
+    inner = named.filter("type IN ('function', 'nested_function', 'method')").select("file", F.col("name").alias("target"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    defined = classes.join(inner, "file").filter("s >= start_line AND e <= end_line").select(F.col("chunk_id").alias("id"), "target").join(of, "target").select("qid", "id", F.lit(90).alias("score"))
+    interfaces = defined.unionByName(words(classes).join(of, "target").select("qid", "id", F.lit(30).alias("score"))).groupBy("qid", "id").agg(F.max("score").alias("score"))
+
+    asked = vectors.join(all_.select(F.col("qid").alias("id")), "id").select(F.col("id").alias("qid"), l2_normalized(F.col("v")).alias("q"))
+    links = vector_links(vectors.select("id", l2_normalized(F.col("v")).alias("v")), "id", "v", asked, 0.3).filter("id <> qid")
+    semantic = links.join(all_.select("qid", "tfile"), "qid").join(info.select("id", "file"), "id").filter("file <> tfile").select("qid", "id", F.round(100 * F.col("score"), 4).alias("score"))
+
+    out, spent = None, all_.select("qid", F.lit(0).cast("bigint").alias("spent"))
+    for section, rows in (("callers", callers), ("tests", tested), ("interfaces", interfaces), ("semantic", semantic)):
+        ranked = rows.join(info, "id").withColumn("place", F.struct(-F.col("score"), "id")).join(spent, "qid")
+        # The sum so far starts from what the sections before have used.
+        w = Window.partitionBy("qid").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        kept = ranked.withColumn("used", F.col("spent") + F.sum(T.estimated_tokens(F.col("text"))).over(w)).filter(F.col("used") <= budget)
+        part = written(kept.select("qid", F.lit(section).alias("section"), "id", "score", "used"), "related")
+        spent = spent.join(part.groupBy("qid").agg(F.max("used").alias("now")), "qid", "left").select("qid", F.coalesce("now", "spent").alias("spent"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def duplicates(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -205,7 +205,8 @@ def c4_pack_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("c5_related", None)
 def c5_related(spark: SparkSession, folder: str) -> DataFrame:
-    return P.related_code(table(spark, folder, "chunks"), named_queries(table(spark, folder, "chunks")).select(F.col("qid").alias("chunk_id")), 4000)
+    v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return P.related_code(table(spark, folder, "chunks"), v, named_queries(table(spark, folder, "chunks")).select(F.col("qid").alias("chunk_id")), 4000)
 
 
 @query("q17_disclosure", "SELECT chunk_id, file, name, split_part(text, chr(10), 1) AS body, length(split_part(text, chr(10), 1)) // 4 AS tokens FROM chunks WHERE text IS NOT NULL AND name IS NOT NULL")

@@ -96,3 +96,16 @@ def test_impacted_by_file_evidence(spark):
     found = G.impacted_tests(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([("src/store.py", "put")], "file STRING, symbol STRING"))
     assert {(r.test_file, r.score) for r in found.collect()} == {("tests/test_a.py", 20), ("tests/test_b.py", 100), ("tests/test_c.py", 90)}
     assert [r.test_file for r in G.impacted_tests(spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([("src/store.py", "put")], "file STRING, symbol STRING"), 1).collect()] == ["tests/test_b.py"]
+
+
+def test_related_has_all_sections(spark):
+    rows = [
+        (1, "src/store.py", 1, 5, "function", "put", "def put(): pass", "python", []), (2, "src/a.py", 1, 5, "function", "a", "put(1)", "python", []),
+        (3, "src/b.py", 1, 5, "function", "b", "put(2)" + " " * 400, "python", []), (4, "tests/test_x.py", 1, 5, "function", "test_x", "go()", "python", ["store"]),
+        (5, "src/k.py", 1, 9, "class", "K", "class K: ...", "python", []), (6, "src/k.py", 2, 3, "method", "put", "def put(self): 0", "python", []),
+        (7, "src/c.py", 1, 5, "class", "C", "# like put", "python", []), (8, "src/d.py", 1, 5, "function", "d", "x = 1", "python", []), (9, "src/store.py", 7, 9, "function", "e", "y = 1", "python", []),
+    ]
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (8, [0.5, 0.5]), (9, [1.0, 0.0]), (2, [0.0, 1.0])], "id BIGINT, v ARRAY<FLOAT>")
+    found = P.related_code(spark.createDataFrame(rows, CHUNKS), v, spark.createDataFrame([(1,)], "chunk_id BIGINT"), 60).collect()
+    assert {(r.section, r.id, r.score) for r in found} == {("callers", 2, 30), ("tests", 4, 30), ("interfaces", 5, 90), ("interfaces", 7, 30), ("semantic", 8, 70.7107)}
+    assert max(r.used for r in found) <= 60
