@@ -3,7 +3,8 @@
 1. Literals that stand where a credential would (assigned to a credential's name, in a login call, URL, comment or
    authorization header, or of a known token format) are indexed corpus-wide with the files that own them.
 2. Placeholders are suppressed: by form (masks, references, words without structure) and by owner count: a value in
-   more than ``MAX_OWNERS`` different texts is an example that everybody copies. Copies of one text count once.
+   more than ``MAX_OWNERS`` different texts is an example that everybody copies, unless it has a token format, is a
+   login in a URL or is as irregular as a generated credential. Copies of one text count once.
 3. The rare structured values left are confirmed, and every file is scanned again for all of them with an
    Aho-Corasick automaton, which also finds them under other names and in other files.
 
@@ -15,7 +16,9 @@ left out; repeated rows give their lines once; an empty table gives no rows; ext
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,6 +77,7 @@ _value = re.compile(
 _literal = re.compile(_quoted)
 _bare = re.compile(r"[ \t]*(?:=|:)[ \t]*([^\s\"'`{\[(#][^\n]*?)[ \t]*(?:[ \t]#[^\n]*)?(?:\r?\n|$)")
 _comment_value = re.compile(r"[ \t]*(?:[:=]|is|was)?[ \t]*([^\s\"'()=:]\S*)")
+_mark = re.compile(r"[\\\"'`(\[{)\]},]")
 _comment = re.compile(r"^\s*(?:export\s+)?(?:#|//|/\*|\*|--|;|<!--)|\s(?:#|//|/\*)\s")
 _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 CONFIG = (".yaml", ".yml", ".env", ".toml", ".ini", ".cfg", ".conf", ".properties", ".json")
@@ -117,6 +121,22 @@ def structured(value: str, password: bool) -> bool:
     return len(value) >= 12 and digit and (lower or upper) and not re.search(r"[(){}\[\]<>;]", value)
 
 
+#: Letters that stand for others in words written with digits and signs.
+_leet = str.maketrans("@4013$57", "aaoiesst")
+#: Bits of a value over which it is no example, and words and rows that speak for one.
+ENTROPY = 30.0
+_example = re.compile(r"pass|word|secret|token|admin|login|user|welcome|qwert|letmein|change|example|sample|dummy|demo|test|hunter|1234|abcd|4321", re.I)
+_word_run = re.compile(r"[a-z]{6,}|[A-Z]{6,}")
+
+
+def irregular(value: str) -> bool:
+    """Whether ``value`` is credential-like by itself, so that many owners don't make it an example."""
+    if FORMATS.search(value):
+        return True
+    bits = sum(-n * math.log2(n / len(value)) for n in Counter(value).values()) if value else 0.0
+    return bits >= ENTROPY and not _word_run.search(value) and not _example.search(value) and not _example.search(value.lower().translate(_leet))
+
+
 def candidates(path: str, text: str) -> list[tuple[str, list[str]]]:
     """(value, literal parts) of each literal that stands where a credential would and has the form of one."""
     out: list[tuple[str, list[str]]] = []
@@ -173,10 +193,10 @@ def candidates(path: str, text: str) -> list[tuple[str, list[str]]]:
 
 
 def _arguments(text: str, at: int) -> list[str]:
-    """The top-level arguments of a call whose opening bracket ends at ``at``; none if it isn't closed nearby."""
+    """The top-level arguments of a call whose opening bracket ends at ``at``; none if it isn't closed."""
     depth, quote, begin, out, i = 0, "", at, [], at
-    while i < min(len(text), at + 2000):
-        c = text[i]
+    while m := _mark.search(text, i):
+        i, c = m.start(), m[0]
         if quote:
             if c == "\\":
                 i += 1
@@ -198,21 +218,21 @@ def _arguments(text: str, at: int) -> list[str]:
 
 
 def index_literals(files: DataFrame) -> DataFrame:
-    """value, parts ARRAY<STRING>, owner: the candidate literals of (path, content), once per text."""
+    """value, parts ARRAY<STRING>, owner, own: the candidate literals of (path, content), once per text; own if the value is credential-like or a login in a URL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(v, p, o) for path, text, o in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), b.column("owner").to_pylist(), strict=True) if text for v, p in candidates(path or "", text)]
+            rows = [(v, p, o, irregular(v) or f":{v}@" in text and any(v == m[1] for m in URL_LOGIN.finditer(text))) for path, text, o in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), b.column("owner").to_pylist(), strict=True) if text for v, p in candidates(path or "", text)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.int64())], ["value", "parts", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_())], ["value", "parts", "owner", "own"])
 
-    return files.select("path", "content", F.xxhash64("content").alias("owner")).mapInArrow(run, "value STRING, parts ARRAY<STRING>, owner BIGINT")
+    return files.select("path", "content", F.xxhash64("content").alias("owner")).mapInArrow(run, "value STRING, parts ARRAY<STRING>, owner BIGINT, own BOOLEAN")
 
 
 def confirmed(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """literal: the parts of all values that are rare enough to be secrets."""
+    """literal: the parts of all values that are rare enough to be secrets, or are such by themselves."""
     found = index_literals(files).distinct()
-    rare = found.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.flatten(F.collect_set("parts")).alias("parts")).filter(F.col("owners") <= max_owners)
+    rare = found.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.flatten(F.collect_set("parts")).alias("parts"), F.max("own").alias("own")).filter((F.col("owners") <= max_owners) | F.col("own"))
     return rare.select(F.explode("parts").alias("literal")).distinct()
 
 
