@@ -40,6 +40,8 @@ CONFIG = (".yaml", ".yml", ".json", ".toml", ".env", ".ini", ".cfg", ".conf", ".
 #: Per language: (mean line, longest line, white-space share) of minified text and the digit share of data.
 LAYOUT = {"js": (200, 500, 0.10, 0.25), "mjs": (200, 500, 0.10, 0.25), "jsx": (200, 500, 0.10, 0.25), "css": (200, 500, 0.10, 0.30), "py": (250, 1000, 0.07, 0.22), "java": (250, 1000, 0.08, 0.22), "go": (250, 1000, 0.08, 0.22)}
 DEFAULT_LAYOUT = (300, 1000, 0.08, 0.25)
+#: Characters of data from which few lines are enough.
+DATA_CHARS = 500
 # -----------------------------------------------------------------------------------------------------------------
 
 _OPENING = re.compile(r"\A﻿?(?:\s*(?:#![^\n]*\n|#[^\n]*(?:\n|\Z)|//[^\n]*(?:\n|\Z)|/\*.*?(?:\*/|\Z)|--[^\n]*(?:\n|\Z)|<!--.*?(?:-->|\Z)|\"\"\".*?\"\"\"|'''.*?'''|['\"]use strict['\"];?))+", re.S)
@@ -47,7 +49,7 @@ _LINE_COMMENT = re.compile(r"^[ \t]*(?:#|//|/\*|\*|--|<!--)(.*)$", re.M)
 #: A notice holds one of these words, in lower case.
 NOTICE_WORDS = ("generat", "do not", "don't", "erzeugt", "generiert", "bearbeiten", "g\u00e9n\u00e9r", "genere", "ne pas", "generado", "no editar", "no modificar", "will be lost")
 #: Lines of data in other forms: rows of inserts and of key-value dumps.
-DATA_LINE = re.compile(r"(?im)^\s*(?:insert into\b.*values|\(?\s*-?\d+\s*,.*\)[,;]?\s*$|\{.*:.*\},?\s*$|\[.*\],?\s*$)")
+DATA_LINE = re.compile(r"(?im)^\s*(?:insert into\b.*values.*$|\(?\s*-?\d+\s*,.*\)[,;]?\s*$|\{.*:.*\},?\s*$|\[.*\],?\s*$)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_\-]{60,}|(?:\\x[0-9a-fA-F]{2}){12,}")
 _NUMBER = re.compile(r"(?<![A-Za-z_\w])-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+\-]?\d+)?)\b")
 _word = np.zeros(256, dtype=np.uint8)
@@ -73,7 +75,7 @@ def layout(text: str) -> dict[str, float]:
         "alnum": float((kinds[1] + kinds[2]) / total),
         "digit": float(digits / total),
         "numeric": sum(len(x) for x in _NUMBER.findall(text)) / len(text) if many else float(digits / total),
-        "encoded": sum(len(x) for x in _ENCODED.findall(text)) / len(text) if max(size) >= 60 and kinds[3] < 0.15 * total else 0.0,
+        "encoded": sum(len(x) for x in _ENCODED.findall(text)) / len(text) if max(size) >= 48 else 0.0,  # no shorter line holds a run
     }
 
 
@@ -111,11 +113,12 @@ def origin(path: str | None, text: str | None) -> tuple[str, str, dict[str, floa
         mean, longest, space, digit = LAYOUT.get(suffix, DEFAULT_LAYOUT)
         if facts["mean_line"] >= mean and facts["max_line"] >= longest and facts["space"] <= space:
             return "minified", "layout", facts
-        rows = len(DATA_LINE.findall(text)) if facts["digit"] > 0.05 else 0
-        if rows >= 10 and rows >= 0.8 * facts["n_lines"]:
-            return "data", "layout", facts
-        if (facts["numeric"] >= digit and facts["n_lines"] >= 10) or (facts["encoded"] >= 0.5 and facts["n_lines"] >= 5):
+        rows = [len(m[0]) for m in DATA_LINE.finditer(text)]
+        if len(rows) >= 0.8 * facts["n_lines"] and (len(rows) >= 10 or sum(rows) >= DATA_CHARS):
             return "data", "layout", facts
+        for share, least, lines in (("numeric", digit, 10), ("encoded", 0.5, 5)):
+            if facts[share] >= least and (facts["n_lines"] >= lines or facts[share] * len(text) >= DATA_CHARS):
+                return "data", "layout", facts
     return "hand-written", "", facts
 
 
