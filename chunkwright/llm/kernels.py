@@ -129,6 +129,11 @@ class CountMin:
                 yield i // SLICE, part.tobytes()
 
 
+def sketch_bits(expected: int, per: int = 8, least: int = 16, most: int = 25) -> int:
+    """Bits of a sketch with about ``per`` cells for each of ``expected`` hashes; 32 MB at most, whatever is expected."""
+    return max(least, min(most, (max(1, expected) * per - 1).bit_length()))
+
+
 def merged_sketch(slices: DataFrame, bits: int, depth: int, limit: int = 255) -> CountMin:
     """The sum of the partition sketches in ``slices`` (slice INT, cells BINARY)."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .docpairs import function_docs
 from .mixing import mixed_documents, reached_shares, short_sources
-from .near import near_groups, near_pairs
+from .near import near_groups, near_links, near_pairs
 from .origin import file_origins, not_handwritten
 from .secrets import redacted, secret_lines
 from .spans import shared_share, span_pairs
@@ -43,6 +43,11 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "chunks"), "chunk_id", "text")
 
 
+@query("p2_links")
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    return near_links(table(spark, folder, "chunks"), "chunk_id", "text")
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return span_pairs(table(spark, folder, "chunks"), "chunk_id", "file_id", "text")

@@ -2,15 +2,22 @@
 
 Any common span of at least ``length`` code points holds a whole window of ``length - ANCHOR + 1`` consecutive
 ``ANCHOR``-grams, and both records pick the same smallest of them (winnowing), so comparing the picked anchors
-loses no span. Anchors are then handled in two passes:
+loses no span. Anchors are written once and then handled in two passes:
 
 1. each partition fills a count-min sketch of its anchors (one count per record), and the sketches are merged;
    estimates are never too low, so an anchor estimated at one occurs in one record only;
 2. only anchors estimated as repeated are exchanged and grouped exactly.
 
-Records with equal text form a class, of which one stands for all in both passes. Pairs of classes that share an
-anchor are confirmed on their texts. Groups of one anchor are never gathered: they are an equi-join of class ids
-that is split where an anchor is hot.
+Records with equal text form a class (128 bits of hash), of which one stands for all in both passes.
+
+* :func:`span_pairs` names pairs: classes that share an anchor are confirmed on their texts. Groups of one anchor are never
+  gathered: they are an equi-join of class ids that is split where an anchor is hot.
+* :func:`shared_share` needs no pairs, so a text that n records share costs n rows: the windows of ``length`` around repeated
+  anchors go through a second sketch, and those estimated as repeated are grouped exactly by hash; a window met
+  in two files is shared, and what such windows cover is the share of their record.
+
+A sketch's size is taken from the number of hashes it has to hold, up to 32 MB; beyond about 4 million of them per MB,
+fewer are dropped and more are exchanged, with the same result.
 
 Defined results: null and empty texts share nothing; repeated rows of one id count once; ids without a file
 (null file_id) each count as a file of their own; extra columns are ignored; an empty table gives no rows.
@@ -24,28 +31,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..sources.tables import written
-from .kernels import CountMin, U, code_points, prefix_hash, slabs, sketch_of, sliding, text_column, window_hash
+from .kernels import CountMin, U, code_points, prefix_hash, sketch_bits, sketch_of, slabs, sliding, text_column, window_hash
 
 LENGTH = 160
 ANCHOR = 96
-SKETCH_BITS = 24
-SKETCH_DEPTH = 1
 #: A side is broadcast only after a count shows that it has no more rows than this (16 bytes each).
 BROADCAST_ROWS = 500_000
 
 
-def picked_anchors(texts: list[str], length: int, anchor: int) -> list[np.ndarray]:
-    """For each text the distinct hashes of the anchors that winnowing picks; none for texts under ``length``."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=U)] * len(texts)
+def anchor_places(texts: list[str], length: int, anchor: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text the hashes of the anchors that winnowing picks, their places, and the hashes of all windows of ``length``; none for texts under ``length``."""
+    none = np.zeros(0, dtype=U)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, np.zeros(0, dtype=np.int64), none)] * len(texts)
     long = [i for i, t in enumerate(texts) if len(t) >= length]
     w = length - anchor + 1
     for part in slabs([texts[i] for i in long]):
         ids = [long[j] for j in part]
         points, at = code_points([texts[i] for i in ids])
-        h = window_hash(prefix_hash(points), anchor)
+        prefix = prefix_hash(points)
+        h, whole = window_hash(prefix, anchor), window_hash(prefix, length)
         # Windows over a border between texts are switched off by the greatest value; no real window lies in them alone.
         top = U(0xFFFFFFFFFFFFFFFF)
         for b in at[1:-1]:
@@ -60,47 +66,76 @@ def picked_anchors(texts: list[str], length: int, anchor: int) -> list[np.ndarra
         picked = np.nonzero(sliding(padded, w, np.maximum) == h)[0]
         cut = np.searchsorted(picked, at)
         for j, i in enumerate(ids):
-            out[i] = np.unique(h[picked[cut[j] : cut[j + 1]]])
+            own = picked[cut[j] : cut[j + 1]]
+            out[i] = (h[own], own - at[j], whole[at[j] : at[j + 1] - length + 1])
     return out
 
 
+def picked_anchors(texts: list[str], length: int, anchor: int) -> list[np.ndarray]:
+    """For each text the distinct hashes of the anchors that winnowing picks; none for texts under ``length``."""
+    return [np.unique(h) for h, _, _ in anchor_places(texts, length, anchor)]
+
+
 def _records(records: DataFrame, key: str, file: str, text: str, length: int) -> DataFrame:
     """key, file, cls, t of the records of at least ``length`` code points; equal texts have equal ``cls``."""
     own = F.coalesce(F.col(file).cast("string"), F.concat(F.lit("?"), F.col(key).cast("string")))
     return records.filter((F.length(text) >= length) & F.col(key).isNotNull()).select(
-        F.col(key).cast("bigint").alias("key"), F.xxhash64(own).alias("file"), F.xxhash64(F.col(text)).alias("cls"), F.col(text).alias("t")
+        F.col(key).cast("bigint").alias("key"), F.xxhash64(own).alias("file"), F.unhex(F.md5(F.col(text))).alias("cls"), F.col(text).alias("t")
     )
 
 
-def _anchor_rows(rows: DataFrame, length: int, anchor: int, sketch: CountMin | None) -> DataFrame:
-    """file, cls, hashes of runs of records of one file; an anchor counts once per run where no sketch is given.
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    at = np.zeros(len(found) + 1, dtype=np.int32)
+    np.cumsum([len(f) for f in found], out=at[1:])
+    return pa.ListArray.from_arrays(at, pa.array((np.concatenate(found) if found else np.zeros(0, dtype=U)).view(np.int64)))
 
-    With a sketch, one row per record with those of its anchors that are estimated as repeated.
-    """
-    held = rows.sparkSession.sparkContext.broadcast(sketch.cells) if sketch is not None else None
-    bits, depth = (sketch.bits, sketch.depth) if sketch is not None else (0, 0)
+
+def _anchor_rows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
+    """file, cls, hashes: the distinct anchors of each record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = CountMin(bits, depth, held.value) if held is not None else None
         for b in batches:
-            found = picked_anchors(text_column(b, "t"), length, anchor)
-            file = b.column("file").to_numpy()
-            if seen is not None:
-                found = [h[seen.estimate(h) > 1] for h in found]
-                keep = np.nonzero([len(h) > 0 for h in found])[0]
-            else:  # records of one file lie together and overlap; an anchor counts once for all of them
-                keep = np.nonzero(np.r_[True, file[1:] != file[:-1]])[0]
-                found = [np.unique(np.concatenate(found[a:z])) for a, z in zip(keep, [*keep[1:], len(found)], strict=True)]
-                found = dict(zip(keep, found, strict=True))
-            if not len(keep):
-                continue
-            at = np.zeros(len(keep) + 1, dtype=np.int32)
-            np.cumsum([len(found[i]) for i in keep], out=at[1:])
-            flat = np.concatenate([found[i] for i in keep]).view(np.int64)
-            some = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column("file").take(some), b.column("cls").take(some), pa.ListArray.from_arrays(at, pa.array(flat))], ["file", "cls", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("cls"), _lists(picked_anchors(text_column(b, "t"), length, anchor))], ["file", "cls", "hashes"])
+
+    return rows.select("file", "cls", "t").mapInArrow(run, "file BIGINT, cls BINARY, hashes ARRAY<BIGINT>")
+
+
+def _once_per_run(rows: DataFrame) -> DataFrame:
+    """hashes: those of runs of records of one file, each hash once per run; records of a file lie together and overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            file, lists = b.column("file").to_numpy(), b.column("hashes")
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            begin = np.nonzero(np.r_[True, file[1:] != file[:-1]])[0] if len(file) else np.zeros(0, dtype=np.int64)
+            found = [np.unique(flat[at[a] : at[z]]).view(U) for a, z in zip(begin, [*begin[1:], len(file)], strict=True)]
+            yield pa.RecordBatch.from_arrays([_lists(found)], ["hashes"])
+
+    return rows.select("file", "hashes").mapInArrow(run, "hashes ARRAY<BIGINT>")
+
+
+def _repeated(rows: DataFrame, sketch: CountMin) -> DataFrame:
+    """``rows`` (with hashes) with those of their hashes only that are estimated as repeated."""
+    held, bits = rows.sparkSession.sparkContext.broadcast(sketch.cells), sketch.bits
 
-    return rows.select("file", "cls", "t").mapInArrow(run, "file BIGINT, cls BIGINT, hashes ARRAY<BIGINT>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = CountMin(bits, 1, held.value)
+        for b in batches:
+            lists = b.column("hashes")
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()[: lists.offsets[-1].as_py()]
+            keep = seen.estimate(flat.view(U)) > 1
+            upto = np.r_[0, np.cumsum(keep)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "hashes"), pa.ListArray.from_arrays(upto[at], pa.array(flat[keep]))], [*(c for c in b.schema.names if c != "hashes"), "hashes"])
+
+    rest = [c for c in rows.columns if c != "hashes"]
+    return rows.select(*rest, "hashes").mapInArrow(run, rows.select(*rest, "hashes").schema)
+
+
+def _anchors(rows: DataFrame, length: int, anchor: int) -> tuple[DataFrame, CountMin]:
+    """The anchors of all records, written once, and their sketch of the size they need."""
+    anchors = written(_anchor_rows(rows, length, anchor), "anchors")
+    n = anchors.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    return anchors, sketch_of(_once_per_run(anchors), sketch_bits(n), 1, 2)
 
 
 def shared_spans(a: str, b: str, length: int) -> list[tuple[int, int, int]]:
@@ -130,12 +165,11 @@ def class_spans(records: DataFrame, key: str, file: str, text: str, length: int
     if not 0 < anchor <= length:
         raise ValueError("anchor must lie between 1 and length")
     rows = _records(records, key, file, text, length)
-    sketch = sketch_of(_anchor_rows(rows, length, anchor, None), SKETCH_BITS, SKETCH_DEPTH, 2)
-    repeated = _anchor_rows(rows, length, anchor, sketch).select("file", "cls", F.explode("hashes").alias("h"))
-    # Exact grouping of what the sketch let through: anchors of two or more files. Both sides of the join read one exchange.
-    by_anchor = repeated.repartition("h").distinct()
+    anchors, sketch = _anchors(rows, length, anchor)
+    # Exact grouping of what the sketch let through: anchors of two or more files.
+    by_anchor = written(_repeated(anchors, sketch).select("file", "cls", F.explode("hashes").alias("h")).repartition("h").distinct(), "repeated")
     shared = by_anchor.groupBy("h").agg(F.min("file").alias("f1"), F.max("file").alias("f2")).filter("f1 <> f2").select("h")
-    kept = written(by_anchor.join(shared, "h", "left_semi").select("h", "cls").distinct(), "anchors")
+    kept = written(by_anchor.join(shared, "h", "left_semi").select("h", "cls").distinct(), "shared")
     a, b = kept.select("h", F.col("cls").alias("cls_a")), kept.select("h", F.col("cls").alias("cls_b"))
     pairs = written(a.join(b, "h").filter("cls_a < cls_b").select("cls_a", "cls_b").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
@@ -152,7 +186,7 @@ def class_spans(records: DataFrame, key: str, file: str, text: str, length: int
                 spans = pa.array([[{"a": p, "b": q, "size": n} for p, q, n in found[i]] for i in keep], kind)
                 yield pa.RecordBatch.from_arrays([x.column("cls_a").take(pa.array(keep)), x.column("cls_b").take(pa.array(keep)), spans], ["cls_a", "cls_b", "spans"])
 
-    links = both.select("cls_a", "cls_b", "ta", "tb").mapInArrow(confirm, "cls_a BIGINT, cls_b BIGINT, spans ARRAY<STRUCT<a: INT, b: INT, size: INT>>")
+    links = both.select("cls_a", "cls_b", "ta", "tb").mapInArrow(confirm, "cls_a BINARY, cls_b BINARY, spans ARRAY<STRUCT<a: INT, b: INT, size: INT>>")
     return rows.select("key", "file", "cls").distinct(), links
 
 
@@ -169,26 +203,69 @@ def span_pairs(records: DataFrame, key: str, file: str, text: str, length: int =
     return out.select(F.least("ka", "kb").alias("chunk_a"), F.greatest("ka", "kb").alias("chunk_b"))
 
 
+def _window_rows(rows: DataFrame, length: int, anchor: int, anchors: CountMin, windows: CountMin | None) -> DataFrame:
+    """The windows of each record that hold an anchor estimated as repeated.
+
+    Without ``windows`` as (file, hashes); with it, those that it estimates as repeated, as (key, f1, f2, at, h).
+    """
+    sc = rows.sparkSession.sparkContext
+    held = [(sc.broadcast(c.cells), c.bits) for c in (anchors, windows) if c is not None]
+    w = length - anchor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [CountMin(bits, 1, cells.value) for cells, bits in held]
+        for b in batches:
+            found, places = [], []
+            for h, at, whole in anchor_places(text_column(b, "t"), length, anchor):
+                at = at[seen[0].estimate(h) > 1]
+                # An anchor at p lies in the windows that begin from p - w to p.
+                edge = np.zeros(len(whole) + 1, dtype=np.int64)
+                np.add.at(edge, np.clip(at - w, 0, len(whole)), 1)
+                np.add.at(edge, np.clip(at + 1, 0, len(whole)), -1)
+                place = np.nonzero(np.cumsum(edge[:-1]))[0]
+                if len(seen) > 1:
+                    place = place[seen[1].estimate(whole[place]) > 1]
+                places.append(place)
+                found.append(whole[place])
+            if len(seen) == 1:
+                yield pa.RecordBatch.from_arrays([b.column("file"), _lists([np.unique(f) for f in found])], ["file", "hashes"])
+                continue
+            some = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            flat = np.concatenate(found) if found else np.zeros(0, dtype=U)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(some) for c in ("key", "f1", "f2")), pa.array((np.concatenate(places) if places else np.zeros(0)).astype(np.int32)), pa.array(flat.view(np.int64))], ["key", "f1", "f2", "at", "h"])
+
+    if windows is None:
+        return rows.select("file", "t").mapInArrow(run, "file BIGINT, hashes ARRAY<BIGINT>")
+    return rows.select("key", "f1", "f2", "t").mapInArrow(run, "key BIGINT, f1 BIGINT, f2 BIGINT, at INT, h BIGINT")
+
+
 def shared_share(records: DataFrame, key: str, file: str, text: str, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """chunk_id, n_chars, shared_chars, share: how much of each record lies in spans shared with other files.
 
-    One row per record with a key. Works on classes: a record meets each linked class once, however many members
-    that class has. null texts have n_chars 0 and share 0.
+    One row per record with a key. Of a class of equal texts one record stands for all. null texts have n_chars 0 and share 0.
     """
-    members, links = class_spans(records, key, file, text, length, anchor)
-    members = written(members, "members")
-    files = members.groupBy("cls").agg(F.min("file").alias("f1"), F.max("file").alias("f2"))
-    links = written(links, "links")
-    sides = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other"), F.explode(F.transform("spans", lambda s: F.struct(s["a"].alias("begin"), (s["a"] + s["size"]).alias("stop")))).alias("s")).unionByName(
-        links.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other"), F.explode(F.transform("spans", lambda s: F.struct(s["b"].alias("begin"), (s["b"] + s["size"]).alias("stop")))).alias("s"))
-    )
-    met = sides.join(files.withColumnRenamed("cls", "other"), "other").groupBy("cls", "s.begin", "s.stop").agg(F.min("f1").alias("f1"), F.max("f2").alias("f2"))
-    whole = files.filter("f1 <> f2").select("cls", F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("stop"), "f1", "f2")
-    spans = members.join(met.unionByName(whole), "cls").filter("NOT (f1 = file AND f2 = file)").select("key", "begin", "stop")
-    w = Window.partitionBy("key").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    size = records.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("chunk_id")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n_chars"))
-    covered = spans.withColumn("upto", F.coalesce(F.max("stop").over(w), F.lit(0))).join(size.withColumnRenamed("chunk_id", "key"), "key")
-    total = covered.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.least("stop", "n_chars") - F.least(F.greatest("begin", "upto"), F.col("n_chars")))).alias("shared_chars"))
-    return size.join(total.withColumnRenamed("key", "chunk_id"), "chunk_id", "left").select(
-        "chunk_id", "n_chars", F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"), F.when(F.col("n_chars") > 0, F.coalesce("shared_chars", F.lit(0)) / F.col("n_chars")).otherwise(0.0).alias("share")
-    )
+    if not 0 < anchor <= length:
+        raise ValueError("anchor must lie between 1 and length")
+    rows = _records(records, key, file, text, length)
+    members = written(rows.select("key", "file", "cls").distinct(), "members")
+    classes = members.groupBy("cls").agg(F.min("key").alias("rep"), F.min("file").alias("f1"), F.max("file").alias("f2"), F.count("*").alias("c"))
+    # Most records are alone with their text; what has to be joined with the texts are the others.
+    several = written(members.join(classes.filter("c > 1"), "cls").select("key", "rep", "f1", "f2"), "several")
+    anchors = _anchors(rows, length, anchor)[1]
+    own = rows.join(several.select("key", "rep", F.col("f1").alias("g1"), F.col("f2").alias("g2")), "key", "left").filter("rep IS NULL OR rep = key")
+    own = own.select("key", "t", F.coalesce("g1", "file").alias("f1"), F.coalesce("g2", "file").alias("f2"))
+    files = _window_rows(rows, length, anchor, anchors, None)
+    n = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    windows = sketch_of(_once_per_run(files), sketch_bits(n // 2), 1, 2)
+    met = written(_window_rows(own, length, anchor, anchors, windows).dropDuplicates(["key", "at"]), "windows")
+    shared = met.groupBy("h").agg(F.min("f1").alias("f1"), F.max("f2").alias("f2")).filter("f1 <> f2").select("h")
+    begins = met.join(shared, "h", "left_semi").select("key", "at")
+    # A window adds its last character, and the first of a run the others.
+    covered = begins.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))  # places in one text
+    total = covered.select("key", F.aggregate("at", F.struct(F.lit(-length).alias("last"), F.lit(0).alias("n")), lambda s, x: F.struct(x.alias("last"), (s["n"] + F.least(x - s["last"], F.lit(length))).alias("n")), lambda s: s["n"]).alias("shared_chars"))
+    every = several.filter("f1 <> f2").select("key", F.lit(True).alias("whole"))
+    rep = several.select("key", "rep")
+    size = records.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("key")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n_chars"))
+    out = size.join(rep.dropDuplicates(["key"]), "key", "left").withColumn("rep", F.coalesce("rep", "key")).join(total.withColumnRenamed("key", "rep"), "rep", "left").join(every.dropDuplicates(["key"]), "key", "left")
+    shared_chars = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0))).cast("bigint")
+    return out.select(F.col("key").alias("chunk_id"), "n_chars", shared_chars.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared_chars / F.col("n_chars")).otherwise(0.0).alias("share"))

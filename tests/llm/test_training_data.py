@@ -63,14 +63,53 @@ def test_near_pairs_brute(spark, folder, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == near_brute(rows)
 
 
+def test_near_groups_brute(spark, folder, monkeypatch):
+    rng = random.Random(4)
+    rows = rows_of(spark, folder)
+    for g in range(3):  # chains: neighbours are similar, ends are not
+        words = [f"g{g}w{rng.randrange(80)}" for _ in range(70)]
+        for i in range(60):
+            rows.append((100_000 + 100 * g + i, 7, " ".join(words)))
+            words = edited(rng, words, 3).split()
+    sets = {k: s for k, _, t in rows if len(s := shingles(t)) >= 20}
+    group = {k: k for k in sets}
+
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    degree = dict.fromkeys(sets, 0)
+    for a, b in near_brute([(k, k, t) for k, _, t in rows]):
+        degree[a] += sets[a] != sets[b]
+        degree[b] += sets[a] != sets[b]
+        a, b = sorted((find(a), find(b)))
+        group[b] = a
+    monkeypatch.setattr(near, "TILE", 16)
+    monkeypatch.setattr(near, "SMALL", 4)
+    df = spark.createDataFrame(rows, CHUNKS)
+    got = {r.chunk_id: r.class_id for r in near.near_groups(df, "chunk_id", "text").collect()}
+    assert got == {k: find(k) for k in sets}
+
+
+def test_a_hot_group_costs_no_pairs(spark):
+    # One header in 20,000 records: 200 million pairs, which neither groups nor shares may need.
+    header = " ".join(f"word{i}" for i in range(60))
+    df = spark.range(20_000).selectExpr("id AS chunk_id", "id AS file_id", f"concat('{header}', ' tail', id, ' end', id) AS text")
+    groups = near.near_groups(df, "chunk_id", "text")
+    assert groups.filter("class_id = 0").count() == 20_000
+    share = spans.shared_share(df, "chunk_id", "file_id", "text")
+    assert share.filter("shared_chars BETWEEN 409 AND 420").count() == 20_000
+
+
 def test_near_edges(spark):
     long = " ".join(f"tok{i}" for i in range(40_000))
     rows = [(1, 1, None), (2, 2, ""), (3, 3, "few words"), (4, 4, long), (5, 5, long + " x"), (6, 5, long), (4, 4, long), (None, 7, long), (8, None, long)]
     df = spark.createDataFrame(rows, CHUNKS).selectExpr("*", "1 AS cls", "'a' AS key", "2 AS hashes", "3 AS rep")
     assert {(r.chunk_a, r.chunk_b) for r in near.near_pairs(df, "chunk_id", "file_id", "text").collect()} == {(4, 5), (4, 6), (4, 8), (5, 8), (6, 8)}
     assert near.near_pairs(df.limit(0), "chunk_id", "file_id", "text").count() == 0
-    groups = {r.chunk_id: (r.class_id, r.links) for r in near.near_groups(df, "chunk_id", "text").collect()}
-    assert groups == {4: (4, 1), 5: (4, 1), 6: (4, 1), 8: (4, 1)}
+    assert {r.chunk_id: r.class_id for r in near.near_groups(df, "chunk_id", "text").collect()} == {4: 4, 5: 4, 6: 4, 8: 4}
+    assert {r.chunk_id: (r.set_id, r.links) for r in near.near_links(df, "chunk_id", "text").collect()} == {4: (4, 1), 5: (5, 1), 6: (4, 1), 8: (4, 1)}
     with pytest.raises(ValueError):
         near.near_classes(df, "chunk_id", "text", 0)
 
@@ -98,6 +137,24 @@ def test_span_pairs_brute(spark, folder):
     assert len(got) == len(set(got)) and set(got) == span_brute(rows)
 
 
+def test_span_share_brute(spark, folder):
+    rng = random.Random(6)
+    rows = rows_of(spark, folder)
+    noise = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    core = noise(400)
+    rows += [(200_000 + i, 200_000 + i % 13, noise(rng.randrange(200)) + core[rng.randrange(240) :][: rng.randrange(150, 400)] + noise(rng.randrange(200))) for i in range(60)]
+    where = {}
+    for _, f, t in rows:
+        for i in range(len(t or "") - 159):
+            where.setdefault(t[i : i + 160], set()).add(f)
+    wanted = {}
+    for k, _, t in rows:
+        places = {p for i in range(len(t or "") - 159) if len(where[t[i : i + 160]]) > 1 for p in range(i, i + 160)}
+        wanted[k] = (len(t or ""), len(places))
+    got = {r.chunk_id: (r.n_chars, r.shared_chars) for r in spans.shared_share(spark.createDataFrame(rows, CHUNKS), "chunk_id", "file_id", "text").collect()}
+    assert got == wanted
+
+
 def test_span_share_and_edges(spark):
     a, b = "".join(chr(97 + i % 26) + str(i) for i in range(100)), "q" * 10
     rows = [(1, 1, a + b), (2, 2, b + a), (3, 3, None), (4, 4, ""), (5, 5, a + b), (1, 1, a + b)]
