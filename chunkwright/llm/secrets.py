@@ -5,10 +5,12 @@
 2. Placeholders are suppressed: by form (masks, references, words without structure) and by owner count: a value in
    more than ``MAX_OWNERS`` different texts is an example that everybody copies, unless it has a token format, is a
    login in a URL or is as irregular as a generated credential. Copies of one text count once.
-3. The rare structured values left are confirmed, and every file is scanned again for all of them with an
-   Aho-Corasick automaton, which also finds them under other names and in other files.
+3. The rare structured values left are confirmed. Every file is scanned again, once however many they are: its runs of
+   letters and digits are probed against a sketch of the rarest run of each secret, hits are joined with the secrets, and an
+   Aho-Corasick automaton of those that may be in the files of a batch finds them, also under other names and in other files.
 
-Key blocks are found by their armour. Redaction keeps quotes, line ends and line numbers.
+Key blocks are found by their armour. The lines of a key's body are secrets of the redaction, so that a text that holds only
+a part of a key block is redacted as well. Redaction keeps quotes, line ends and line numbers.
 
 Defined results: null and empty contents hold nothing (redaction gives them back as they are); a null file_id is
 left out; repeated rows give their lines once; an empty table gives no rows; extra columns are ignored.
@@ -21,15 +23,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from ..sources.tables import written
+from .kernels import U, CountMin, sketch_bits, sketch_of
 
 MAX_OWNERS = 20
-#: Secrets of one automaton; with more there are several automata, each broadcast and scanned for in turn.
-AUTOMATON_ROWS = 200_000
 
 # --- fixed values: names, formats and placeholders ---------------------------------------------------------------
 #: Last words of the names of credentials, written together.
@@ -54,7 +58,7 @@ CURL_LOGIN = re.compile(r"(?:\s-u|--user)[ =]+[\"']?[\w.\-]+:([^\s\"']+)")
 CALL = re.compile(r"(?i)\b(?:login|log_in|connect|authenticate|auth|sign_?in|bind|logon|basic_?auth|set_?credentials)\s*\(")
 SPOKEN = re.compile(r"(?i)\b(?:login|account|credentials?|user)\s+(?:was|is|are)\s+[\w.\-@]+\s*/\s*(\S.*?)\s*(?:\*/|-->)?$")
 KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-KEY_BLOCK = re.compile(r"(-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----)(.*?)(-----END \2-----)", re.S)
+KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PLACEHOLDER = re.compile(
     r"(?ix)^(?:[x*.\-_?\#0•]+|.*(?:\$\{|\{\{|<%|%\(|\$\().*|<.*>|\[.*\]|\{.*\}|%\w+%|\$\w+|env[:.].*|vault[:/].*|file[:/].*|secrets?[:/].*|ref[:+].*|arn:.*|keyring:.*|ssm:.*|/.*|\.\.?/.*|~/.*|https?://.*"
     r"|(?:prod|dev|stage|staging|test)/.*|.*(?:change_?-?me|replace_?-?me|example|placeholder|redacted|xxxxxx).*|.*(?<![a-z0-9])(?:your|here|dummy|masked|hidden|todo|tbd|fixme|insert|fake|sample|to_?be_?set|not_?set)(?![a-z0-9]).*"
@@ -68,7 +72,13 @@ KEYWORDS = (
 NAMED = re.compile(r"(?:pass(?:w(?:or[dt]|d)|phrase|code)?|pwd|mot_?de_?passe|contrase[nñ]a|kennwort|senha|parola|secret|token|credentials?|key|authorization|auth(?:[_\-]?header)?)")
 # -----------------------------------------------------------------------------------------------------------------
 
-_left = re.compile(r"[\w\-]*$")
+_line_end = r"(?:\\n|\r?\n)"
+#: What follows the head of a key block, and what stands before its end, line by line.
+_body_below = re.compile(rf"(?:{_line_end}[^\w\n\\]*[A-Za-z0-9+/=]{{16,}}[^\w\n\\]*?)+(?:{_line_end}[^\w\n\\]*[A-Za-z0-9+/]{{1,15}}={{1,2}})?")
+_body_above = re.compile(rf"(?:(?:^|(?<=\\n))[^\w\n\\]*[A-Za-z0-9+/=]{{4,}}[^\w\n\\]*{_line_end})+[^\w\n]*\Z", re.M)
+_body_line = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_alnum = re.compile(r"[^\W_]+")
+_escaped = re.compile(r"(?<=\\)n([^\W_]+)")
 _right = re.compile(r"[\w\-]*")
 _quoted = r"(?:\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`((?:\\.|[^`\\])*)`)"
 _value = re.compile(
@@ -169,9 +179,10 @@ def candidates(path: str, text: str) -> list[tuple[str, list[str]]]:
                     out.append((args[-1], [args[-1]]))
         if start < upto or not (m := NAMED.match(low, start)):
             continue
-        left = _left.search(text, max(0, start - 60), start)[0]
-        stop = _right.match(text, m.end()).end()
-        name, upto = left + text[m.start() : stop], stop
+        first, stop = start, _right.match(text, m.end()).end()
+        while first > 0 and (text[first - 1].isalnum() or text[first - 1] in "_-"):
+            first -= 1
+        name, upto = text[first:stop], stop  # a word is looked at once, so this is linear in the text
         if not credential_name(name):
             continue
         password = bool(PASSWORD_NAME.search(re.sub(r"[^a-zñ]", "", name.lower())))
@@ -217,34 +228,120 @@ def _arguments(text: str, at: int) -> list[str]:
     return []
 
 
+def key_bodies(text: str) -> list[tuple[int, int]]:
+    """Where the bodies of key blocks lie, also of blocks whose head or end isn't in the text."""
+    if "PRIVATE KEY" not in text:
+        return []
+    out, at = [], 0
+    ends = [(m.start(), m.end()) for m in KEY_END.finditer(text)]
+    for m in KEY_BEGIN.finditer(text):
+        if m.start() < at:
+            continue
+        end = next((e for e in ends if e[0] >= m.end()), None)
+        later = KEY_BEGIN.search(text, m.end())
+        if end is not None and (later is None or end[0] < later.start()):
+            out.append((m.end(), end[0]))
+            at = end[1]
+        elif b := _body_below.match(text, m.end()):
+            out.append((b.start(), b.end()))
+            at = b.end()
+    if ends and not any(z == ends[0][0] for _, z in out) and (b := _body_above.search(text[: ends[0][0]])):
+        out.append((b.start(), b.end()))
+    return sorted(out)
+
+
+INDEXED = "value STRING, parts ARRAY<STRING>, owner BIGINT, own BOOLEAN, body BOOLEAN"
+
+
 def index_literals(files: DataFrame) -> DataFrame:
-    """value, parts ARRAY<STRING>, owner, own: the candidate literals of (path, content), once per text; own if the value is credential-like or a login in a URL."""
+    """value, parts ARRAY<STRING>, owner, own, body: the candidate literals of (path, content), once per text.
+
+    own if the value is credential-like or a login in a URL; body if it is a line of a private key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(v, p, o, irregular(v) or f":{v}@" in text and any(v == m[1] for m in URL_LOGIN.finditer(text))) for path, text, o in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), b.column("owner").to_pylist(), strict=True) if text for v, p in candidates(path or "", text)]
+            rows = []
+            for path, text, o in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), b.column("owner").to_pylist(), strict=True):
+                if text:
+                    rows += [(v, p, o, irregular(v) or f":{v}@" in text and any(v == m[1] for m in URL_LOGIN.finditer(text)), False) for v, p in candidates(path or "", text)]
+                    rows += [(v, [v], o, True, True) for s, e in key_bodies(text) for v in _body_line.findall(text[s:e].replace("\\n", "\n"))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_())], ["value", "parts", "owner", "own"])
+                kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["value", "parts", "owner", "own", "body"])
 
-    return files.select("path", "content", F.xxhash64("content").alias("owner")).mapInArrow(run, "value STRING, parts ARRAY<STRING>, owner BIGINT, own BOOLEAN")
+    return files.select("path", "content", F.xxhash64("content").alias("owner")).mapInArrow(run, INDEXED)
 
 
 def confirmed(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """literal: the parts of all values that are rare enough to be secrets, or are such by themselves."""
+    """literal, body: the parts of all values that are rare enough to be secrets, or are such by themselves; body if it stands in key blocks only."""
     found = index_literals(files).distinct()
-    rare = found.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.flatten(F.collect_set("parts")).alias("parts"), F.max("own").alias("own")).filter((F.col("owners") <= max_owners) | F.col("own"))
-    return rare.select(F.explode("parts").alias("literal")).distinct()
+    rare = found.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.flatten(F.collect_set("parts")).alias("parts"), F.max("own").alias("own"), F.min("body").alias("body")).filter((F.col("owners") <= max_owners) | F.col("own"))
+    return rare.select(F.explode("parts").alias("literal"), "body").groupBy("literal").agg(F.min("body").alias("body"))
+
+
+def _hash(w: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(w) - (1 << 63)
+
+
+def text_runs(text: str) -> set[str]:
+    """The runs of letters and digits of ``text``, with those behind a written line end."""
+    return {*_alnum.findall(text), *(_escaped.findall(text) if "\\n" in text else ())}
+
+
+def keyed_literals(literals: DataFrame) -> DataFrame:
+    """literal, body, run: each literal with the hash of the one of its runs that the fewest literals have.
 
+    Wherever a literal stands by itself in a text, all its runs are whole runs of the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(x, body, _hash(r), len(r)) for x, body in zip(b.column("literal").to_pylist(), b.column("body").to_pylist(), strict=True) for r in set(_alnum.findall(x))]
+            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["literal", "body", "run", "size"])
+
+    each = literals.mapInArrow(run, "literal STRING, body BOOLEAN, run BIGINT, size INT")
+    counted = each.join(each.groupBy("run").agg(F.count("*").alias("literals")), "run")
+    first = F.row_number().over(Window.partitionBy("literal").orderBy("literals", F.desc("size"), "run"))
+    return written(counted.withColumn("place", first).filter("place = 1").select("literal", "body", "run"), "secrets")
 
-def _automata(literals: DataFrame) -> Iterator[list[str]]:
-    """The confirmed literals in shards of at most about ``AUTOMATON_ROWS``, of which the driver holds one at a time; one empty shard if there are none."""
-    held = written(literals, "secrets")
-    shards = max(1, -(-held.count() // AUTOMATON_ROWS))
-    for s in range(shards):
-        yield [r[0] for r in (held if shards == 1 else held.filter(F.pmod(F.xxhash64("literal"), F.lit(shards)) == s)).toLocalIterator()]
 
+def possible(texts: DataFrame, literals: DataFrame) -> DataFrame:
+    """owner, literals: of each of ``texts`` (owner, text) that may hold some of ``literals`` (literal, run) or a key block, which."""
+    hashed = literals.select(F.array("run").alias("hashes"))
+    sketch = sketch_of(hashed, sketch_bits(hashed.count(), 32), 1, 1)
+    held, bits = texts.sparkSession.sparkContext.broadcast(sketch.cells), sketch.bits
+    key = _hash("PRIVATE")
 
-def _scanner(literals: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, known = CountMin(bits, 1, held.value), {}
+        for b in batches:
+            owners, runs = [], []
+            for o, text in zip(b.column("owner").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = text_runs(text) if text else ()
+                own = [known.get(w) for w in words]
+                new = [w for w, h in zip(words, own, strict=True) if h is None]
+                if new:  # words come again and again; those in no secret are told apart once
+                    hashes = np.array([_hash(w) for w in new], dtype=np.int64)
+                    hit = seen.estimate(hashes.view(U)) > 0
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    known.update((w, int(h) if ok or h == key else 0) for w, h, ok in zip(new, hashes, hit, strict=True))
+                    own = [known[w] if w in known else 0 for w in words]
+                found = [h for h in own if h]
+                owners += [o] * len(found)
+                runs += found
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(runs, pa.int64())], ["owner", "run"])
+
+    hits = texts.select("owner", "text").mapInArrow(run, "owner BIGINT, run BIGINT").distinct()
+    found = hits.join(literals, "run", "left").filter(F.col("literal").isNotNull() | (F.col("run") == key))
+    return written(found.groupBy("owner").agg(F.collect_set("literal").alias("literals")), "possible")  # of one text, as many as it may hold
+
+
+def _scanner(literals: set[str]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -266,35 +363,51 @@ def _scanner(literals: list[str]):
     return scan
 
 
+def _batch_scanner(b: pa.RecordBatch):
+    """A scanner for the literals that may be in the texts of a batch."""
+    return _scanner({x for own in b.column("literals").to_pylist() if own for x in own})
+
+
 def secret_lines(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """file_id, line: the lines of ``files`` (file_id, path, content) that hold a secret or begin a key block."""
     files = files.filter("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "path", "content")
-    sc = files.sparkSession.sparkContext
-    out = None
-    for number, shard in enumerate(_automata(confirmed(files, max_owners))):
-        held = sc.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, first=number == 0) -> Iterator[pa.RecordBatch]:
-            scan = _scanner(held.value)
-            for b in batches:
-                ids, lines = [], []
-                for i, text in zip(b.column("file_id").to_pylist(), b.column("content").to_pylist(), strict=True):
-                    at = [s for s, _ in scan(text)] + ([m.start() for m in KEY_BEGIN.finditer(text)] if first else [])
-                    own = {text.count("\n", 0, s) + 1 for s in at}
-                    ids += [i] * len(own)
-                    lines += own
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], ["file_id", "line"])
-
-        found = files.select("file_id", "content").mapInArrow(run, "file_id BIGINT, line INT")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    literals = keyed_literals(confirmed(files, max_owners).filter("NOT body"))
+    rows = files.select(F.col("file_id").cast("bigint"), F.xxhash64("content").alias("owner"), F.col("content").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scan, ids, lines = _batch_scanner(b), [], []
+            for i, text in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = {text.count("\n", 0, s) + 1 for s in [*(s for s, _ in scan(text)), *(m.start() for m in KEY_BEGIN.finditer(text))]}
+                ids += [i] * len(own)
+                lines += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], ["file_id", "line"])
+
+    return rows.join(possible(rows, literals), "owner").select("file_id", "text", "literals").mapInArrow(run, "file_id BIGINT, line INT").distinct()
+
+
+_joined_after = re.compile(r"[\"'`]\s*(?:\+|\.\.|&|\\)?\s*" + _quoted)
+_joined_before = re.compile(_quoted + r"\s*(?:\+|\.\.|&|\\)?\s*[\"'`]\Z")
+
+
+def _with_short_parts(text: str, spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``spots`` with the short literals that are joined to one of them."""
+    out = list(spots)
+    for s, e in spots:
+        while (m := _joined_after.match(text, e)) and 0 < len(m[m.lastindex]) < 4:
+            out.append(m.span(m.lastindex))
+            e = m.end(m.lastindex)
+        while (m := _joined_before.search(text[max(0, s - 200) : s])) and 0 < len(m[m.lastindex]) < 4:
+            s = max(0, s - 200) + m.start(m.lastindex)
+            out.append((s, s + len(m[m.lastindex])))
+    return out
 
 
 def redacted_text(text: str, spots: list[tuple[int, int]], mark: str) -> str:
     """``text`` with the spots replaced by ``mark`` and the bodies of key blocks masked line by line."""
-    blocks = [(m.start(3), m.end(3)) for m in KEY_BLOCK.finditer(text)]
+    blocks = key_bodies(text)
     out, at = [], 0
-    for s, e in sorted([*spots, *blocks], key=lambda x: (x[0], -x[1])):
+    for s, e in sorted([*_with_short_parts(text, spots), *blocks], key=lambda x: (x[0], -x[1])):
         if s < at:
             continue
         body = (s, e) in blocks
@@ -305,22 +418,19 @@ def redacted_text(text: str, spots: list[tuple[int, int]], mark: str) -> str:
 
 def redacted(files: DataFrame, texts: DataFrame, key: str, text: str, mark: str = "REDACTED", max_owners: int = MAX_OWNERS) -> DataFrame:
     """key, text, secrets: the rows of ``texts`` (files or their chunks) without the secrets confirmed over ``files``."""
-    source = files.filter("content IS NOT NULL").select("path", "content")
-    sc = files.sparkSession.sparkContext
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(0).alias("secrets"))
-    for number, shard in enumerate(_automata(confirmed(source, max_owners))):
-        held = sc.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, first=number == 0) -> Iterator[pa.RecordBatch]:
-            scan = _scanner(held.value)
-            for b in batches:
-                out, n = [], []
-                for t, before in zip(b.column("text").to_pylist(), b.column("secrets").to_pylist(), strict=True):
-                    spots = scan(t) if t else []
-                    keys = sum(1 for _ in KEY_BLOCK.finditer(t)) if t and first else 0
-                    out.append(redacted_text(t, spots, mark) if spots or keys else t)
-                    n.append(before + len(spots) + keys)
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.string()), pa.array(n, pa.int32())], ["key", "text", "secrets"])
-
-        rows = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, text STRING, secrets INT")
-    return rows.withColumnRenamed("key", key).withColumnRenamed("text", text)
+    literals = keyed_literals(confirmed(files.filter("content IS NOT NULL").select("path", "content"), max_owners))
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("owner"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scan, out, n = _batch_scanner(b), [], []
+            for t, own in zip(b.column("text").to_pylist(), b.column("literals").to_pylist(), strict=True):
+                spots = scan(t) if t and own else []
+                keys = len(key_bodies(t)) if t and own is not None else 0
+                out.append(redacted_text(t, spots, mark) if spots or keys else t)
+                n.append(len(spots) + keys)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.string()), pa.array(n, pa.int32())], ["key", "text", "secrets"])
+
+    joined = rows.join(possible(rows, literals), "owner", "left").select("key", "text", "literals")
+    done = joined.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, text STRING, secrets INT")
+    return done.withColumnRenamed("key", key).withColumnRenamed("text", text)
