@@ -22,6 +22,7 @@ that tie in the hash are told apart by the key.
 from __future__ import annotations
 
 import random
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ from ..sources.tables import written
 from .tokens import encoded
 
 SEED = 42
+#: Records of one length that are ranked together; of a length with more, only the part in which its last used record lies.
+RANKED = 10_000
 #: Records over this length are chosen before the others, whose sums fill what is left.
 LONG = 65_536
 #: Rest of a budget that the dynamic program fills exactly; what is above it is filled greedily before.
@@ -138,37 +141,68 @@ def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return clean_targets(targets).join(by, "source", "left").crossJoin(F.broadcast(total)).withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("bigint"))
 
 
-def short_sources(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
-    """source: those of ``targets`` that can't reach their share."""
-    return budgets(measured(documents, path), targets).filter(F.col("tokens") * F.col("max_repeats") < F.col("target_share") * F.col("total")).select("source")
+class Fitted(NamedTuple):
+    """How one source is used: each record ``whole`` times and ``extra`` records of each length once more."""
 
+    source: str
+    target: float
+    available: int
+    whole: int
+    extra: dict[int, int]
+    counts: dict[int, int]
+    reached: int
 
-def mixed_documents(documents: DataFrame, targets: DataFrame, seed: int = SEED, path: str | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, repeats: the documents of the mix and how often each is used."""
-    sized = written(measured(documents, path), "sized")
-    plan = []
+
+def fitted(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> list[Fitted]:
+    """The budget fitting of each target source from ``sized`` (doc_id, source, n_tokens)."""
     facts = budgets(sized, targets).collect()  # one row per target source
-    counts: dict[str, list[tuple[int, int]]] = {}
-    known = [r["source"] for r in facts]
-    hist = sized.filter(F.col("source").isin(known)).groupBy("source", "n_tokens").agg(F.count("*").alias("c"))
+    counts: dict[str, dict[int, int]] = {r["source"]: {} for r in facts}
+    hist = sized.filter(F.col("source").isin(list(counts))).groupBy("source", "n_tokens").agg(F.count("*").alias("c"))
     for r in hist.toLocalIterator():  # bounded: lengths of a source, at most sqrt(2 x its tokens)
-        counts.setdefault(r["source"], []).append((r["n_tokens"], r["c"]))
+        counts[r["source"]][r["n_tokens"]] = r["c"]
+    out = []
     for r in facts:
-        budget, tokens = int(r["target_share"] * r["total"]), r["tokens"]
-        if tokens * r["max_repeats"] <= budget:
-            plan.append((r["source"], -1, r["max_repeats"], 0))
-            continue
-        whole = budget // tokens if tokens else 0
-        plan.append((r["source"], -1, whole, 0))
-        plan += [(r["source"], n, whole, k) for n, k in fit(counts.get(r["source"], []), budget - whole * tokens, seed).items() if k]
+        target, tokens, own = r["target_share"] * r["total"], r["tokens"], counts[r["source"]]
+        budget, available = int(target), tokens * r["max_repeats"]
+        whole = r["max_repeats"] if available <= budget else budget // tokens
+        extra = {} if available <= budget else {n: k for n, k in fit(list(own.items()), budget - whole * tokens, seed).items() if k}
+        out.append(Fitted(r["source"], target, available, whole, extra, own, whole * tokens + sum(n * k for n, k in extra.items())))
+    return out
+
+
+def short_sources(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+    """source: those of ``targets`` whose fitted use stays below their share because all their records don't reach it.
+
+    A source can also end below its target because no sum of its records meets it; that is no lack, so what the source has is
+    compared with the target as well.
+    """
+    plan = fitted(written(measured(documents, path), "sized"), targets)
+    return documents.sparkSession.createDataFrame([(p.source,) for p in plan if p.reached < p.target and p.available < p.target], "source STRING")
+
+
+def mixed_documents(documents: DataFrame, targets: DataFrame, seed: int = SEED, path: str | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, repeats: the documents of the mix and how often each is used.
+
+    Of a length the first in the order of a seeded hash are used. No length is ranked as a whole: records of a common one are counted
+    in parts of about ``RANKED`` by hash, and only the part where the used ones end is ranked.
+    """
+    sized = written(measured(documents, path), "sized")
+    plan = fitted(sized, targets, seed)
     spark = documents.sparkSession
-    rows = spark.createDataFrame(plan or [("", -1, 0, 0)], "source STRING, n INT, whole INT, extra INT")
-    passes = rows.filter("n = -1").select("source", "whole")
-    extra = rows.filter("n >= 0").select("source", F.col("n").alias("n_tokens"), "extra")
-    w = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id")
-    ranked = sized.join(F.broadcast(passes), "source").join(F.broadcast(extra), ["source", "n_tokens"], "left").withColumn("place", F.when(F.col("extra") > 0, F.row_number().over(w)))
-    uses = F.col("whole") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)
-    return ranked.select("doc_id", "source", "n_tokens", uses.cast("int").alias("repeats")).filter("repeats > 0")
+    passes = spark.createDataFrame([(p.source, p.whole) for p in plan], "source STRING, whole INT")
+    extra = spark.createDataFrame([(p.source, n, k, -(-p.counts[n] // RANKED)) for p in plan for n, k in p.extra.items()], "source STRING, n_tokens INT, extra BIGINT, parts BIGINT")
+    rows = sized.join(F.broadcast(passes), "source").join(F.broadcast(extra), ["source", "n_tokens"], "left")  # one row per source, and per source and length
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("part", F.when(F.col("extra").isNotNull(), F.pmod("h", "parts")))
+    by = ["source", "n_tokens", "part"]
+    counts = rows.filter("part IS NOT NULL").groupBy(*by).agg(F.count("*").alias("own"))
+    upto = Window.partitionBy("source", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(counts.withColumn("upto", F.sum("own").over(upto)), by, "left")
+    border = (F.col("upto") > F.col("extra")) & (F.col("upto") - F.col("own") < F.col("extra"))
+    used = ["doc_id", "source", "n_tokens"]
+    clear = placed.filter(~F.coalesce(border, F.lit(False))).select(*used, (F.col("whole") + F.coalesce((F.col("upto") <= F.col("extra")).cast("int"), F.lit(0))).alias("repeats"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+    last = placed.filter(border).select(*used, "whole", (place <= F.col("extra") - F.col("upto") + F.col("own")).cast("int").alias("more")).select(*used, (F.col("whole") + F.col("more")).alias("repeats"))
+    return clear.unionByName(last).withColumn("repeats", F.col("repeats").cast("int")).filter("repeats > 0")
 
 
 def reached_shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, path: str | None = None) -> DataFrame:
