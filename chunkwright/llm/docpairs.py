@@ -123,17 +123,20 @@ def _braces(code: str) -> dict[int, int]:
     return ends | {s: len(code) - 1 for s in stack}
 
 
+_signature = re.compile(r"[()\[\]{}:]|\n(?=[ \t]*(?:def|class|async|return|@)\b)")
+
+
 def _signature_end(code: str, at: int) -> int:
-    """The place after the colon that ends a Python signature; -1 if there is none."""
+    """The place after the colon that ends a Python signature, however long it is; -1 if there is none."""
     depth = 0
-    for m in re.finditer(r"[()\[\]{}:]|\n(?=[ \t]*(?:def|class|async|return|@)\b)", code[at : at + 20_000]):
+    for m in _signature.finditer(code, at):
         c = m[0]
         if c in "([{":
             depth += 1
         elif c in ")]}":
             depth -= 1
         elif c == ":" and depth == 0:
-            return at + m.end()
+            return m.end()
         elif c[0] == "\n" and depth > 0:
             return -1
     return -1
