@@ -1,8 +1,8 @@
 """Generated, minified, vendored and data-blob files, told from hand-written source.
 
-Evidence, in this order: the file's directory, its name, a notice in the comments that open it, and thresholds on layout
-statistics (maximum and mean line length, shares of white space and alphanumerics, density of numeric literals, share of
-long encoded runs) that are tuned per language. Strings that only speak of such things are no evidence, since notices
+Evidence, in this order: thresholds on layout statistics (maximum and mean line length, shares of white space and
+alphanumerics, density of numeric literals, share of long encoded runs) that are tuned per language; for files that are laid out like
+hand-written ones, the directory, the name, and a notice in the comments. Strings that only speak of such things are no evidence, since notices
 count in comments alone, and neither is a single long line, since every threshold is on shares of the whole text.
 
 Defined results: a null or empty content has statistics of zero and is judged by its path alone; a null path by its
@@ -85,40 +85,58 @@ def opening(text: str) -> str:
     return m[0] if m else ""
 
 
-def origin(path: str | None, text: str | None) -> tuple[str, str, dict[str, float]]:
-    """(class, evidence, statistics): class is generated, minified, vendored, data or hand-written."""
-    path, text = (path or "").replace("\\", "/"), text or ""
+def by_layout(name: str, text: str, facts: dict[str, float]) -> str | None:
+    """minified or data by the layout statistics, else None; plain configuration is never judged by them."""
+    if name.lower().endswith(CONFIG) or not facts["n_lines"]:
+        return None
+    mean, longest, space, digit = LAYOUT.get(name.rsplit(".", 1)[-1].lower(), DEFAULT_LAYOUT)
+    if facts["mean_line"] >= mean and facts["max_line"] >= longest and facts["space"] <= space:
+        return "minified"
+    rows = [len(m[0]) for m in DATA_LINE.finditer(text)]
+    if len(rows) >= 0.8 * facts["n_lines"] and (len(rows) >= 10 or sum(rows) >= DATA_CHARS):
+        return "data"
+    for share, least, lines in (("numeric", digit, 10), ("encoded", 0.5, 5)):
+        if facts[share] >= least and (facts["n_lines"] >= lines or facts[share] * len(text) >= DATA_CHARS):
+            return "data"
+    return None
+
+
+def by_path(path: str) -> tuple[str, str] | None:
+    """(class, evidence) by directory or name."""
     dirs, name = path.lower().split("/")[:-1], path.split("/")[-1]
-    facts = layout(text)
     if any(d in VENDOR_DIRS for d in dirs) or VERSIONED.search(path):
-        return "vendored", "directory", facts
+        return "vendored", "directory"
     if any(d in GENERATED_DIRS for d in dirs):
-        return "generated", "directory", facts
+        return "generated", "directory"
     if GENERATED_NAME.search(name):
-        return "generated", "name", facts
-    if MINIFIED_NAME.search(name):
-        return "minified", "name", facts
+        return "generated", "name"
+    return ("minified", "name") if MINIFIED_NAME.search(name) else None
+
+
+def by_notice(text: str) -> str | None:
+    """generated or vendored by a notice in the opening comments, or generated by one in a comment of its own."""
     head = opening(text)
-    if head:
-        if GENERATED_NOTICE.search(head):
-            return "generated", "notice", facts
-        if VENDOR_NOTICE.search(head):
-            return "vendored", "notice", facts
+    if head and GENERATED_NOTICE.search(head):
+        return "generated"
+    if head and VENDOR_NOTICE.search(head):
+        return "vendored"
     low = text.lower()
     for m in _LINE_COMMENT.finditer(text) if any(w in low for w in NOTICE_WORDS) else ():
         if any(w in m[1].lower() for w in NOTICE_WORDS) and GENERATED_NOTICE.search(m[1]):
-            return "generated", "notice", facts
-    suffix = name.rsplit(".", 1)[-1].lower()
-    if not name.lower().endswith(CONFIG) and facts["n_lines"]:
-        mean, longest, space, digit = LAYOUT.get(suffix, DEFAULT_LAYOUT)
-        if facts["mean_line"] >= mean and facts["max_line"] >= longest and facts["space"] <= space:
-            return "minified", "layout", facts
-        rows = [len(m[0]) for m in DATA_LINE.finditer(text)]
-        if len(rows) >= 0.8 * facts["n_lines"] and (len(rows) >= 10 or sum(rows) >= DATA_CHARS):
-            return "data", "layout", facts
-        for share, least, lines in (("numeric", digit, 10), ("encoded", 0.5, 5)):
-            if facts[share] >= least and (facts["n_lines"] >= lines or facts[share] * len(text) >= DATA_CHARS):
-                return "data", "layout", facts
+            return "generated"
+    return None
+
+
+def origin(path: str | None, text: str | None) -> tuple[str, str, dict[str, float]]:
+    """(class, evidence, statistics): class is generated, minified, vendored, data or hand-written."""
+    path, text = (path or "").replace("\\", "/"), text or ""
+    facts = layout(text)
+    if kind := by_layout(path.split("/")[-1], text, facts):
+        return kind, "layout", facts
+    if found := by_path(path):
+        return *found, facts
+    if kind := by_notice(text):
+        return kind, "notice", facts
     return "hand-written", "", facts
 
 
