@@ -3,7 +3,8 @@
 1. Texts are cut into units (sentences, lines of lists, comments and code) and these into words; names in code count by their
    parts. The table of units holds word hashes only and is written once.
 2. Words are weighted by inverse document frequency over all documents times relevance, the divergence of the
-   subjects of the documents that hold a word from the usual ones. Words of every subject alike weigh nothing.
+   subjects of the documents that hold a word from the usual ones. Words of every subject alike weigh nothing. Each task sums
+   the subjects of its words before anything is exchanged.
 3. Documents are embedded by truncated singular value decomposition of the weighted matrix, by subspace iteration: each
    step is one distributed pass that sums a small matrix.
 4. Centroids are seeded by labelled documents, one for each subject and language, and refined: all documents are assigned
@@ -11,7 +12,10 @@
    assigned documents, and steps 2 to 4 are repeated.
 5. A unit speaks of each area whose centroid is near enough; a document is about the areas of at least ``SHARE`` of its units.
 
-Labels are a bounded sample: at most ``LABELS`` documents, the least in a hash of the key. All else covers all documents.
+Labels are a bounded sample: at most ``LABELS`` documents, the least in a hash of the key. All else covers all documents. Words
+count from a share ``FLOOR`` of the documents that teach, so at most ``1 / FLOOR`` times the mean number of distinct words of a
+document can be relevant, however many documents there are: what reaches the driver and is broadcast (words x ``RANK`` floats) doesn't grow
+with the corpus.
 
 Defined results: null, empty and blank texts, and texts without words, are about nothing; conflicting labels of one
 document count in parts; labels of unknown subjects are ignored; repeated rows of a document count once in the result; with
@@ -44,7 +48,10 @@ SHARE = 0.26
 #: Words count from this many documents and this share of one subject on, and if their divergence from the prior is
 #: beyond chance (twice the documents times the divergence, as in a likelihood-ratio test).
 LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 3, 0.4, 14.0
+FLOOR = 5e-5
 SLICE = 256
+#: Words whose sums a task holds before it gives them out.
+HELD_WORDS = 1_000_000
 
 _unit = re.compile(r"(?<=[.!?;{}])\s+|\n+")
 _run = re.compile(r"[^\W\d_]+")
@@ -99,14 +106,67 @@ def label_shares(labels: DataFrame, areas: list[str], most: int) -> DataFrame:
     return n.select("doc_id", F.array(*[F.array_contains("s", a).cast("double") / F.size("s") for a in [*areas, ""]]).alias("shares"))
 
 
-def word_shares(units: DataFrame, shares: DataFrame, areas: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, their document frequency over all documents, weights by area over documents with shares), relevant words only."""
-    all_ = units.select("doc_id", F.explode(F.array_distinct("words")).alias("w"))
-    df = all_.groupBy("w").agg(F.count("*").alias("df"))
-    seen = all_.join(shares, "doc_id").groupBy("w").agg(*[F.sum(F.col("shares")[i]).alias(f"s{i}") for i in range(areas + 1)], F.count("*").alias("n"))
-    share = F.greatest(*[F.col(f"s{i}") for i in range(areas)]) / F.greatest(F.col("n"), F.lit(1))
-    rows = seen.filter((F.col("n") >= LEAST_DOCUMENTS) & (share >= LEAST_SHARE)).join(df, "w").orderBy("w").toPandas()  # the relevant words of the languages, far fewer than documents
-    return rows["w"].to_numpy(np.int64), rows["df"].to_numpy(float), rows[[f"s{i}" for i in range(areas + 1)]].to_numpy(float).reshape(len(rows), areas + 1)
+def _word_sums(flat: np.ndarray, doc: np.ndarray, shares: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, and of each the documents that hold it, those of them that are taught, and the sums of their shares."""
+    by = np.lexsort((doc, flat))
+    w, d = flat[by], doc[by]
+    once = np.r_[True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])] if len(w) else np.zeros(0, dtype=bool)
+    w, d = w[once], d[once]
+    begin = np.nonzero(np.r_[True, w[1:] != w[:-1]])[0] if len(w) else np.zeros(0, dtype=np.int64)
+    facts = np.concatenate([np.ones((len(d), 1)), taught[d, None], shares[d]], axis=1)
+    return w[begin], (np.add.reduceat(facts, begin) if len(w) else np.zeros((0, shares.shape[1] + 2)))
+
+
+def word_sums(units: DataFrame, areas: int, shares_of) -> DataFrame:
+    """w, df, n, s0, s1, ...: of each word the documents that hold it, how many of them teach, and the sums of their shares of the areas.
+
+    The row without a word is that of all documents. ``shares_of`` gives the matrix of shares (a row of nan where a document
+    doesn't teach) of a batch of ``units``, once it is called without arguments in the task.
+    """
+    names = ["df", "n", *(f"s{i}" for i in range(areas + 1))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = shares_of()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        total, rows = np.zeros(areas + 3), 0
+
+        def out() -> pa.RecordBatch:
+            w, facts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            by = np.argsort(w, kind="stable")
+            begin = np.nonzero(np.r_[True, w[by][1:] != w[by][:-1]])[0] if len(w) else np.zeros(0, dtype=np.int64)
+            facts = np.add.reduceat(facts[by], begin) if len(w) else facts
+            return pa.RecordBatch.from_arrays([pa.array(w[by][begin]), *(pa.array(np.ascontiguousarray(facts[:, i])) for i in range(areas + 3))], ["w", *names])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                b = batch.slice(k, 2000)
+                shares = read(b)
+                taught = ~np.isnan(shares[:, 0])
+                shares = np.nan_to_num(shares)
+                n = np.diff(b.column("words").offsets.to_numpy())
+                held.append(_word_sums(b.column("words").flatten().to_numpy(), np.repeat(np.arange(b.num_rows), n), shares, taught))
+                total += np.r_[b.num_rows, taught.sum(), shares.sum(axis=0)]
+                rows += len(held[-1][0])
+                if rows > HELD_WORDS:
+                    yield out()
+                    held, rows = [], 0
+        if held:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *(pa.array([float(x)]) for x in total)], ["w", *names])
+
+    sums = units.mapInArrow(run, "w BIGINT, " + ", ".join(f"{x} DOUBLE" for x in names))
+    return sums.groupBy("w").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def relevant_words(sums: DataFrame, areas: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(words, their document frequency, their sums of shares, the prior shares, the number of documents) of words that may be relevant."""
+    sums = written(sums, "words")
+    whole = sums.filter("w IS NULL").first()
+    all_ = np.array([whole[f"s{i}"] for i in range(areas + 1)])
+    least = max(LEAST_DOCUMENTS, FLOOR * whole["n"])
+    rows = sums.filter(F.col("w").isNotNull() & (F.col("n") >= least) & (F.greatest(*[F.col(f"s{i}") for i in range(areas)]) >= LEAST_SHARE * F.col("n"))).orderBy("w").toPandas()  # bounded by FLOOR
+    prior = np.maximum(all_ / max(1.0, whole["n"]), 1e-3)
+    return rows["w"].to_numpy(np.int64), rows["df"].to_numpy(float), rows[[f"s{i}" for i in range(areas + 1)]].to_numpy(float).reshape(len(rows), areas + 1), prior / prior.sum(), int(whole["df"])
 
 
 def weights_of(df: np.ndarray, shares: np.ndarray, documents: int, prior: np.ndarray) -> np.ndarray:
@@ -141,6 +201,19 @@ def _slices(m: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([i // SLICE for i in at], pa.int32()), pa.array([np.ascontiguousarray(m[i : i + SLICE]).tobytes() for i in at], pa.binary())], ["slice", "part"])
 
 
+def _places(b: pa.RecordBatch, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, unit, place among ``vocabulary``) of each known word of a batch of units, and the number of units of each document."""
+    sizes, per_doc = b.column("units").flatten().to_numpy(), np.diff(b.column("units").offsets.to_numpy())
+    flat = b.column("words").flatten().to_numpy()
+    # Units are numbered within their document.
+    first = np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    place = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+    hit = np.nonzero(vocabulary[place] == flat)[0]
+    unit = np.repeat(np.arange(len(sizes)), sizes)[hit]
+    doc = np.repeat(np.arange(b.num_rows), per_doc)
+    return doc[unit], unit - first[unit], place[hit], per_doc
+
+
 def known_words(units: DataFrame, words: np.ndarray) -> DataFrame:
     """doc_id, lang, n_units, unit ARRAY<INT>, at ARRAY<INT>: places among ``words`` of the relevant words of each unit."""
     held = units.sparkSession.sparkContext.broadcast(words)
@@ -148,20 +221,13 @@ def known_words(units: DataFrame, words: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
         for b in batches:
-            sizes, per_doc = b.column("units").flatten().to_numpy(), np.diff(b.column("units").offsets.to_numpy())
-            flat = b.column("words").flatten().to_numpy()
-            # Units are numbered within their document.
-            first = np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-            unit = np.repeat(np.arange(len(sizes)) - first, sizes)
-            doc = np.repeat(np.repeat(np.arange(b.num_rows), per_doc), sizes)
-            place = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-            hit = vocabulary[place] == flat
+            doc, unit, place, per_doc = _places(b, vocabulary)
             at = np.zeros(b.num_rows + 1, dtype=np.int32)
-            np.cumsum(np.bincount(doc[hit], minlength=b.num_rows), out=at[1:])
-            lists = [pa.ListArray.from_arrays(at, pa.array(x[hit].astype(np.int32))) for x in (unit, place)]
+            np.cumsum(np.bincount(doc, minlength=b.num_rows), out=at[1:])
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (unit, place)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(per_doc.astype(np.int32)), *lists], ["doc_id", "lang", "n_units", "unit", "at"])
 
-    return units.mapInArrow(run, "doc_id BIGINT, lang STRING, n_units INT, unit ARRAY<INT>, at ARRAY<INT>")
+    return units.select("doc_id", "lang", "units", "words").mapInArrow(run, "doc_id BIGINT, lang STRING, n_units INT, unit ARRAY<INT>, at ARRAY<INT>")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +238,7 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _rows_sum(rows: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``rows`` by the ascending group numbers ``by``."""
-    out = np.zeros((n, rows.shape[1]))
+    out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
     if len(by):
         begin = np.nonzero(np.r_[True, by[1:] != by[:-1]])[0]
         out[by[begin]] = np.add.reduceat(rows, begin)
@@ -189,7 +255,7 @@ def truncated_svd(known: DataFrame, weights: np.ndarray, rank: int, passes: int)
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(weights), rank)))[0]
     sc = known.sparkSession.sparkContext
     for _ in range(passes):
-        held = sc.broadcast((q, weights))
+        held = sc.broadcast((q.astype(np.float32), weights))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             q, w = held.value
@@ -200,11 +266,12 @@ def truncated_svd(known: DataFrame, weights: np.ndarray, rank: int, passes: int)
                     doc, _, at = _flat(b)
                     if not len(at):
                         continue
+                    # Only the words met take part; the block of the matrix over them is dense.
+                    met, place = np.unique(at, return_inverse=True)
+                    m = np.bincount(doc * len(met) + place, w[at], b.num_rows * len(met)).reshape(b.num_rows, len(met)).astype(np.float32)
                     size = np.sqrt(np.bincount(doc, w[at] ** 2, b.num_rows))
-                    value = w[at] / np.maximum(size[doc], 1e-12)
-                    y = _rows_sum(value[:, None] * q[at], doc, b.num_rows)
-                    by = np.argsort(at, kind="stable")
-                    out += _rows_sum(value[by, None] * y[doc[by]], at[by], len(out))
+                    m /= np.maximum(size, 1e-12)[:, None].astype(np.float32)
+                    out[met] += m.T @ (m @ q[met])
             yield _slices(out)
 
         q = np.linalg.qr(summed(known.mapInArrow(run, "slice INT, part BINARY"), q.shape))[0]
@@ -244,57 +311,85 @@ def centroid_sums(known: DataFrame, basis: np.ndarray, weights: np.ndarray, grou
     return summed(known.mapInArrow(run, "slice INT, part BINARY"), (len(groups), basis.shape[1]))
 
 
+def _counts(n: int, doc: np.ndarray, unit: np.ndarray, at: np.ndarray, basis: np.ndarray, weights: np.ndarray, of: np.ndarray, centroids: np.ndarray, areas: int) -> np.ndarray:
+    """How many units of each of ``n`` documents speak of each area."""
+    counts = np.zeros((n, areas), dtype=np.int32)
+    if len(at):
+        edge = np.r_[True, (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1])]
+        number = np.cumsum(edge) - 1
+        near = unit_length(_rows_sum(weights[at, None] * basis[at], number, number[-1] + 1)) @ centroids.T
+        least = np.maximum(NEAR_UNIT, RIVAL * near.max(axis=1))
+        for a in np.unique(of):
+            counts[:, a] = np.bincount(doc[edge], near[:, of == a].max(axis=1) >= least, n)
+    return counts
+
+
 def area_counts(known: DataFrame, basis: np.ndarray, weights: np.ndarray, groups: list[tuple[int, str]], centroids: np.ndarray, areas: int) -> DataFrame:
     """doc_id, n_units, counts ARRAY<INT>: how many units of each document speak of each area."""
-    held = known.sparkSession.sparkContext.broadcast((basis, weights, groups, centroids))
+    held = known.sparkSession.sparkContext.broadcast((basis, weights, np.array([g[0] for g in groups]), centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, weights, groups, centroids = held.value
-        of = np.array([g[0] for g in groups])
+        basis, weights, of, centroids = held.value
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 b = batch.slice(k, 2000)
-                doc, unit, at = _flat(b)
-                counts = np.zeros((b.num_rows, areas), dtype=np.int32)
-                if len(at):
-                    edge = np.r_[True, (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1])]
-                    number = np.cumsum(edge) - 1
-                    near = unit_length(_rows_sum(weights[at, None] * basis[at], number, number[-1] + 1)) @ centroids.T
-                    least = np.maximum(NEAR_UNIT, RIVAL * near.max(axis=1))
-                    for a in np.unique(of):
-                        np.add.at(counts[:, a], doc[edge], near[:, of == a].max(axis=1) >= least)
+                counts = _counts(b.num_rows, *_flat(b), basis, weights, of, centroids, areas)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_units"), pa.array(list(counts), pa.list_(pa.int32()))], ["doc_id", "n_units", "counts"])
 
     return known.select("doc_id", "lang", "n_units", "unit", "at").mapInArrow(run, "doc_id BIGINT, n_units INT, counts ARRAY<INT>")
 
 
+def labelled(areas: int):
+    """The shares of a batch of units with labels in the column ``shares``."""
+
+    def read(b: pa.RecordBatch) -> np.ndarray:
+        own = b.column("shares").to_pylist()
+        return np.array([s if s is not None else [np.nan] * (areas + 1) for s in own], dtype=float).reshape(b.num_rows, areas + 1)
+
+    return lambda: read
+
+
+def assigned(held, areas: int, share: float):
+    """The shares of a batch of units by what the centroids in the broadcast ``held`` assign: of each document equal parts of its areas."""
+
+    def task():
+        words, basis, weights, of, centroids = held.value
+
+        def read(b: pa.RecordBatch) -> np.ndarray:
+            doc, unit, at, per_doc = _places(b, words)
+            counts = _counts(b.num_rows, doc, unit, at, basis, weights, of, centroids, areas)
+            about = (counts > 0) & (counts >= share * per_doc[:, None])
+            n = about.sum(axis=1, keepdims=True)
+            return np.concatenate([about / np.maximum(n, 1), n == 0], axis=1)
+
+        return read
+
+    return task
+
+
 def document_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, most_labels: int = LABELS, share: float = SHARE) -> DataFrame:
     """doc_id, n_units, counts, about ARRAY<STRING>: the areas each document is about, in the order of their names."""
-    names = [r[0] for r in areas.filter("subject IS NOT NULL").select("subject").distinct().orderBy("subject").limit(10_000).collect()]
+    names = [r[0] for r in areas.filter("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]  # one column of the result each
     spark = documents.sparkSession
     nothing = "doc_id BIGINT, n_units INT, counts ARRAY<INT>, about ARRAY<STRING>"
     units = written(units_of(documents), "units")
-    n = units.count()
     shares = written(label_shares(labels, names, most_labels), "labels")
-    if not names or not n or not shares.limit(1).count():
+    if not names or not units.limit(1).count() or not shares.limit(1).count():
         return spark.createDataFrame([], nothing)
     about = F.filter(F.array(*[F.when((F.col("counts")[i] > 0) & (F.col("counts")[i] >= share * F.col("n_units")), F.lit(a)) for i, a in enumerate(names)]), lambda x: x.isNotNull())
-    taught, out = shares, None
+    sums, out = word_sums(units.join(shares, "doc_id", "left").select("words", "shares"), len(names), labelled(len(names))), None
     for turn in range(ROUNDS):
-        words, df, by_area = word_shares(units, taught, len(names))
-        if not len(words):
-            return spark.createDataFrame([], nothing)
-        prior = taught.agg(*[F.avg(F.col("shares")[i]) for i in range(len(names) + 1)]).first()
-        prior = np.maximum(np.array(prior, dtype=float), 1e-3)
-        weights = weights_of(df, by_area, n, prior / prior.sum())
+        words, df, by_area, prior, n = relevant_words(sums, len(names))
+        weights = weights_of(df, by_area, n, prior)
         words, weights = words[weights > 0], weights[weights > 0]
         if not len(words):
             return spark.createDataFrame([], nothing)
         known = written(known_words(units, words), "known")
         basis = truncated_svd(known, weights, RANK, PASSES)
-        langs = [r[0] for r in known.join(shares, "doc_id").groupBy("lang").count().filter("lang IS NOT NULL").orderBy(F.desc("count"), "lang").limit(50).collect()]
+        taught = written(known.join(shares, "doc_id"), "taught")
+        langs = [r[0] for r in taught.groupBy("lang").count().filter("lang IS NOT NULL").orderBy(F.desc("count"), "lang").collect()]  # of labelled documents, two letters each
         groups = [(a, code) for a in range(len(names)) for code in langs]
-        centroids = centroid_sums(known.join(shares, "doc_id"), basis, weights, groups, None)
+        centroids = centroid_sums(taught, basis, weights, groups, None)
         some = np.linalg.norm(centroids, axis=1) > 0.2
         groups, centroids = [g for g, ok in zip(groups, some, strict=True) if ok], unit_length(centroids[some])
         if not groups:
@@ -304,10 +399,11 @@ def document_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, mo
             # A centroid keeps half of its seed's direction, so that none wanders off to another area.
             moved = np.linalg.norm(total, axis=1) > 0
             centroids[moved] = unit_length(centroids[moved] + unit_length(total[moved]))
-        out = written(area_counts(known, basis, weights, groups, centroids, len(names)).withColumn("about", about), "areas")
-        if turn + 1 < ROUNDS:  # what was assigned teaches the next round, over all documents
-            each = F.greatest(F.size("about"), F.lit(1))
-            taught = written(out.select("doc_id", F.array(*[F.array_contains("about", a).cast("double") / each for a in names], (F.size("about") == 0).cast("double")).alias("shares")).dropDuplicates(["doc_id"]), "taught")
+        if turn + 1 < ROUNDS:  # what is assigned teaches the next round, over all documents
+            held = spark.sparkContext.broadcast((words, basis, weights, np.array([g[0] for g in groups]), centroids))
+            sums = word_sums(units, len(names), assigned(held, len(names), share))
+        else:
+            out = written(area_counts(known, basis, weights, groups, centroids, len(names)).withColumn("about", about), "areas")
     return out
 
 
