@@ -259,6 +259,11 @@ def test_doc_pairs():
     assert names("a.txt", GO) == [] and names("a.py", "") == [] and names("a.py", "def f(:\n  '''x") == []
 
 
+def test_doc_pairs_of_a_long_signature():
+    text = "def wide(\n" + "".join(f"    argument_{i}=None,\n" for i in range(1500)) + '):\n    """Reads every value once and keeps the last good one."""\n'
+    assert len(text) > 30_000 and [(n, a) for n, a, _, _ in docpairs.pairs("a.py", text)] == [("wide", 1)]
+
+
 def test_doc_pairs_table(spark):
     df = spark.createDataFrame([(1, "a.py", PYTHON), (2, None, PYTHON), (3, "b.go", None), (None, "a.py", PYTHON), (1, "a.py", PYTHON)], FILES).selectExpr("*", "'x' AS name", "1 AS line")
     got = docpairs.function_docs(df).collect()
@@ -295,11 +300,32 @@ def test_secrets(spark):
     assert out[3] is None and secrets.secret_lines(df.limit(0)).count() == 0
 
 
-def test_secret_shards(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"{i}.py", f"password = 'Pass+{i}word'\n") for i in range(30)], FILES)
-    whole = {(r.file_id, r.line) for r in secrets.secret_lines(df).collect()}
-    monkeypatch.setattr(secrets, "AUTOMATON_ROWS", 7)
-    assert {(r.file_id, r.line) for r in secrets.secret_lines(df).collect()} == whole == {(i, 1) for i in range(30)}
+def test_many_secrets_of_one_run(spark):
+    df = spark.createDataFrame([(i, f"{i}.py", f"password = 'Password+{i}'\nx = 'say \\nPassword+{i}'\n") for i in range(30)], FILES)
+    assert {(r.file_id, r.line) for r in secrets.secret_lines(df).collect()} == {(i, n) for i in range(30) for n in (1, 2)}
+
+
+def test_parts_of_key_blocks_are_redacted(spark):
+    rng = random.Random(9)
+    body = ["".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(64)) for _ in range(6)] + ["a7Q="]
+    lines = ["x = 1", "-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----", "y = 2"]
+    files = spark.createDataFrame([(1, "k.pem", "\n".join(lines))], FILES)
+    cuts = [(0, 5), (4, 7), (6, 11), (0, 11)]
+    chunks = spark.createDataFrame([(i, i, "\n".join(lines[a:z])) for i, (a, z) in enumerate(cuts)], CHUNKS)
+    got = {r.chunk_id: r.text for r in secrets.redacted(files, chunks, "chunk_id", "text").collect()}
+    for i, (a, z) in enumerate(cuts):
+        assert not any(x in got[i] for x in body) and got[i].count("\n") == z - a - 1
+        assert ("x = 1" in got[i]) == (a == 0) and ("y = 2" in got[i]) == (z == 11)
+    assert [(r.file_id, r.line) for r in secrets.secret_lines(files).collect()] == [(1, 2)]
+
+
+def test_long_names_calls_and_short_parts(spark):
+    name = "x" * 100 + "_password"
+    text = f"{name} = 'Tr0ub4dor&3x'\ndb.login('bob', {'1 + ' * 600}2, 'Pligor%2946')\ntoken = 'glpat-H2UVfxHUFTx' + 'SW' + 'x1' \\\n  '9'\n"
+    df = spark.createDataFrame([(1, "a.py", text)], FILES)
+    assert sorted(r.line for r in secrets.secret_lines(df).collect()) == [1, 2, 3]
+    out = secrets.redacted(df, df, "file_id", "content").first().content
+    assert "'SW'" not in out and "'x1'" not in out and "Pligor" not in out and "Tr0ub" not in out
 
 
 # --- 6: origins ------------------------------------------------------------------------------------------------------
