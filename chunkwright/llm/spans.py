@@ -114,8 +114,8 @@ def _once_per_run(rows: DataFrame) -> DataFrame:
     return rows.select("file", "hashes").mapInArrow(run, "hashes ARRAY<BIGINT>")
 
 
-def _repeated(rows: DataFrame, sketch: CountMin) -> DataFrame:
-    """``rows`` (with hashes) with those of their hashes only that are estimated as repeated."""
+def _met(rows: DataFrame, sketch: CountMin, least: int) -> DataFrame:
+    """``rows`` (with hashes) with those of their hashes only that are estimated as met ``least`` times."""
     held, bits = rows.sparkSession.sparkContext.broadcast(sketch.cells), sketch.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def _repeated(rows: DataFrame, sketch: CountMin) -> DataFrame:
         for b in batches:
             lists = b.column("hashes")
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()[: lists.offsets[-1].as_py()]
-            keep = seen.estimate(flat.view(U)) > 1
+            keep = seen.estimate(flat.view(U)) >= least
             upto = np.r_[0, np.cumsum(keep)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "hashes"), pa.ListArray.from_arrays(upto[at], pa.array(flat[keep]))], [*(c for c in b.schema.names if c != "hashes"), "hashes"])
 
@@ -166,10 +166,11 @@ def class_spans(records: DataFrame, key: str, file: str, text: str, length: int
         raise ValueError("anchor must lie between 1 and length")
     rows = _records(records, key, file, text, length)
     anchors, sketch = _anchors(rows, length, anchor)
-    # Exact grouping of what the sketch let through: anchors of two or more files.
-    by_anchor = written(_repeated(anchors, sketch).select("file", "cls", F.explode("hashes").alias("h")).repartition("h").distinct(), "repeated")
-    shared = by_anchor.groupBy("h").agg(F.min("file").alias("f1"), F.max("file").alias("f2")).filter("f1 <> f2").select("h")
-    kept = written(by_anchor.join(shared, "h", "left_semi").select("h", "cls").distinct(), "shared")
+    # Exact grouping of what the sketch let through: anchors of two or more files. Only those are then exchanged with their classes.
+    by_file = _met(anchors.select("file", "hashes"), sketch, 2).select("file", F.explode("hashes").alias("h"))
+    shared = written(by_file.groupBy("h").agg(F.min("file").alias("f1"), F.max("file").alias("f2")).filter("f1 <> f2").select("h"), "shared")
+    known = sketch_of(shared.select(F.array("h").alias("hashes")), sketch_bits(shared.count(), 16), 1, 1)
+    kept = written(_met(anchors.select("cls", "hashes"), known, 1).select("cls", F.explode("hashes").alias("h")).join(shared, "h", "left_semi").select("h", "cls").distinct(), "kept")
     a, b = kept.select("h", F.col("cls").alias("cls_a")), kept.select("h", F.col("cls").alias("cls_b"))
     pairs = written(a.join(b, "h").filter("cls_a < cls_b").select("cls_a", "cls_b").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
