@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
+
 KEY = ["buffer_id", "path"]
 CHANGES = "buffer_id STRING, path STRING, snapshot_seq INT, change STRING"
 #: Rows of a bucket on average, over all its snapshots; a task holds two snapshots of one buffer's part of a bucket.
@@ -36,7 +38,9 @@ def normal_path(path: Column, root: Column) -> Column:
     """``path`` below ``root`` with single forward slashes and without ``./`` steps; letter case is kept."""
 
     def slashed(c: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.translate(F.trim(c), "\\", "/"), "/+", "/"), "(?<=/)(?:\\./)+", "")
+        plain = F.trim(c)
+        odd = plain.contains("\\") | plain.contains("//") | plain.contains("./")  # most paths need no pattern
+        return F.when(odd, F.regexp_replace(F.regexp_replace(F.translate(plain, "\\", "/"), "/+", "/"), "(?<=/)(?:\\./)+", "")).otherwise(plain)
 
     p, r = slashed(path), F.rtrim(slashed(root), F.lit("/"))
     below = F.when(F.length(r) > 0, F.when(p.startswith(F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, F.length(p)))).otherwise(None)
@@ -62,6 +66,14 @@ def snapshot_rows(files: DataFrame) -> DataFrame:
     ).filter("snapshot_seq IS NOT NULL AND length(path) > 0")
 
 
+def nth_last(files: DataFrame, n: int = 1) -> DataFrame:
+    """buffer_id, path, hash: the last delivered rows of the n-th last existing snapshot of each buffer."""
+    w = Window.partitionBy("buffer_id").orderBy(F.desc("snapshot_seq"))
+    seqs = files.select("buffer_id", F.col("snapshot_seq").cast("int").alias("snapshot_seq")).filter("snapshot_seq IS NOT NULL").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") == n)
+    rows = snapshot_rows(files).join(seqs.select(F.col("buffer_id").alias("sb"), F.col("snapshot_seq").alias("ss")), F.col("buffer_id").eqNullSafe(F.col("sb")) & (F.col("snapshot_seq") == F.col("ss")))
+    return rows.groupBy(*KEY).agg(F.max(F.struct("loaded_at", "mtime", "hash", "size")).alias("e")).select(*KEY, "e.hash")
+
+
 def plain_hash() -> Column:
     """Hash of size and mtime, which decide where a digest is missing; nulls are values of their own."""
     return F.xxhash64(F.coalesce("size", F.lit(-1)), F.col("mtime").isNull(), F.col("mtime"))
@@ -174,7 +186,8 @@ def snapshot_changes(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-files.select("snapshot_seq").count() // BUCKET_ROWS))
-    order = snapshot_order(files).select(F.col("buffer_id").alias("o_buffer"), F.col("snapshot_seq").alias("o_seq"), "before", "after")
+    # One row per snapshot; written, so that its size is known when the join is planned and a small one is broadcast.
+    order = written(snapshot_order(files).select(F.col("buffer_id").alias("o_buffer"), F.col("snapshot_seq").alias("o_seq"), "before", "after"), "order")
     rows = snapshot_rows(files)
     rows = rows.join(order, rows.buffer_id.eqNullSafe(order.o_buffer) & (rows.snapshot_seq == order.o_seq))
     sorted_ = rows.repartition(buckets, *KEY).sortWithinPartitions("buffer_id", "snapshot_seq", "path", "loaded_at", "mtime", "hash", "size")
@@ -234,8 +247,6 @@ class SnapshotIndex:
 
         buffer_id, path, snapshot_seq, change, old_hash, old_size, new_hash, new_size.
         """
-        from ..sources.tables import written
-
         new = written(self._keyed(delivery), "delivery")
         keys = [*self.PARTS, "h1", "h2"]
         old = self._only(self.entries(), new, ["b"]).select(*keys, F.col("digest").alias("was"), F.col("plain").alias("was_plain"), F.lit(True).alias("there"))
@@ -252,8 +263,6 @@ class SnapshotIndex:
 
     def swap(self, delivery: DataFrame) -> None:
         """Make ``delivery`` the last snapshot of its buffers: their folders are written anew, all others stay."""
-        from ..sources.tables import written
-
         new = written(self._keyed(delivery), "delivery")
         buffers = [r[0] for r in new.select("b").distinct().collect()]  # names of the buffers delivered
         jvm = self.spark._jvm.org.apache.hadoop.fs
