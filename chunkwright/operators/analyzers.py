@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .graph import buffered
 
 # --- fixed values: the rules -------------------------------------------------------------------------------------
 SECURITY = [
@@ -46,7 +47,21 @@ DEPRECATED = [
 TODO = r"(?i)(TODO|FIXME|HACK|XXX|NOTE)\s*(?:\(([^)]+)\))?\s*[:\-]?\s*(.*)"
 TODO_PRIORITY = {"FIXME": "high", "HACK": "medium", "XXX": "high", "TODO": "low", "NOTE": "low"}
 LOG_LEVELS = ["debug", "info", "warning", "error", "critical"]
-CACHE_LIBRARIES = ["functools.lru_cache", "cachetools", "redis", "memcached", "diskcache", "django.core.cache", "flask_caching"]
+CACHE_LIBRARIES = ["redis", "memcache", "lru_cache", "functools", "cachetools", "diskcache"]
+ENDPOINT = r"""(?is)@\w+\.(get|post|put|delete|patch|route)\s*\(\s*["']([^"']+)["'][^)]*\)\s*(?:\r?\n\s*@[^\n]*)*\s*(?:async\s+)?def\s+(\w+)"""
+ERROR_PATTERNS = {"try": r"\btry\s*:", "bare_except": r"except\s*:", "broad_except": r"except\s+Exception\s*:", "silent_pass": r"except\s+\w+\s*:\s*\n\s*pass"}
+CACHE_INVALIDATION = r"(?i)(cache\.(delete|clear|invalidate)|\.(delete|invalidate)\s*\()"
+CACHE_WRITE = r"(?i)cache\.(set|put|add)\s*\("
+MUTATION = r"\w+\.(append|extend|update|pop|remove|clear|add)\s*\("
+LOCK = r"(Lock|RLock|Semaphore|threading\.)"
+BOUND = r"(max_|limit|cap|size|len\(|break|return)"
+MODULE_MUTABLE = r"(?m)^([A-Za-z_]\w*)\s*(?::[^=\n]+)?=\s*(?:\[|\{|list\(|dict\(|set\()"
+KNOWN_MODULES = [
+    "os", "sys", "re", "json", "logging", "pathlib", "typing", "dataclasses", "collections", "abc",
+    "functools", "itertools", "datetime", "hashlib", "io", "contextlib", "asyncio", "subprocess", "shutil", "tempfile",
+    "time", "math", "unittest", "copy", "ast", "importlib", "inspect", "textwrap", "enum", "http",
+    "urllib", "email", "csv", "sqlite3", "fastapi", "pydantic", "uvicorn", "numpy", "torch", "sentence_transformers",
+]
 CONFIG_FILE = r"""["']([^"'\n]*\.(?:yaml|yml|toml|ini|cfg|conf|json))["']"""
 ENV_READ = r"""os\.(?:environ\.get|getenv)\s*\(\s*["'](\w+)["']\s*(?:,\s*([^)]+))?\)"""
 ASSIGNED_SECRET = r"""(?i)(?:secret|password|api_key|token|auth_key|private_key)\s*=\s*["'][^"']{4,}["']"""
@@ -157,8 +172,7 @@ def configuration(chunks: DataFrame) -> DataFrame:
 
 def endpoints(chunks: DataFrame) -> DataFrame:
     """chunk_id, verb, path, handler: HTTP routes by decorators, with the function below."""
-    route = r"""(?is)@\w+\.(get|post|put|delete|patch|route)\s*\(\s*["']([^"']+)["'][^)]*\)\s*(?:\r?\n\s*@[^\n]*)*\s*(?:async\s+)?def\s+(\w+)"""
-    rows = chunks.filter(F.col("text").rlike(route))
+    rows, route = chunks.filter(F.col("text").rlike(ENDPOINT)), ENDPOINT
     zipped = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(route), i).alias(n) for i, n in ((1, "verb"), (2, "path"), (3, "handler"))])
     return rows.select("chunk_id", F.explode(zipped).alias("x")).select("chunk_id", F.upper(F.when(F.lower("x.verb") == "route", "GET").otherwise(F.col("x.verb"))).alias("verb"), "x.path", "x.handler")
 
@@ -173,7 +187,7 @@ def error_handling(chunks: DataFrame) -> DataFrame:
     """kind, chunks, total: try blocks, bare and broad handlers, silent passes and missing clean-up."""
     c = F.col("text")
     needs = (c.contains("open(") | c.contains("connect(")) & c.rlike(r"\btry\s*:") & ~c.contains("finally:") & ~c.contains("with ")
-    counts = {"try": F.regexp_count(c, F.lit(r"\btry\s*:")), "bare_except": F.regexp_count(c, F.lit(r"except\s*:")), "broad_except": F.regexp_count(c, F.lit(r"except\s+Exception\s*:")), "silent_pass": F.regexp_count(c, F.lit(r"except\s+\w+\s*:\s*\n\s*pass")), "missing_finally": needs.cast("int")}
+    counts = {k: F.regexp_count(c, F.lit(p)) for k, p in ERROR_PATTERNS.items()} | {"missing_finally": needs.cast("int")}
     rows = chunks.filter("text IS NOT NULL").select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("n")) for k, v in counts.items()])).alias("x")).select("x.*")
     return rows.groupBy("kind").agg(F.count_if(F.col("n") > 0).alias("chunks"), F.sum("n").cast("bigint").alias("total"))
 
@@ -181,33 +195,65 @@ def error_handling(chunks: DataFrame) -> DataFrame:
 def chunk_flags(chunks: DataFrame) -> DataFrame:
     """chunk_id, cache_write_unsafe, unlocked_mutation, many_locks, growth, unclosed, self_reference: risks of each chunk."""
     c = F.col("text")
-    invalidates = c.rlike(r"(?i)(cache\.(delete|clear|invalidate)|\.(delete|invalidate)\s*\()")
-    writes = c.rlike(r"(?i)cache\.(set|put|add)\s*\(")
-    mutates, locks = c.rlike(r"\w+\.(append|extend|update|pop|remove|clear|add)\s*\("), c.rlike(r"(Lock|RLock|Semaphore|threading\.)")
-    grows = F.col("type").isin("function", "method", "nested_function") & c.rlike(r"\b(for|while)\b") & c.rlike(r"\.append\s*\(") & ~c.rlike(r"(max_|limit|cap|size|len\(|break|return)")
+    invalidates, writes, mutates, locks = (c.rlike(p) for p in (CACHE_INVALIDATION, CACHE_WRITE, MUTATION, LOCK))
+    grows = F.col("type").isin("function", "method", "nested_function") & c.rlike(r"\b(for|while)\b") & c.rlike(r"\.append\s*\(") & ~c.rlike(BOUND)
     unclosed = c.rlike(r"\w+\s*=\s*open\s*\([^)]*\)") & ~c.contains(".close()") & ~c.contains("with open")
     return chunks.filter("text IS NOT NULL").select("chunk_id", (writes & ~invalidates).alias("cache_write_unsafe"), (mutates & ~locks).alias("unlocked_mutation"), (F.regexp_count(c, F.lit(r"(Lock|RLock)\s*\(\s*\)")) > 1).alias("many_locks"), F.coalesce(grows, F.lit(False)).alias("growth"), unclosed.alias("unclosed"), c.rlike(r"self\.(\w+)\s*=\s*self\b").alias("self_reference"))
 
 
+def cache_libraries(chunks: DataFrame) -> DataFrame:
+    """library, chunks: how many chunks speak of each cache library that any does."""
+    return chunks.select(F.explode(F.filter(F.array(*[F.lit(x) for x in CACHE_LIBRARIES]), lambda x: F.contains(F.col("text"), x))).alias("library")).groupBy("library").agg(F.count("*").alias("chunks"))
+
+
+def module_mutables(chunks: DataFrame, types: tuple[str, ...] = ("module", "orphan")) -> DataFrame:
+    """chunk_id, name: mutable values that are assigned at the left margin of chunks outside of definitions."""
+    return chunks.filter(F.col("type").isin(list(types)) & F.col("text").isNotNull()).select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MODULE_MUTABLE), 1))).alias("name"))
+
+
+def unresolved_imports(chunks: DataFrame) -> DataFrame:
+    """buffer_id, chunk_id, file, module: imports whose first part is neither the stem of a file of the buffer nor a known module."""
+    b = buffered(chunks)
+    stems = b.select("buffer_id", F.regexp_replace(T.base_name(F.col("file")), r"\.[^.]*$", "").alias("first")).distinct()
+    each = b.select("buffer_id", "chunk_id", "file", F.explode("imports").alias("module")).filter("module IS NOT NULL").withColumn("first", F.substring_index("module", ".", 1))
+    return each.filter(~F.col("first").isin(KNOWN_MODULES)).join(stems, ["buffer_id", "first"], "left_anti").select("buffer_id", "chunk_id", "file", "module").distinct()
+
+
 def quality(chunks: DataFrame) -> DataFrame:
-    """file, lines, functions, branches, average, nesting, documented, complexity, documentation, overall: quality of each file."""
+    """buffer_id, file, lines, functions, branches, average, nesting, documented, typed, complexity, documentation, overall, suggestions: quality of each file.
+
+    suggestions has the first ten, by line, of functions without documentation, with over 8 branches or over 50 lines.
+    """
     code = F.col("type").isin("function", "method", "nested_function")
     c = F.col("text")
-    rows = chunks.filter("text IS NOT NULL").select("file", F.size(F.split(c, "\n")).alias("lines"), code.cast("int").alias("f"), F.when(code, T.branches(c)).otherwise(0).alias("b"), F.when(code, T.nesting(c)).otherwise(0).alias("deep"), (code & (c.contains('"""') | c.contains("'''"))).cast("int").alias("d"))
-    by = rows.groupBy("file").agg(F.sum("lines").alias("lines"), F.sum("f").cast("bigint").alias("functions"), F.sum("b").cast("bigint").alias("branches"), F.max("deep").alias("nesting"), F.sum("d").alias("docs"))
+    n_lines, branches = F.size(F.split(c, "\n")), T.branches(c)
+    documented = c.contains('"""') | c.contains("'''")
+    typed = c.contains("->") | F.array_join(F.slice(F.split(c, "\n"), 1, 2), "\n").contains(": ")
+    advice = F.array(F.when(~documented & F.col("name").isNotNull(), F.lit("document")), F.when(branches > 8, F.lit("split")), F.when(n_lines > 50, F.lit("extract")))
+    each = F.when(code, F.transform(F.filter(advice, lambda x: x.isNotNull()), lambda x: F.struct("start_line", "chunk_id", x.alias("what")))).otherwise(F.array().cast("array<struct<start_line: int, chunk_id: bigint, what: string>>"))
+    rows = buffered(chunks).filter("text IS NOT NULL").select(
+        "buffer_id", "file", n_lines.alias("lines"), code.cast("int").alias("f"), F.when(code, branches).otherwise(0).alias("b"), F.when(code, T.nesting(c)).otherwise(0).alias("deep"), (code & documented).cast("int").alias("d"), (code & typed).cast("int").alias("t"), each.alias("advice"),
+    )
+    by = rows.groupBy("buffer_id", "file").agg(F.sum("lines").alias("lines"), F.sum("f").cast("bigint").alias("functions"), F.sum("b").cast("bigint").alias("branches"), F.max("deep").alias("nesting"), F.sum("d").alias("docs"), F.sum("t").alias("types"), F.slice(F.array_sort(F.flatten(F.collect_list("advice"))), 1, 10).alias("advice"))  # of one file
     n = F.greatest(F.col("functions"), F.lit(1))
-    by = by.withColumn("avg0", F.col("branches") / n).withColumn("cov0", F.col("docs") / n)
+    by = by.withColumn("avg0", F.col("branches") / n).withColumn("cov0", F.col("docs") / n).withColumn("typ0", F.col("types") / n)
     by = by.withColumn("complexity", F.when(F.col("avg0") < 4, "low").when(F.col("avg0") < 8, "medium").otherwise("high")).withColumn("documentation", F.when(F.col("cov0") > 0.8, "high").when(F.col("cov0") > 0.4, "medium").otherwise("low"))
     score = (F.when(F.col("complexity") == "high", 1).when(F.col("complexity") == "medium", 2).otherwise(3) + F.when(F.col("documentation") == "low", 1).when(F.col("documentation") == "medium", 2).otherwise(3)) / 2
-    return by.select("file", "lines", "functions", "branches", F.round("avg0", 1).alias("average"), "nesting", F.round("cov0", 2).alias("documented"), "complexity", "documentation", F.when(score < 1.5, "low").when(score < 2.5, "medium").otherwise("high").alias("overall"))
+    told = F.array_join(F.transform("advice", lambda x: F.concat_ws(":", x["what"], x["chunk_id"])), ",")
+    return by.select(
+        "buffer_id", "file", "lines", "functions", "branches", F.round("avg0", 1).alias("average"), "nesting", F.round("cov0", 2).alias("documented"), F.round("typ0", 2).alias("typed"), "complexity", "documentation",
+        F.when(score < 1.5, "low").when(score < 2.5, "medium").otherwise("high").alias("overall"), told.alias("suggestions"),
+    )
 
 
 def file_summary(chunks: DataFrame) -> DataFrame:
-    """file, definitions, names, imports, last_line, chunks: what each file defines and imports."""
-    return chunks.groupBy("file").agg(
+    """buffer_id, file, definitions, names, imports, types, last_line, chunks: what each file defines and imports."""
+    types = F.transform(F.array_distinct(F.collect_list("type")), lambda t: t)
+    by = buffered(chunks).groupBy("buffer_id", "file").agg(
         F.count_if(F.col("name").isNotNull()).alias("definitions"), F.concat_ws(",", F.array_sort(F.collect_set("name"))).alias("names"),
-        F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_set("imports"))))).alias("imports"), F.max("end_line").alias("last_line"), F.count("*").alias("chunks"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_set("imports"))))).alias("imports"), F.concat_ws(",", F.array_sort(types)).alias("types"), F.max("end_line").alias("last_line"), F.count("*").alias("chunks"),
     )
+    return by
 
 
 #: Imports, calls and names that code from an untrusted place must not use (fixed values).

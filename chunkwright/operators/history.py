@@ -64,6 +64,11 @@ def health(buffers: DataFrame, dirty: DataFrame, now: Column) -> DataFrame:
     return rows.select("buffer_id", "dirty", "age_days", level.alias("level"))
 
 
+def utilisation(share: Column) -> Column:
+    """critical from .9 of a limit on, high from .75 on, else ok."""
+    return F.when(share >= 0.9, "critical").when(share >= 0.75, "high").otherwise("ok")
+
+
 def category(message: Column) -> Column:
     """Category of a change message: the first whose words it holds, else other."""
     low, out = F.lower(message), F.lit("other")
@@ -102,12 +107,13 @@ def changed_lines(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFr
 
 
 def conflicts(disk: DataFrame, snapshot: DataFrame, buffer: DataFrame) -> DataFrame:
-    """path, state: same, disk, buffer, both or conflict, by hashes (path, hash) of the three versions of each file."""
-    d, s, b = disk.toDF("path", "d"), snapshot.toDF("path", "s"), buffer.toDF("path", "b")
-    rows = d.join(s, "path", "full_outer").join(b, "path", "full_outer")
+    """buffer_id, path, state: same, disk, buffer, both or conflict, by hashes (buffer_id, path, hash) of the three versions of each file."""
+    keys = ["buffer_id", "path"]
+    d, s, b = disk.toDF(*keys, "d"), snapshot.toDF(*keys, "s"), buffer.toDF(*keys, "b")
+    rows = d.join(s, keys, "full_outer").join(b, keys, "full_outer")
     on_disk, in_buffer = ~F.col("d").eqNullSafe(F.col("s")), ~F.col("b").eqNullSafe(F.col("s"))
     state = F.when(on_disk & in_buffer, F.when(F.col("d").eqNullSafe(F.col("b")), "both").otherwise("conflict")).when(on_disk, "disk").when(in_buffer, "buffer").otherwise("same")
-    return rows.select("path", state.alias("state"))
+    return rows.select(*keys, state.alias("state"))
 
 
 def merged_lines(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
@@ -185,8 +191,51 @@ def allowed_requests(events: DataFrame, limits: dict[str, int] = ROLE_LIMITS) ->
 
 
 def conflict_risk(dirty: DataFrame, commits: DataFrame, dependents: DataFrame) -> DataFrame:
-    """file, commits, dependents, risk: by commits that touch a dirty file (0-1 low, 2 medium, 3 high) and 2 dependents or more."""
-    c = commits.groupBy("file").agg(F.count("*").alias("commits"))
-    d = dependents.groupBy("file").agg(F.count("*").alias("dependents"))
-    rows = dirty.select("file").distinct().join(c, "file", "left").join(d, "file", "left").fillna(0, ["commits", "dependents"])
+    """buffer_id, file, commits, dependents, risk: by commits that touch a dirty file (0-1 low, 2 medium, 3 high) and 2 dependents or more; all three by (buffer_id, file)."""
+    keys = ["buffer_id", "file"]
+    c = commits.groupBy(*keys).agg(F.count("*").alias("commits"))
+    d = dependents.groupBy(*keys).agg(F.count("*").alias("dependents"))
+    rows = dirty.select(*keys).distinct().join(c, keys, "left").join(d, keys, "left").fillna(0, ["commits", "dependents"])
     return rows.withColumn("risk", F.when(F.col("commits") >= 3, "high").when((F.col("commits") == 2) | (F.col("dependents") >= 2), "medium").otherwise("low"))
+
+
+def test_run_summary(runs: DataFrame) -> DataFrame:
+    """run, passed, failed, skipped, total, failures: counts of the summary lines of test runs (run, output) and the tests named as failed.
+
+    Errors count as failed; an output without a summary has zeros.
+    """
+    counts = {k: F.aggregate(F.transform(F.regexp_extract_all("output", F.lit(rf"(?i)(\d+)\s+{p}"), 1), lambda x: x.cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x) for k, p in (("passed", "passed"), ("failed", "(?:failed|errors?)\\b"), ("skipped", "skipped"))}
+    names = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("output", F.lit(r"(?m)^(?:FAILED|ERROR) (\S+)"), 1))), ",")
+    rows = runs.filter("output IS NOT NULL").select("run", *[c.alias(k) for k, c in counts.items()], names.alias("failures"))
+    return rows.select("run", "passed", "failed", "skipped", (F.col("passed") + F.col("failed") + F.col("skipped")).alias("total"), "failures")
+
+
+def redo_stacks(log: DataFrame, most: int = 100) -> DataFrame:
+    """branch, undoable, redoable: how many edits of each branch can be undone and redone after a log (branch, seq, action) of edit, undo and redo.
+
+    An edit clears what could be redone; at most ``most`` edits are kept; undo and redo with nothing to take do nothing. The rows of a
+    branch pass one task in order, as a stream that holds two counts.
+    """
+    import pandas as pd
+
+    def run(batches):
+        at, done, undone, out = None, 0, 0, []
+        for b in batches:
+            for branch, action in zip(b["branch"], b["action"], strict=True):
+                if branch != at:
+                    if at is not None:
+                        out.append((at, done, undone))
+                    at, done, undone = branch, 0, 0
+                if action == "edit":
+                    done, undone = min(most, done + 1), 0
+                elif action == "undo" and done:
+                    done, undone = done - 1, undone + 1
+                elif action == "redo" and undone:
+                    done, undone = done + 1, undone - 1
+            yield pd.DataFrame(out, columns=["branch", "undoable", "redoable"])
+            out = []
+        if at is not None:
+            yield pd.DataFrame([(at, done, undone)], columns=["branch", "undoable", "redoable"])
+
+    rows = log.filter("branch IS NOT NULL").select(F.col("branch").cast("string"), "seq", "action").repartition("branch").sortWithinPartitions("branch", "seq")
+    return rows.select("branch", "action").mapInPandas(run, "branch STRING, undoable BIGINT, redoable BIGINT")

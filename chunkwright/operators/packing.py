@@ -11,10 +11,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..sources.tables import written
-from .graph import file_evidence
+from .graph import buffered, file_evidence
 from .search import l2_normalized, vector_links
 
-STOP_WORDS = {"the", "and", "for", "with", "from", "that", "this", "what", "where", "when", "how"}
+#: Words of a query that tell nothing (fixed values).
+STOP_WORDS = {"a", "an", "the", "is", "to", "for", "and", "or"}
 
 
 def unique_texts(chunks: DataFrame) -> DataFrame:
@@ -89,29 +90,29 @@ def related_code(chunks: DataFrame, vectors: DataFrame, targets: DataFrame, budg
     word; semantic: chunks of other files whose vector (id, v) has a cosine of at least 0.3, scored by 100 times that. The
     sections share a budget: each takes its longest prefix that fits what those before it left.
     """
-    named = chunks.filter("text IS NOT NULL")
-    all_ = targets.select("chunk_id").distinct().join(named.select("chunk_id", "name", "file", "type"), "chunk_id").select(F.col("chunk_id").alias("qid"), F.col("name").alias("target"), F.col("file").alias("tfile"), "type")
+    named = buffered(chunks).filter("text IS NOT NULL")
+    all_ = targets.select("chunk_id").distinct().join(named.select("chunk_id", "buffer_id", "name", "file", "type"), "chunk_id").select(F.col("chunk_id").alias("qid"), "buffer_id", F.col("name").alias("target"), F.col("file").alias("tfile"), "type")
     t = all_.filter("target IS NOT NULL")
     info = named.select(F.col("chunk_id").alias("id"), "file", "text")
     test = T.is_test_file_loose(F.col("file"))
-    uses = named.filter(~test).select(F.col("chunk_id").alias("id"), "file", F.explode(T.calls(F.col("text"))).alias("call")).withColumn("target", F.substring_index("call", ".", -1))
-    callers = uses.join(t, "target").filter("id <> qid").select("qid", "id", F.when(F.col("file") == F.col("tfile"), 50).otherwise(30).alias("score")).distinct()
+    uses = named.filter(~test).select("buffer_id", F.col("chunk_id").alias("id"), "file", F.explode(T.calls(F.col("text"))).alias("call")).withColumn("target", F.substring_index("call", ".", -1))
+    callers = uses.join(t, ["buffer_id", "target"]).filter("id <> qid").select("qid", "id", F.when(F.col("file") == F.col("tfile"), 50).otherwise(30).alias("score")).distinct()
 
-    tests = named.filter(test).select("chunk_id", F.col("file").alias("test_file"), "text", "imports")
-    words = lambda rows: rows.select(F.col("chunk_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), 0))).alias("target"))
-    by_file = file_evidence(tests, all_.select(F.col("tfile").alias("file")), 50, 0, 30).select(F.col("file").alias("tfile"), F.col("chunk_id").alias("id"), "points").join(all_, "tfile").select("qid", "id", F.col("points").alias("score"))
-    by_name = words(tests).join(t, "target").select("qid", "id", F.lit(40).alias("score"))
+    tests = named.filter(test).select("buffer_id", "chunk_id", F.col("file").alias("test_file"), "text", "imports")
+    words = lambda rows: rows.select("buffer_id", F.col("chunk_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), 0))).alias("target"))
+    by_file = file_evidence(tests, all_.select("buffer_id", F.col("tfile").alias("file")), 50, 0, 30).select("buffer_id", F.col("file").alias("tfile"), F.col("chunk_id").alias("id"), "points").join(all_, ["buffer_id", "tfile"]).select("qid", "id", F.col("points").alias("score"))
+    by_name = words(tests).join(t, ["buffer_id", "target"]).select("qid", "id", F.lit(40).alias("score"))
     tested = by_file.unionByName(by_name).filter("id <> qid").groupBy("qid", "id").agg(F.sum("score").cast("int").alias("score"))
 
-    of = t.filter("type IN ('function', 'nested_function', 'method')").select("qid", "target")
+    of = t.filter("type IN ('function', 'nested_function', 'method')").select("qid", "buffer_id", "target")
     classes = named.filter("type IN ('class', 'trait', 'interface')")
-    inner = named.filter("type IN ('function', 'nested_function', 'method')").select("file", F.col("name").alias("target"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    defined = classes.join(inner, "file").filter("s >= start_line AND e <= end_line").select(F.col("chunk_id").alias("id"), "target").join(of, "target").select("qid", "id", F.lit(90).alias("score"))
-    interfaces = defined.unionByName(words(classes).join(of, "target").select("qid", "id", F.lit(30).alias("score"))).groupBy("qid", "id").agg(F.max("score").alias("score"))
+    inner = named.filter("type IN ('function', 'nested_function', 'method')").select("buffer_id", "file", F.col("name").alias("target"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    defined = classes.join(inner, ["buffer_id", "file"]).filter("s >= start_line AND e <= end_line").select("buffer_id", F.col("chunk_id").alias("id"), "target").join(of, ["buffer_id", "target"]).select("qid", "id", F.lit(90).alias("score"))
+    interfaces = defined.unionByName(words(classes).join(of, ["buffer_id", "target"]).select("qid", "id", F.lit(30).alias("score"))).groupBy("qid", "id").agg(F.max("score").alias("score"))
 
     asked = vectors.join(all_.select(F.col("qid").alias("id")), "id").select(F.col("id").alias("qid"), l2_normalized(F.col("v")).alias("q"))
     links = vector_links(vectors.select("id", l2_normalized(F.col("v")).alias("v")), "id", "v", asked, 0.3).filter("id <> qid")
-    semantic = links.join(all_.select("qid", "tfile"), "qid").join(info.select("id", "file"), "id").filter("file <> tfile").select("qid", "id", F.round(100 * F.col("score"), 4).alias("score"))
+    semantic = links.join(all_.select("qid", "buffer_id", "tfile"), "qid").join(named.select(F.col("chunk_id").alias("id"), F.col("buffer_id").alias("own"), "file"), "id").filter("own = buffer_id AND file <> tfile").select("qid", "id", F.round(100 * F.col("score"), 4).alias("score"))
 
     out, spent = None, all_.select("qid", F.lit(0).cast("bigint").alias("spent"))
     for section, rows in (("callers", callers), ("tests", tested), ("interfaces", interfaces), ("semantic", semantic)):
@@ -203,24 +204,38 @@ def greedy_clusters(vectors: DataFrame, threshold: float = 0.75, ahead: int = 64
     return vectors.filter("v IS NOT NULL").repartition("part").sortWithinPartitions("part", "id").mapInPandas(sweep, "part STRING, cluster BIGINT, id BIGINT")
 
 
-def signatures(chunks: DataFrame) -> DataFrame:
-    """chunk_id, name, returns, arity: the Python signature with which a chunk begins."""
-    params = F.regexp_extract("text", r"(?s)def\s+\w+\s*\((.*?)\)", 1)
-    arity = F.size(F.filter(F.split(params, ","), lambda p: ~F.trim(p).isin("", "self", "cls")))
-    returns = F.trim(F.regexp_extract("text", r"\)\s*->\s*([A-Za-z_][\w\[\], .]*)\s*:", 1))
-    return chunks.filter(F.col("text").rlike(r"def\s+\w+\s*\(")).select("chunk_id", "name", returns.alias("returns"), arity.alias("arity"))
-
-
 def implementations(chunks: DataFrame) -> DataFrame:
-    """cls, base, via: direct bases of classes and those one step further up."""
-    c = chunks.filter((F.col("type") == "class") & F.col("text").rlike(r"class\s+\w+\s*\([^)]+\)"))
-    c = c.select(F.regexp_extract("text", r"class\s+(\w+)\s*\(", 1).alias("cls"), F.explode(F.split(F.regexp_extract("text", r"class\s+\w+\s*\(([^)]*)\)", 1), ",")).alias("base")).withColumn("base", F.trim("base")).filter("base <> ''")
-    up = c.select(F.col("cls").alias("base"), F.col("base").alias("upper"))
-    return c.select("cls", "base", F.lit("direct").alias("via")).union(c.join(up, "base").select("cls", F.col("upper").alias("base"), F.lit("transitive"))).distinct()
+    """buffer_id, cls, base, via: direct bases of the classes of each buffer and those one step further up."""
+    each = buffered(chunks).filter((F.col("type") == "class") & F.col("text").isNotNull()).select("buffer_id", F.explode(F.regexp_extract_all("text", F.lit(r"class\s+\w+\s*\([^)]+\)"), 0)).alias("h"))
+    c = each.select("buffer_id", F.regexp_extract("h", r"class\s+(\w+)", 1).alias("cls"), F.explode(F.split(F.regexp_extract("h", r"\(([^)]*)\)", 1), ",")).alias("base")).withColumn("base", F.trim("base")).filter("base <> ''").distinct()
+    up = c.select("buffer_id", F.col("cls").alias("base"), F.col("base").alias("upper"))
+    return c.select("buffer_id", "cls", "base", F.lit("direct").alias("via")).union(c.join(up, ["buffer_id", "base"]).select("buffer_id", "cls", F.col("upper").alias("base"), F.lit("transitive"))).distinct()
 
 
 def path_keywords(chunks: DataFrame, query: str) -> DataFrame:
     """chunk_id, keyword: confidence .3 for each word of the query (over 3 letters, no stop word) in the path, .9 at most."""
     words = [w for w in dict.fromkeys(query.lower().split()) if len(w) > 3 and w not in STOP_WORDS]
+    if not words:
+        return chunks.limit(0).select("chunk_id", F.lit(0.0).alias("keyword"))
     n = F.size(F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(F.lower("file"), w)))
     return chunks.filter(n > 0).select("chunk_id", F.least(F.lit(0.9), 0.3 * n).alias("keyword"))
+
+
+def annotated_results(hits: DataFrame, chunks: DataFrame, query: str, edited: DataFrame, edges: DataFrame, imports: DataFrame) -> DataFrame:
+    """qid, id, reason, confidence, reasons: why each hit (qid, id, score) is shown: the surest reason and all of them.
+
+    edited (1.0): its file is among ``edited`` (buffer_id, file); called (.95): a chunk of an edited file calls one of its file's (``edges`` src, dst);
+    imported (.9): an edited file imports it (``imports`` buffer_id, file, target); semantic (.85): the score is over .5; keyword: as
+    :func:`path_keywords`. Hits without any have the reason none at 0.
+    """
+    c = buffered(chunks).select(F.col("chunk_id").alias("id"), "buffer_id", "file")
+    e = buffered(edited).select("buffer_id", "file").distinct()
+    by_call = edges.join(c.withColumnRenamed("id", "src").join(e, ["buffer_id", "file"], "left_semi").select("src"), "src", "left_semi").join(c.select(F.col("id").alias("dst"), "buffer_id", "file"), "dst").select("buffer_id", "file").distinct()
+    by_import = imports.join(e, ["buffer_id", "file"], "left_semi").select("buffer_id", F.col("target").alias("file")).distinct()
+    rows = hits.join(c, "id").join(path_keywords(chunks, query).withColumnRenamed("chunk_id", "id"), "id", "left")
+    for name, own in (("edited", e), ("called", by_call), ("imported", by_import)):
+        rows = rows.join(own.withColumn(name, F.lit(True)), ["buffer_id", "file"], "left")
+    sure = F.array(*[F.when(test, F.struct(F.lit(v).cast("double").alias("confidence"), F.lit(n).alias("reason"))) for n, v, test in (("edited", 1.0, F.col("edited")), ("called", 0.95, F.col("called")), ("imported", 0.9, F.col("imported")), ("semantic", 0.85, F.col("score") > 0.5))], F.when(F.col("keyword").isNotNull(), F.struct(F.col("keyword").alias("confidence"), F.lit("keyword").alias("reason"))))
+    found = F.array_sort(F.filter(sure, lambda x: x.isNotNull()), lambda x, y: F.when(x["confidence"] > y["confidence"], -1).when(x["confidence"] < y["confidence"], 1).otherwise(0))
+    rows = rows.withColumn("found", found)
+    return rows.select("qid", "id", F.coalesce(F.get("found", 0)["reason"], F.lit("none")).alias("reason"), F.round(F.coalesce(F.get("found", 0)["confidence"], F.lit(0.0)), 4).alias("confidence"), F.array_join(F.transform("found", lambda x: x["reason"]), ",").alias("reasons"))

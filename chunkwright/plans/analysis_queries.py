@@ -31,19 +31,74 @@ def chunks_of(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks")
 
 
+#: Code that the data have none of; queries of rules that would find nothing look at the chunks with this at their end.
+PLANT = """
+@deprecated
+class Base(Root):
+    pass
+class Leaf(Base, Mixin):
+    def run(self):
+        url = os.environ.get('APP_URL', 'x')
+        key = os.getenv("APP_KEY")
+        cfg = load('conf/app.yaml')
+        password = 'hunter22'
+        for u in User.objects.all():
+            for i in range(len(u)):
+                f = open('x')
+                cur.execute('q')
+                warnings.warn('deprecated', DeprecationWarning)
+        # DEPRECATED
+        cache.set('a', 1)
+@app.get('/users')
+async def users(): pass
+@app.route("/items", methods=['POST'])
+@login
+def items(): pass
+"""
+PLANTED = "planted AS (SELECT * REPLACE (text || '" + PLANT.replace("'", "''") + "' AS text) FROM chunks)"
+
+
+def planted(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks_of(spark, folder).withColumn("text", F.concat("text", F.lit(PLANT)))
+
+
+def over_planted(sql: str) -> str:
+    """``sql`` over the planted chunks."""
+    sql = sql.replace("FROM chunks", "FROM planted").replace("JOIN chunks", "JOIN planted")
+    return f"WITH {PLANTED}, " + sql[len("WITH ") :] if sql.startswith("WITH ") else f"WITH {PLANTED} {sql}"
+
+
 @query("r1_security", rules_sql(A.SECURITY, least="medium"))
 def r1_security(spark: SparkSession, folder: str) -> DataFrame:
     return A.found(chunks_of(spark, folder), A.SECURITY, least="medium")
 
 
-@query("r4_hotspots", rules_sql([r for r in A.HOTSPOTS if "(?!" not in r[2]], "s"))
+@query("r4_hotspots", over_planted(rules_sql([r for r in A.HOTSPOTS if "(?!" not in r[2]], "s")))
 def r4_hotspots(spark: SparkSession, folder: str) -> DataFrame:
-    return A.found(chunks_of(spark, folder), [r for r in A.HOTSPOTS if "(?!" not in r[2]], "s")
+    return A.found(planted(spark, folder), [r for r in A.HOTSPOTS if "(?!" not in r[2]], "s")
+
+
+#: The two rules with a look-ahead, which RE2 lacks: an open( that no "with" follows, an execute( that no fetch follows, on to the end of the text.
+AHEAD = [("unclosed_file", "high", r"open\s*\([^)]*\)\s*", "with"), ("full_table_scan", "medium", r"\.execute\s*\([^)]*\)\s*", None)]
+
+
+def ahead_sql() -> str:
+    """The planted text has one such call of each kind at its end and nothing that follows there; other chunks' calls are counted as they stand."""
+    parts = []
+    for kind, severity, p, word in AHEAD:
+        rest = f"NOT starts_with(substr(text, length(upto) + 1), '{word}')" if word else "NOT regexp_matches(substr(text, length(upto) + 1), '(?s).*(fetchmany|fetchone)')"
+        parts.append(f"""SELECT chunk_id, file, '{kind}' AS kind, '{severity}' AS severity, start_line, text, upto, regexp_extract(piece, '^(?s:.*?)((?s:{p}))$', 1) AS hit FROM (SELECT *, pieces[n] AS piece, array_to_string(pieces[1:n], '') AS upto FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS n FROM (SELECT chunk_id, file, start_line, text, regexp_extract_all(text, '(?s:.*?)(?s:{p})') AS pieces FROM chunks WHERE regexp_matches(text, '(?s:{p})')))) WHERE {rest}""")
+    return f"""SELECT chunk_id, file, (start_line + length(b) - length(replace(b, chr(10), '')))::INT AS line, kind, severity, trim(string_split(text, chr(10))[length(b) - length(replace(b, chr(10), '')) + 1], ' ' || chr(9) || chr(13)) AS context FROM (SELECT *, substr(upto, 1, length(upto) - length(hit)) AS b FROM ({" UNION ALL ".join(parts)}))"""
 
 
-@query("r4_open_and_execute")
+@query("r4_open_and_execute", over_planted(ahead_sql()))
 def r4_open_and_execute(spark: SparkSession, folder: str) -> DataFrame:
-    return A.found(chunks_of(spark, folder), [r for r in A.HOTSPOTS if "(?!" in r[2]], "s")
+    return A.found(planted(spark, folder), [r for r in A.HOTSPOTS if "(?!" in r[2]], "s")
+
+
+@query("r6_secrets", over_planted(rules_sql([("hardcoded_secret", "high", A.ASSIGNED_SECRET[4:])])))
+def r6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return A.found(planted(spark, folder), [("hardcoded_secret", "high", A.ASSIGNED_SECRET[4:])])
 
 
 LINES = "l AS (SELECT chunk_id, file, type, start_line, text, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM chunks WHERE text IS NOT NULL), lines AS (SELECT chunk_id, file, type, (start_line + n)::INT AS line, string_split(text, chr(10))[n + 1] AS body FROM l)"
@@ -55,9 +110,9 @@ def w5_nested_loops(spark: SparkSession, folder: str) -> DataFrame:
     return A.nested_loops(chunks_of(spark, folder))
 
 
-@query("r5_deprecated", rules_sql(A.DEPRECATED))
+@query("r5_deprecated", over_planted(rules_sql(A.DEPRECATED)))
 def r5_deprecated(spark: SparkSession, folder: str) -> DataFrame:
-    return A.found(chunks_of(spark, folder), A.DEPRECATED)
+    return A.found(planted(spark, folder), A.DEPRECATED)
 
 
 TODO_SQL = A.TODO.replace("'", "''")
@@ -94,16 +149,34 @@ def r3_refactorings(spark: SparkSession, folder: str) -> DataFrame:
 ENV = A.ENV_READ.replace("'", "''")
 
 
-@query("r6_configuration", f"""WITH e AS (SELECT chunk_id, n, regexp_extract_all(text, '{ENV}', 1)[n] AS name, regexp_replace(trim(regexp_extract_all(text, '{ENV}', 2)[n]), '^["'']+|["'']+$', '', 'g') AS d FROM (SELECT chunk_id, text, unnest(range(1, len(regexp_extract_all(text, '{ENV}', 1)) + 1)) AS n FROM chunks WHERE text IS NOT NULL)),
+@query("r6_configuration", over_planted(f"""WITH e AS (SELECT chunk_id, n, regexp_extract_all(text, '{ENV}', 1)[n] AS name, regexp_replace(trim(regexp_extract_all(text, '{ENV}', 2)[n]), '^["'']+|["'']+$', '', 'g') AS d FROM (SELECT chunk_id, text, unnest(range(1, len(regexp_extract_all(text, '{ENV}', 1)) + 1)) AS n FROM chunks WHERE text IS NOT NULL)),
     f AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{A.CONFIG_FILE.replace("'", "''")}', 1)) AS name FROM chunks)
-    SELECT 'env' AS kind, name, nullif(d, '') AS "default" FROM e QUALIFY row_number() OVER (PARTITION BY name ORDER BY chunk_id, n) = 1 UNION ALL SELECT 'file', name, NULL FROM f""")
+    SELECT 'env' AS kind, name, nullif(d, '') AS "default" FROM e QUALIFY row_number() OVER (PARTITION BY name ORDER BY chunk_id, n) = 1 UNION ALL SELECT 'file', name, NULL FROM f"""))
 def r6_configuration(spark: SparkSession, folder: str) -> DataFrame:
-    return A.configuration(chunks_of(spark, folder))
+    return A.configuration(planted(spark, folder))
+
 
+ROUTE = A.ENDPOINT.replace("'", "''")
 
-@query("r7_endpoints")
+
+@query("r7_endpoints", over_planted(f"""SELECT chunk_id, upper(CASE WHEN lower(regexp_extract(h, '{ROUTE}', 1)) = 'route' THEN 'GET' ELSE regexp_extract(h, '{ROUTE}', 1) END) AS verb, regexp_extract(h, '{ROUTE}', 2) AS path, regexp_extract(h, '{ROUTE}', 3) AS handler FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{ROUTE}')) AS h FROM chunks)"""))
 def r7_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    return A.endpoints(chunks_of(spark, folder))
+    return A.endpoints(planted(spark, folder))
+
+
+@query("r8_cache_libraries", " UNION ALL ".join(f"SELECT '{x}' AS library, count(*) AS chunks FROM chunks WHERE contains(text, '{x}') HAVING count(*) > 0" for x in A.CACHE_LIBRARIES))
+def r8_cache_libraries(spark: SparkSession, folder: str) -> DataFrame:
+    return A.cache_libraries(chunks_of(spark, folder))
+
+
+@query("r9_module_mutables", f"SELECT DISTINCT chunk_id, unnest(regexp_extract_all(text, '{A.MODULE_MUTABLE}', 1)) AS name FROM chunks WHERE type IN ('module', 'orphan') AND text IS NOT NULL")
+def r9_module_mutables(spark: SparkSession, folder: str) -> DataFrame:
+    return A.module_mutables(chunks_of(spark, folder))
+
+
+@query("r12_unresolved_imports", "WITH e AS (SELECT DISTINCT buffer_id, chunk_id, file, unnest(imports) AS module FROM chunks), s AS (SELECT DISTINCT buffer_id, regexp_replace(regexp_extract(file, '[^/]*$'), '\\.[^.]*$', '') AS stem FROM chunks) SELECT e.* FROM e WHERE module IS NOT NULL AND split_part(module, '.', 1) NOT IN (" + ", ".join(f"'{m}'" for m in A.KNOWN_MODULES) + ") AND NOT EXISTS (SELECT 1 FROM s WHERE s.buffer_id = e.buffer_id AND s.stem = split_part(e.module, '.', 1))")
+def r12_unresolved_imports(spark: SparkSession, folder: str) -> DataFrame:
+    return A.unresolved_imports(chunks_of(spark, folder))
 
 
 @query("r8_r9_r10_flags", r"""SELECT chunk_id, regexp_matches(text, '(?i)cache\.(set|put|add)\s*\(') AND NOT regexp_matches(text, '(?i)(cache\.(delete|clear|invalidate)|\.(delete|invalidate)\s*\()') AS cache_write_unsafe,
@@ -127,17 +200,22 @@ def a9_errors(spark: SparkSession, folder: str) -> DataFrame:
     return A.error_handling(chunks_of(spark, folder))
 
 
-@query("a6_quality", f"""WITH r AS (SELECT file, len(string_split(text, chr(10))) AS lines, (type IN ('function', 'method', 'nested_function'))::INT AS f, CASE WHEN type IN ('function', 'method', 'nested_function') THEN len(regexp_extract_all(text, '\\b(if|for|while|and|or|except|with)\\b')) ELSE 0 END AS b,
-    CASE WHEN type IN ('function', 'method', 'nested_function') THEN {NESTING} ELSE 0 END AS deep, (type IN ('function', 'method', 'nested_function') AND (contains(text, '\"\"\"') OR contains(text, '''''''')))::INT AS d FROM chunks WHERE text IS NOT NULL),
-    g AS (SELECT file, sum(lines)::BIGINT AS lines, sum(f)::BIGINT AS functions, sum(b)::BIGINT AS branches, max(deep)::INT AS nesting, sum(b)::DOUBLE / greatest(sum(f), 1) AS a, sum(d)::DOUBLE / greatest(sum(f), 1) AS c FROM r GROUP BY file),
+DOCUMENTED = "(contains(text, '\"\"\"') OR contains(text, ''))".replace('\"', '"')
+
+
+@query("a6_quality", f"""WITH r AS (SELECT buffer_id, file, chunk_id, start_line, name, len(string_split(text, chr(10))) AS lines, (type IN ('function', 'method', 'nested_function'))::INT AS f, CASE WHEN type IN ('function', 'method', 'nested_function') THEN len(regexp_extract_all(text, '\b(if|for|while|and|or|except|with)\b')) ELSE 0 END AS b,
+    CASE WHEN type IN ('function', 'method', 'nested_function') THEN {NESTING} ELSE 0 END AS deep, (type IN ('function', 'method', 'nested_function') AND {DOCUMENTED})::INT AS d, (type IN ('function', 'method', 'nested_function') AND (contains(text, '->') OR contains(array_to_string(string_split(text, chr(10))[1:2], chr(10)), ': ')))::INT AS t FROM chunks WHERE text IS NOT NULL),
+    s AS (SELECT buffer_id, file, start_line, chunk_id, unnest(list_filter([CASE WHEN d = 0 AND name IS NOT NULL THEN 'document' END, CASE WHEN b > 8 THEN 'split' END, CASE WHEN lines > 50 THEN 'extract' END], lambda x: x IS NOT NULL)) AS what FROM r WHERE f = 1),
+    q AS (SELECT buffer_id, file, string_agg(what || ':' || chunk_id, ',' ORDER BY start_line, chunk_id, what) AS suggestions FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY buffer_id, file ORDER BY start_line, chunk_id, what) <= 10) GROUP BY ALL),
+    g AS (SELECT buffer_id, file, sum(lines)::BIGINT AS lines, sum(f)::BIGINT AS functions, sum(b)::BIGINT AS branches, max(deep)::INT AS nesting, sum(b)::DOUBLE / greatest(sum(f), 1) AS a, sum(d)::DOUBLE / greatest(sum(f), 1) AS c, sum(t)::DOUBLE / greatest(sum(f), 1) AS ty FROM r GROUP BY ALL),
     h AS (SELECT *, CASE WHEN a < 4 THEN 'low' WHEN a < 8 THEN 'medium' ELSE 'high' END AS complexity, CASE WHEN c > 0.8 THEN 'high' WHEN c > 0.4 THEN 'medium' ELSE 'low' END AS documentation FROM g),
     k AS (SELECT *, (CASE complexity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END + CASE documentation WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) / 2.0 AS s FROM h)
-    SELECT file, lines, functions, branches, round(a, 1) AS average, nesting, round(c, 2) AS documented, complexity, documentation, CASE WHEN s < 1.5 THEN 'low' WHEN s < 2.5 THEN 'medium' ELSE 'high' END AS overall FROM k""")
+    SELECT buffer_id, file, lines, functions, branches, round(a, 1) AS average, nesting, round(c, 2) AS documented, round(ty, 2) AS typed, complexity, documentation, CASE WHEN s < 1.5 THEN 'low' WHEN s < 2.5 THEN 'medium' ELSE 'high' END AS overall, coalesce(suggestions, '') AS suggestions FROM k LEFT JOIN q USING (buffer_id, file)""")
 def a6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return A.quality(chunks_of(spark, folder))
 
 
-@query("a5_summary", """SELECT file, count(name) AS definitions, coalesce(array_to_string(list_sort(list_distinct(list(name))), ','), '') AS names, coalesce(array_to_string(list_sort(list_distinct(flatten(list(imports)))), ','), '') AS imports, max(end_line) AS last_line, count(*) AS chunks FROM chunks GROUP BY file""")
+@query("a5_summary", """SELECT buffer_id, file, count(name) AS definitions, coalesce(array_to_string(list_sort(list_distinct(list(name))), ','), '') AS names, coalesce(array_to_string(list_sort(list_distinct(flatten(list(imports)))), ','), '') AS imports, coalesce(array_to_string(list_sort(list_distinct(list(type))), ','), '') AS types, max(end_line) AS last_line, count(*) AS chunks FROM chunks GROUP BY ALL""")
 def a5_summary(spark: SparkSession, folder: str) -> DataFrame:
     return A.file_summary(chunks_of(spark, folder))
 

@@ -86,21 +86,6 @@ def s15_existing(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "source_files").filter("hash IS NOT NULL").groupBy("hash").agg(F.count("*").alias("files"), F.countDistinct("buffer_id").alias("buffers")).filter("buffers > 1")
 
 
-@query("g3_g9_both_ways")
-def g3_g9_both_ways(spark: SparkSession, folder: str) -> DataFrame:
-    c = chunks_of(spark, folder)
-    edges = G.call_edges(c).select("src", "dst")
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return G.reachable(both, c.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("start")), 2)
-
-
-@query("g13_change_impact")
-def g13_change_impact(spark: SparkSession, folder: str) -> DataFrame:
-    c = chunks_of(spark, folder)
-    ranges = table(spark, folder, "source_files").filter("lines IS NOT NULL").select(F.col("path").alias("file"), F.lit(1).alias("begin"), F.col("lines").alias("stop"))
-    return G.impact(c, G.overlapping(c, ranges).filter("name IS NOT NULL").select(F.col("name").alias("symbol")))
-
-
 @query("g15_new_symbols", r"""WITH l AS (SELECT DISTINCT file_id, unnest(string_split(content, chr(10))) AS body FROM source_files WHERE content IS NOT NULL) SELECT file_id, regexp_extract(body, '^\s*(?:async\s+)?(?:def|class|func|function)\s+(\w+)', 1) AS symbol, count(*) AS n FROM l WHERE regexp_matches(body, '^\s*(?:async\s+)?(?:def|class|func|function)\s+\w+') GROUP BY ALL""")
 def g15_new_symbols(spark: SparkSession, folder: str) -> DataFrame:
     p = r"^\s*(?:async\s+)?(?:def|class|func|function)\s+(\w+)"
@@ -115,14 +100,6 @@ def x11_invalidated(spark: SparkSession, folder: str) -> DataFrame:
     return c.join(hit, "name", "left_semi").select("chunk_id")
 
 
-@query("t9_parameters", r"""WITH s AS (SELECT chunk_id, unnest(list_filter(list_transform(string_split(regexp_extract(text, '(?s)def\s+\w+\s*\(([^()]*)\)', 1), ','), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p NOT IN ('', 'self', 'cls'))) AS p FROM chunks WHERE regexp_matches(text, 'def\s+\w+\s*\('))
-    SELECT chunk_id, regexp_extract(p, '^\**(\w+)', 1) AS name, regexp_extract(p, ':\s*([^=]+?)\s*(?:=.*)?$', 1) AS type FROM s""")
-def t9_parameters(spark: SparkSession, folder: str) -> DataFrame:
-    parts = F.filter(F.transform(F.split(F.regexp_extract("text", r"(?s)def\s+\w+\s*\(([^()]*)\)", 1), ","), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: ~p.isin("", "self", "cls"))
-    rows = chunks_of(spark, folder).filter(F.col("text").rlike(r"def\s+\w+\s*\(")).select("chunk_id", F.explode(parts).alias("p"))
-    return rows.select("chunk_id", F.regexp_extract("p", r"^\**(\w+)", 1).alias("name"), F.regexp_extract("p", r":\s*([^=]+?)\s*(?:=.*)?$", 1).alias("type"))
-
-
 @query("a11_similarity", f"WITH {NEAREST} SELECT count(*) FILTER (score >= 0.3) AS hits, count(*) AS n, round(avg(score), 6) AS mean FROM {top('near', 10)} WHERE qid <> id")
 def a11_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(spark, folder, 10).filter("qid <> id").agg(F.count_if(F.col("score") >= 0.3).alias("hits"), F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))

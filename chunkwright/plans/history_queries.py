@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import history as H
+from ..operators.snapshots import normal_hash, nth_last, snapshot_changes
 from ..sources import code as C
 from ..sources.tables import table
-from .registry import query
+from .graph_queries import IMPORTS
+from .registry import ORACLES, query
 
 
 @query("a1_audit_stats", "SELECT 'total' AS dimension, NULL AS value, count(*) AS n FROM audit_log UNION ALL SELECT 'status', status, count(*) FROM audit_log GROUP BY status UNION ALL SELECT 'operation', operation, count(*) FROM audit_log GROUP BY operation UNION ALL SELECT 'user', user_id, count(*) FROM audit_log GROUP BY user_id")
@@ -48,10 +51,10 @@ def a14_health(spark: SparkSession, folder: str) -> DataFrame:
     return H.health(table(spark, folder, "buffers"), table(spark, folder, "source_files").filter("lines IS NULL"), F.lit("2025-04-15").cast("date"))
 
 
-@query("a15_usage", "SELECT buffer_id, count(*) AS files, sum(size)::BIGINT AS bytes, round(sum(size) / (SELECT sum(size) FROM source_files)::DOUBLE, 6) AS share FROM source_files GROUP BY buffer_id")
+@query("a15_usage", "WITH u AS (SELECT buffer_id, count(*) AS files, sum(size)::BIGINT AS bytes, round(sum(size) / (SELECT sum(size) FROM source_files)::DOUBLE, 6) AS share FROM source_files GROUP BY buffer_id) SELECT *, CASE WHEN share >= 0.9 THEN 'critical' WHEN share >= 0.75 THEN 'high' ELSE 'ok' END AS level FROM u")
 def a15_usage(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "source_files")
-    return f.groupBy("buffer_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).crossJoin(F.broadcast(f.agg(F.sum("size").alias("t")))).select("buffer_id", "files", "bytes", F.round(F.col("bytes") / F.col("t"), 6).alias("share"))
+    return f.groupBy("buffer_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).crossJoin(F.broadcast(f.agg(F.sum("size").alias("t")))).select("buffer_id", "files", "bytes", F.round(F.col("bytes") / F.col("t"), 6).alias("share")).withColumn("level", H.utilisation(F.col("share")))
 
 
 @query("pred7_audit", "SELECT ts, operation, user_id FROM audit_log WHERE status = 'success' AND operation IN ('write_code', 'commit') ORDER BY ts DESC, operation, user_id LIMIT 50")
@@ -88,12 +91,24 @@ def j14_changed_lines(spark: SparkSession, folder: str) -> DataFrame:
     return H.changed_lines(f, f.withColumn("content", F.regexp_replace("content", "return", "yield")), "file_id", "content")
 
 
-@query("j12_conflicts", """WITH d AS (SELECT path, max(hash) AS d FROM snapshot_files WHERE snapshot_seq = 3 GROUP BY path), s AS (SELECT path, max(hash) AS s FROM snapshot_files WHERE snapshot_seq = 2 GROUP BY path), b AS (SELECT path, max(hash) AS b FROM snapshot_files WHERE snapshot_seq = 4 GROUP BY path)
-    SELECT path, CASE WHEN d IS DISTINCT FROM s AND b IS DISTINCT FROM s THEN CASE WHEN d IS NOT DISTINCT FROM b THEN 'both' ELSE 'conflict' END WHEN d IS DISTINCT FROM s THEN 'disk' WHEN b IS DISTINCT FROM s THEN 'buffer' ELSE 'same' END AS state FROM d FULL JOIN s USING (path) FULL JOIN b USING (path)""")
+#: Common SQL: rows of snapshots with normal paths and hashes, the last delivered ones, and the snapshots of each buffer from the last.
+LAST = r"""raw AS (SELECT buffer_id, snapshot_seq, loaded_at, mtime, size, CASE WHEN trim(hash) = '' THEN NULL ELSE regexp_replace(lower(trim(hash)), '^sha256:', '') END AS hash,
+      regexp_replace(regexp_replace(replace(trim(path), '\', '/'), '/+', '/', 'g'), '^(\./)+', '') AS p, rtrim(regexp_replace(replace(trim(coalesce(root_path, '')), '\', '/'), '/+', '/', 'g'), '/') AS r FROM snapshot_files WHERE snapshot_seq IS NOT NULL),
+    named AS (SELECT *, regexp_replace(CASE WHEN r <> '' AND starts_with(p, r || '/') THEN substr(p, length(r) + 2) ELSE p END, '^(\./)+', '') AS path FROM raw),
+    last AS (SELECT * FROM named WHERE length(path) > 0 QUALIFY row_number() OVER (PARTITION BY buffer_id, path, snapshot_seq ORDER BY loaded_at DESC NULLS LAST, mtime DESC NULLS LAST, hash DESC NULLS LAST, size DESC NULLS LAST) = 1),
+    nth AS (SELECT buffer_id, snapshot_seq, row_number() OVER (PARTITION BY buffer_id ORDER BY snapshot_seq DESC) AS n FROM (SELECT DISTINCT buffer_id, snapshot_seq FROM snapshot_files WHERE snapshot_seq IS NOT NULL)),
+    disk AS (SELECT buffer_id, path, CASE WHEN trim(hash) = '' THEN NULL ELSE regexp_replace(lower(trim(hash)), '^sha256:', '') END AS hash FROM source_files)"""
+
+
+def on_disk(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_files").select("buffer_id", "path", normal_hash(F.col("hash")).alias("hash"))
+
+
+@query("j12_conflicts", f"""WITH {LAST}, d AS (SELECT buffer_id, path, hash AS d FROM disk), s AS (SELECT buffer_id, path, hash AS s FROM last JOIN nth USING (buffer_id, snapshot_seq) WHERE n = 2), b AS (SELECT buffer_id, path, hash AS b FROM last JOIN nth USING (buffer_id, snapshot_seq) WHERE n = 1)
+    SELECT buffer_id, path, CASE WHEN d IS DISTINCT FROM s AND b IS DISTINCT FROM s THEN CASE WHEN d IS NOT DISTINCT FROM b THEN 'both' ELSE 'conflict' END WHEN d IS DISTINCT FROM s THEN 'disk' WHEN b IS DISTINCT FROM s THEN 'buffer' ELSE 'same' END AS state FROM d FULL JOIN s USING (buffer_id, path) FULL JOIN b USING (buffer_id, path)""")
 def j12_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "snapshot_files")
-    version = lambda n: f.filter(F.col("snapshot_seq") == n).groupBy("path").agg(F.max("hash").alias("hash"))
-    return H.conflicts(version(3), version(2), version(4))
+    return H.conflicts(on_disk(spark, folder), nth_last(f, 2), nth_last(f, 1))
 
 
 @query("t14_diffs")
@@ -124,9 +139,12 @@ def x4_rate_limits(spark: SparkSession, folder: str) -> DataFrame:
     return H.allowed_requests(table(spark, folder, "audit_log"))
 
 
-@query("g20_conflict_risk", """WITH d AS (SELECT DISTINCT path AS file FROM source_files WHERE lines IS NULL), c AS (SELECT path AS file, count(*) AS commits FROM snapshot_files GROUP BY path), p AS (SELECT file, count(*) AS dependents FROM chunks GROUP BY file), r AS (SELECT d.file, coalesce(commits, 0) AS commits, coalesce(dependents, 0) AS dependents FROM d LEFT JOIN c USING (file) LEFT JOIN p USING (file)) SELECT *, CASE WHEN commits >= 3 THEN 'high' WHEN commits = 2 OR dependents >= 2 THEN 'medium' ELSE 'low' END AS risk FROM r""")
+@query("g20_conflict_risk", f"""WITH {IMPORTS}, d AS (SELECT DISTINCT buffer_id, path AS file FROM source_files WHERE lines IS NULL), c AS (SELECT buffer_id, path AS file, count(*) AS commits FROM ({ORACLES["p1_found"]}) GROUP BY ALL), p AS (SELECT buffer_id, target AS file, count(*) AS dependents FROM targets GROUP BY ALL),
+    r AS (SELECT d.buffer_id, d.file, coalesce(commits, 0) AS commits, coalesce(dependents, 0) AS dependents FROM d LEFT JOIN c USING (buffer_id, file) LEFT JOIN p USING (buffer_id, file)) SELECT *, CASE WHEN commits >= 3 THEN 'high' WHEN commits = 2 OR dependents >= 2 THEN 'medium' ELSE 'low' END AS risk FROM r""")
 def g20_conflict_risk(spark: SparkSession, folder: str) -> DataFrame:
-    return H.conflict_risk(table(spark, folder, "source_files").filter("lines IS NULL").select(F.col("path").alias("file")), table(spark, folder, "snapshot_files").select(F.col("path").alias("file")), table(spark, folder, "chunks").select("file"))
+    commits = snapshot_changes(table(spark, folder, "snapshot_files")).select("buffer_id", F.col("path").alias("file"))
+    dependents = G.import_targets(table(spark, folder, "chunks")).select("buffer_id", F.col("target").alias("file"))
+    return H.conflict_risk(table(spark, folder, "source_files").filter("lines IS NULL").select("buffer_id", F.col("path").alias("file")), commits, dependents)
 
 
 @query("s3_sliding", """WITH s AS (SELECT file_id, string_split(content, chr(10)) AS l FROM source_files WHERE content IS NOT NULL), w AS (SELECT file_id, l, unnest(range(0, greatest(1, ((len(l) - 30 + 24) // 25) + 1), 1)) AS k FROM s)
@@ -150,10 +168,27 @@ def s16_s17_budget(spark: SparkSession, folder: str) -> DataFrame:
     return C.size_budget(table(spark, folder, "source_files"))
 
 
-@query("s19_external_changes", """WITH o AS (SELECT path, max(hash) AS was FROM snapshot_files WHERE snapshot_seq = 1 GROUP BY path), n AS (SELECT path, max(hash) AS now FROM source_files GROUP BY path) SELECT path, CASE WHEN was IS NULL AND o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n USING (path) WHERE o.path IS NULL OR n.path IS NULL OR was IS DISTINCT FROM now""")
+@query("s17_resources", "WITH g AS (SELECT buffer_id, count(*) AS files, sum(coalesce(lines, 0))::BIGINT AS n_lines, greatest(1, sum(coalesce(lines, 0)) // 25)::BIGINT AS chunks, sum(coalesce(size, 0)) AS bytes FROM source_files GROUP BY buffer_id), r AS (SELECT *, round(chunks * 384 * 4 * 1.5::DOUBLE / 1048576 + bytes * 0.2::DOUBLE / 1048576, 2) AS ram_mb FROM g) SELECT buffer_id, files, n_lines, chunks, ram_mb, round(chunks * 0.05::DOUBLE, 2) AS embed_s, 20.0::DOUBLE AS search_ms, CASE WHEN chunks > 50000 THEN 'many chunks' WHEN ram_mb > 4096 THEN 'much memory' END AS warning FROM r")
+def s17_resources(spark: SparkSession, folder: str) -> DataFrame:
+    return C.resource_estimate(table(spark, folder, "source_files"))
+
+
+@query("s4_blocks", """WITH l AS (SELECT file_id, unnest(range(0, len(string_split(content, chr(10))))) AS n, content FROM source_files WHERE content IS NOT NULL), b AS (SELECT file_id, n, string_split(content, chr(10))[n + 1] AS body FROM l), p AS (SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000 AS block FROM b)
+    SELECT file_id, block::BIGINT AS block, (min(n) + 1)::INT AS start_line, (max(n) + 1)::INT AS end_line, string_agg(body, chr(10) ORDER BY n) AS content FROM p GROUP BY file_id, block""")
+def s4_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return C.blocks(table(spark, folder, "source_files"), "file_id", "content", 1000)
+
+
+@query("s5_break_points", r"""WITH t AS (SELECT file_id, content, greatest(0, 900 - 500) AS b, substr(content, greatest(0, 900 - 500) + 1, 500) AS region FROM source_files WHERE content IS NOT NULL AND length(content) > 900)
+    SELECT file_id, CASE WHEN length(regexp_extract(region, '(?s)^(.*\n)(?:def |class |@)', 1)) > 0 THEN b + length(regexp_extract(region, '(?s)^(.*\n)(?:def |class |@)', 1)) WHEN regexp_matches(region, '^(def |class |@)') THEN b ELSE greatest(1, length(regexp_extract(substr(content, 1, 901), '(?s)^(.*\n)', 1))) END::INT AS at FROM t""")
+def s5_break_points(spark: SparkSession, folder: str) -> DataFrame:
+    f = table(spark, folder, "source_files").filter("content IS NOT NULL AND length(content) > 900")
+    return f.select("file_id", C.break_point(F.col("content"), F.lit(900), 500).alias("at"))
+
+
+@query("s19_external_changes", f"""WITH {LAST}, o AS (SELECT buffer_id, path, hash AS was, true AS o FROM last JOIN nth USING (buffer_id, snapshot_seq) WHERE n = 1), n AS (SELECT buffer_id, path, hash AS now, true AS n FROM disk) SELECT buffer_id, path, CASE WHEN o.o IS NULL THEN 'new' WHEN n.n IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n USING (buffer_id, path) WHERE o.o IS NULL OR n.n IS NULL OR was IS DISTINCT FROM now""")
 def s19_external_changes(spark: SparkSession, folder: str) -> DataFrame:
-    old = table(spark, folder, "snapshot_files").filter("snapshot_seq = 1").groupBy("path").agg(F.max("hash").alias("hash"))
-    return C.external_changes(old, table(spark, folder, "source_files").groupBy("path").agg(F.max("hash").alias("hash")))
+    return C.external_changes(nth_last(table(spark, folder, "snapshot_files"), 1), on_disk(spark, folder))
 
 
 @query("t23_line_range", "SELECT file_id, array_to_string(string_split(content, chr(10))[3:9], chr(10)) AS text FROM source_files WHERE content IS NOT NULL")
@@ -178,6 +213,20 @@ def u1_virtual_buffer(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks").join(table(spark, folder, "buffers").filter("state = 'ready'").select("buffer_id"), "buffer_id", "left_semi").groupBy("buffer_id").agg(F.count("*").alias("chunks"))
 
 
-@query("u4_uncovered", "SELECT DISTINCT path FROM source_files EXCEPT SELECT DISTINCT file FROM file_summaries")
+@query("u4_uncovered", "SELECT file_id FROM source_files EXCEPT SELECT file_id FROM file_summaries")
 def u4_uncovered(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "source_files").select("path").distinct().join(table(spark, folder, "file_summaries").select(F.col("file").alias("path")), "path", "left_anti")
+    return table(spark, folder, "source_files").select("file_id").distinct().join(table(spark, folder, "file_summaries").select("file_id"), "file_id", "left_anti")
+
+
+@query("a10_test_runs", "SELECT user_id || '-' || event_type AS run, count(*) AS passed, count(*) FILTER (value > 50) AS failed, count(*) FILTER (value < 5) AS skipped, count(*) + count(*) FILTER (value > 50) + count(*) FILTER (value < 5) AS total, 'tests/test_' || event_type || '.py::test_' || user_id AS failures FROM events GROUP BY user_id, event_type")
+def a10_test_runs(spark: SparkSession, folder: str) -> DataFrame:
+    # Outputs as a test runner prints them, one for each user and kind of event.
+    by = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("f"), F.count_if(F.col("value") < 5).alias("s"))
+    output = F.concat(F.lit("=== "), F.col("n"), F.lit(" passed, "), F.col("f"), F.lit(" failed, "), F.col("s"), F.lit(" skipped in 0.5s\nFAILED tests/test_"), F.col("event_type"), F.lit(".py::test_"), F.col("user_id"))
+    return H.test_run_summary(by.select(F.concat_ws("-", "user_id", "event_type").alias("run"), output.alias("output")))
+
+
+@query("k3_redo")
+def k3_redo(spark: SparkSession, folder: str) -> DataFrame:
+    action = F.when(F.col("event_type") == "view", "undo").when(F.col("event_type") == "error", "redo").otherwise("edit")
+    return H.redo_stacks(table(spark, folder, "events").select(F.col("user_id").alias("branch"), F.col("event_id").alias("seq"), action.alias("action")))

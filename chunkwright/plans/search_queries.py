@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import packing as P
 from ..operators import search as S
 from ..sources.tables import table
+from .analysis_queries import over_planted, planted
 from .registry import query
 
 #: Common SQL: the lexical tokens of the chunks, and BM25 over them.
@@ -246,16 +247,10 @@ def c6_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return P.greedy_clusters(v.select(F.col("label").cast("string").alias("part"), F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.3)
 
 
-@query("q20_type_search", r"""WITH s AS (SELECT chunk_id, name, regexp_extract(text, '(?s)def\s+\w+\s*\((.*?)\)', 1) AS params, regexp_extract(text, '\)\s*->\s*([A-Za-z_][\w\[\], .]*)\s*:', 1) AS ret FROM chunks WHERE regexp_matches(text, 'def\s+\w+\s*\('))
-    SELECT chunk_id, name, trim(ret) AS returns, len(list_filter(string_split(params, ','), lambda p: trim(p) NOT IN ('', 'self', 'cls')))::INT AS arity FROM s""")
-def q20_type_search(spark: SparkSession, folder: str) -> DataFrame:
-    return P.signatures(table(spark, folder, "chunks"))
-
-
-@query("q21_implementations", r"""WITH c AS (SELECT chunk_id, regexp_extract(text, 'class\s+(\w+)\s*\(', 1) AS cls, unnest(list_transform(string_split(regexp_extract(text, 'class\s+\w+\s*\(([^)]*)\)', 1), ','), lambda b: trim(b))) AS base FROM chunks WHERE type = 'class' AND regexp_matches(text, 'class\s+\w+\s*\([^)]+\)'))
-    SELECT cls, base, 'direct' AS via FROM c WHERE base <> '' UNION SELECT a.cls, b.base, 'transitive' FROM c a JOIN c b ON a.base = b.cls WHERE b.base <> ''""")
+@query("q21_implementations", over_planted(r"""WITH c AS (SELECT DISTINCT buffer_id, regexp_extract(h, 'class\s+(\w+)', 1) AS cls, trim(unnest(string_split(regexp_extract(h, '\(([^)]*)\)', 1), ','))) AS base FROM (SELECT buffer_id, unnest(regexp_extract_all(text, 'class\s+\w+\s*\([^)]+\)')) AS h FROM chunks WHERE type = 'class'))
+    SELECT buffer_id, cls, base, 'direct' AS via FROM c WHERE base <> '' UNION SELECT a.buffer_id, a.cls, b.base, 'transitive' FROM c a JOIN c b ON a.base = b.cls AND a.buffer_id = b.buffer_id WHERE b.base <> ''"""))
 def q21_implementations(spark: SparkSession, folder: str) -> DataFrame:
-    return P.implementations(table(spark, folder, "chunks"))
+    return P.implementations(planted(spark, folder))
 
 
 @query("q24_intents", "WITH " + NEAREST + f" SELECT * FROM {top('near', 3)}")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WINDOW, OVERLAP = 30, 5
 
@@ -140,11 +141,51 @@ def size_budget(files: DataFrame, dim: int = 384, most_mb: int = 500) -> DataFra
 
 
 def external_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """path, change: new, deleted or changed files by hash (path, hash)."""
-    o, n = old.select("path", F.col("hash").alias("was"), F.lit(True).alias("o")), new.select("path", F.col("hash").alias("now"), F.lit(True).alias("n"))
-    rows = o.join(n, "path", "full_outer")
+    """buffer_id, path, change: new, deleted or changed files of each buffer by hash (buffer_id, path, hash)."""
+    keys = ["buffer_id", "path"]
+    o, n = old.select(*keys, F.col("hash").alias("was"), F.lit(True).alias("o")), new.select(*keys, F.col("hash").alias("now"), F.lit(True).alias("n"))
+    rows = o.join(n, keys, "full_outer")
     change = F.when(F.col("o").isNull(), "new").when(F.col("n").isNull(), "deleted").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
-    return rows.select("path", change.alias("change")).filter("change IS NOT NULL")
+    return rows.select(*keys, change.alias("change")).filter("change IS NOT NULL")
+
+
+def resource_estimate(files: DataFrame, dim: int = 384, per_chunk: int = 25, cuda: bool = False) -> DataFrame:
+    """buffer_id, files, n_lines, chunks, ram_mb, embed_s, search_ms, warning: what embedding each buffer (lines, size) would take.
+
+    Vectors of 4 bytes, half as much again for an index and a fifth of the files' size; 50 ms a chunk (5 on a GPU). The warning is for over
+    50,000 chunks, else for over 4 GB.
+    """
+    by = files.groupBy("buffer_id").agg(F.count("*").alias("files"), F.sum(F.coalesce("lines", F.lit(0))).alias("n_lines"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
+    by = by.withColumn("chunks", F.greatest(F.lit(1), F.floor(F.col("n_lines") / per_chunk)))
+    ram = F.col("chunks") * dim * 4 * 1.5 / 1048576 + F.col("bytes") * 0.2 / 1048576
+    by = by.withColumn("ram_mb", F.round(ram, 2))
+    warning = F.when(F.col("chunks") > 50_000, "many chunks").when(F.col("ram_mb") > 4096, "much memory")
+    return by.select("buffer_id", "files", "n_lines", "chunks", "ram_mb", F.round(F.col("chunks") * (0.005 if cuda else 0.05), 2).alias("embed_s"), F.lit(1.0 if cuda else 20.0).alias("search_ms"), warning.alias("warning"))
+
+
+def existing_buffers(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, buffer_id: the buffers that already hold a folder, by its hash; both have (buffer_id, hash)."""
+    return asked.select(F.col("buffer_id").alias("asked"), "hash").join(known.select("buffer_id", "hash"), "hash").select("asked", "buffer_id")
+
+
+def blocks(files: DataFrame, key: str, text: str, size: int = 1 << 20) -> DataFrame:
+    """key, block, start_line, end_line, content: texts in blocks of whole lines; a line lies in the block in which its first character does."""
+    lines = files.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("n", "body"))
+    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("block", F.floor(F.coalesce(F.sum(F.length("body") + 1).over(w), F.lit(0)) / size))
+    by = placed.groupBy(key, "block").agg((F.min("n") + 1).alias("start_line"), (F.max("n") + 1).alias("end_line"), F.array_sort(F.collect_list(F.struct("n", "body"))).alias("l"))  # the lines of one block
+    return by.select(key, "block", "start_line", "end_line", F.array_join(F.transform("l", lambda x: x["body"]), "\n").alias("content"))
+
+
+def break_point(text: Column, target: Column, reach: int = 5000) -> Column:
+    """Where to cut a text at or before ``target`` (characters from 0): before the last line within ``reach`` characters that begins a
+    definition or decorator, else after the last line end."""
+    begin = F.greatest(F.lit(0), target - reach)
+    region = F.substring(text, begin + 1, target - begin)
+    last = F.regexp_extract(region, r"(?s)^(.*\n)(?:def |class |@)", 1)
+    first = region.rlike(r"^(?:def |class |@)")
+    upto = F.substring(text, F.lit(1), F.least(target + 1, F.length(text)))
+    return F.when(F.length(last) > 0, begin + F.length(last)).when(first, begin).otherwise(F.greatest(F.lit(1), F.length(F.regexp_extract(upto, r"(?s)^(.*\n)", 1)))).cast("int")
 
 
 def line_range(text: Column, start: int, stop: int) -> Column:
