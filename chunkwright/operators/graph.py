@@ -354,3 +354,19 @@ def full_context(chunks: DataFrame) -> DataFrame:
     errors = error_contexts(chunks).groupBy("buffer_id", "symbol").agg(F.count("*").alias("errors"))
     rows = first.join(used, ["buffer_id", "symbol"], "left").join(made, ["buffer_id", "symbol"], "left").join(errors, ["buffer_id", "symbol"], "left")
     return rows.select("buffer_id", "symbol", "chunk_id", "file", "start_line", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("tests", F.lit("")).alias("tests"), F.coalesce("callees", F.lit("")).alias("callees"), F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
+def new_symbols(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
+    """key, symbol, body: definitions on lines of the new text that no line of the old text of the same key equals."""
+    lines = lambda d: d.filter(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(F.split(text, "\n"))).alias("body"))
+    p = r"^\s*(?:async\s+)?(?:def|class|func|function)\s+(\w+)"
+    return lines(new).filter(F.col("body").rlike(p)).join(lines(old), [key, "body"], "left_anti").select(key, F.regexp_extract("body", p, 1).alias("symbol"), "body")
+
+
+def invalidated_symbols(chunks: DataFrame, dirty: DataFrame) -> DataFrame:
+    """buffer_id, symbol: symbols whose cached neighbourhoods a change of ``dirty`` files (buffer_id, file) spoils: those defined there and those of the buffer that are called from there."""
+    d = buffered(dirty).select("buffer_id", "file").distinct()
+    defs = definitions(chunks)
+    own = defs.join(d, ["buffer_id", "file"], "left_semi").select("buffer_id", "symbol")
+    used = call_sites(chunks).join(d, ["buffer_id", "file"], "left_semi").select("buffer_id", F.col("callee").alias("symbol")).join(defs.select("buffer_id", "symbol"), ["buffer_id", "symbol"], "left_semi")
+    return own.unionByName(used).distinct()

@@ -16,7 +16,7 @@ from .graph import buffered
 from .search import dot
 
 SIGNATURE = "n INT, name STRING, params ARRAY<STRUCT<name: STRING, type: STRING, default: STRING>>, returns STRING, is_async BOOLEAN"
-_head = re.compile(r"(async\s+)?\bdef\s+([A-Za-z_]\w*)\s*\(")
+_head = re.compile(r"^[ \t]*(async\s+)?def\s+([A-Za-z_]\w*)\s*\(", re.M)
 _mark = re.compile(r"[()\[\]{},:\n\"'#]")
 _returns = re.compile(r"\s*(?:->\s*)?")
 
@@ -44,7 +44,7 @@ def _until(text: str, at: int, stops: str) -> int:
 
 
 def parsed_signatures(text: str) -> list[tuple[str, list[tuple[str, str | None, str | None]], str | None, bool]]:
-    """(name, [(parameter, type, default)], result type, async) of the definitions of ``text``; self, cls and bare marks are no parameters."""
+    """(name, [(parameter, type, default)], result type, async) of the definitions of ``text``, which begin their lines; self, cls and bare marks are no parameters."""
     out = []
     for m in _head.finditer(text):
         params, at, end = [], m.end(), -1

@@ -51,24 +51,25 @@ def stripped(text: Column) -> Column:
 
 
 def packed_smart(ranked: DataFrame, chunks: DataFrame, budget: int, excluded: tuple[str, ...] = ("sliding", "orphan"), min_lines: int = 1, max_lines: int = 400, full: int = 3) -> DataFrame:
-    """qid, file, start_line, id, rank, cost, used, body: filtered, without duplicates, the first ``full`` as whole texts, the rest as signatures."""
+    """qid, file, start_line, id, rank, cost, used, body, saved: filtered, without duplicates, the first ``full`` as whole texts, the rest as signatures; saved are the tokens that each costs less."""
     kept = unique_texts(packing_reason(chunks, list(excluded), min_lines, max_lines).filter("reason = 'kept'"))
     rows = ranked.join(kept.select(F.col("chunk_id").alias("id"), "file", "start_line", "text"), "id")
     w = Window.partitionBy("qid").orderBy("rank")
     rows = rows.withColumn("place", F.row_number().over(w)).withColumn("body", stripped(F.when(F.col("place") <= full, F.col("text")).otherwise(T.signature(F.col("text")))))
-    return within_budget(rows, T.estimated_tokens(F.col("body")), budget, order="place").select("qid", "file", "start_line", "id", "rank", "cost", "used", "body")
+    return within_budget(rows, T.estimated_tokens(F.col("body")), budget, order="place").select("qid", "file", "start_line", "id", "rank", "cost", "used", "body", (T.estimated_tokens(F.col("text")) - F.col("cost")).alias("saved"))
 
 
 def packed_hierarchy(chunks: DataFrame, query: str, budget: int, top_files: int = 5, top_chunks: int = 10) -> DataFrame:
     """level, file, chunk_id, body, used: summaries of the best files, their best chunks and those lines that have a query word, in one budget."""
     terms = [t for t in dict.fromkeys(query.lower().split()) if t]
     has = lambda c: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(c), t)))
-    scored = chunks.filter("text IS NOT NULL").withColumn("s", 0.8 * has(F.coalesce("name", F.lit(""))) + 0.3 * has(F.col("text")))
-    files = scored.groupBy("file").agg(F.sum("s").alias("fs"), F.count("*").alias("n"), F.concat_ws(", ", F.array_sort(F.collect_set("name"))).alias("names"))
-    files = files.withColumn("fs", F.col("fs") + 0.5 * has(F.col("file"))).filter("fs > 0").orderBy(F.desc("fs"), "file").limit(top_files)
-    files = files.withColumn("fr", F.row_number().over(Window.orderBy(F.desc("fs"), "file")))
-    w = Window.partitionBy("file").orderBy(F.desc("s"), "chunk_id")
-    inner = scored.join(F.broadcast(files.select("file", "fr")), "file").filter("s > 0").withColumn("cr", F.row_number().over(w)).filter(F.col("cr") <= top_chunks)
+    # In tenths: .8 for a term in the name, .3 in the text, .5 in the path.
+    scored = buffered(chunks).filter("text IS NOT NULL").withColumn("s", 8 * has(F.coalesce("name", F.lit(""))) + 3 * has(F.col("text")))
+    files = scored.groupBy("buffer_id", "file").agg(F.sum("s").alias("fs"), F.count("*").alias("n"), F.concat_ws(", ", F.array_sort(F.collect_set("name"))).alias("names"))
+    files = files.withColumn("fs", F.col("fs") + 5 * has(F.col("file"))).filter("fs > 0").orderBy(F.desc("fs"), "buffer_id", "file").limit(top_files)
+    files = files.withColumn("fr", F.row_number().over(Window.orderBy(F.desc("fs"), "buffer_id", "file")))
+    w = Window.partitionBy("buffer_id", "file").orderBy(F.desc("s"), "chunk_id")
+    inner = scored.join(F.broadcast(files.select("buffer_id", "file", "fr")), ["buffer_id", "file"]).filter("s > 0").withColumn("cr", F.row_number().over(w)).filter(F.col("cr") <= top_chunks)
     lines = inner.withColumn("body", F.array_join(F.slice(F.filter(F.split("text", "\n"), lambda x: has(x) > 0), 1, 3), "\n"))
     parts = files.select(F.lit(1).alias("level"), "file", "fr", F.lit(0).alias("cr"), F.lit(None).cast("bigint").alias("chunk_id"), F.concat_ws(": ", "file", "names").alias("body"))
     parts = parts.unionByName(inner.select(F.lit(2).alias("level"), "file", "fr", "cr", "chunk_id", T.signature(F.col("text")).alias("body"))).unionByName(lines.select(F.lit(3).alias("level"), "file", "fr", "cr", "chunk_id", "body"))

@@ -200,10 +200,10 @@ def a9_errors(spark: SparkSession, folder: str) -> DataFrame:
     return A.error_handling(chunks_of(spark, folder))
 
 
-DOCUMENTED = "(contains(text, '\"\"\"') OR contains(text, ''))".replace('\"', '"')
+DOCUMENTED = "(contains(text, repeat(chr(34), 3)) OR contains(text, repeat(chr(39), 3)))"
 
 
-@query("a6_quality", f"""WITH r AS (SELECT buffer_id, file, chunk_id, start_line, name, len(string_split(text, chr(10))) AS lines, (type IN ('function', 'method', 'nested_function'))::INT AS f, CASE WHEN type IN ('function', 'method', 'nested_function') THEN len(regexp_extract_all(text, '\b(if|for|while|and|or|except|with)\b')) ELSE 0 END AS b,
+@query("a6_quality", f"""WITH r AS (SELECT buffer_id, file, chunk_id, start_line, name, len(string_split(text, chr(10))) AS lines, (type IN ('function', 'method', 'nested_function'))::INT AS f, CASE WHEN type IN ('function', 'method', 'nested_function') THEN len(regexp_extract_all(text, '\\b(if|for|while|and|or|except|with)\\b')) ELSE 0 END AS b,
     CASE WHEN type IN ('function', 'method', 'nested_function') THEN {NESTING} ELSE 0 END AS deep, (type IN ('function', 'method', 'nested_function') AND {DOCUMENTED})::INT AS d, (type IN ('function', 'method', 'nested_function') AND (contains(text, '->') OR contains(array_to_string(string_split(text, chr(10))[1:2], chr(10)), ': ')))::INT AS t FROM chunks WHERE text IS NOT NULL),
     s AS (SELECT buffer_id, file, start_line, chunk_id, unnest(list_filter([CASE WHEN d = 0 AND name IS NOT NULL THEN 'document' END, CASE WHEN b > 8 THEN 'split' END, CASE WHEN lines > 50 THEN 'extract' END], lambda x: x IS NOT NULL)) AS what FROM r WHERE f = 1),
     q AS (SELECT buffer_id, file, string_agg(what || ':' || chunk_id, ',' ORDER BY start_line, chunk_id, what) AS suggestions FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY buffer_id, file ORDER BY start_line, chunk_id, what) <= 10) GROUP BY ALL),

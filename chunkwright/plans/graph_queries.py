@@ -209,7 +209,7 @@ def g18_file_symbols(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("g19_symbol_metadata", rf"""WITH {CALL}, u AS (SELECT buffer_id, callee, count(DISTINCT chunk_id) AS called_by FROM calls GROUP BY ALL), m AS (SELECT chunk_id, count(*) AS calls_count FROM calls GROUP BY chunk_id), x AS (SELECT chunk_id, len(regexp_extract_all(text, '\b(if|elif|for|while|except|and|or|assert)\b')) + 1 AS complexity,
-    regexp_extract(text, '(?s)["]{3}(.*?)["]{3}', 1) AS d1, regexp_extract(text, '(?s)['']{3}(.*?)['']{3}', 1) AS d2, trim(regexp_extract(text, '\)\s*->\s*([A-Za-z_][\w\[\], .]*)\s*:', 1)) AS ret FROM chunks)
+    regexp_extract(text, '(?s)["]{{3}}(.*?)["]{{3}}', 1) AS d1, regexp_extract(text, '(?s)['']{{3}}(.*?)['']{{3}}', 1) AS d2, trim(regexp_extract(text, '\)\s*->\s*([A-Za-z_][\w\[\], .]*)\s*:', 1)) AS ret FROM chunks)
     SELECT d.buffer_id, d.symbol, d.chunk_id, d.end_line - d.start_line + 1 AS loc, coalesce(u.called_by, 0) AS called_by, coalesce(m.calls_count, 0) AS calls_count, x.complexity::INT AS complexity, nullif(trim(CASE WHEN length(d1) > 0 THEN d1 ELSE d2 END, ' '), '') AS docstring, nullif(ret, '') AS returns
     FROM defs d JOIN x USING (chunk_id) LEFT JOIN u ON u.callee = d.symbol AND u.buffer_id = d.buffer_id LEFT JOIN m ON m.chunk_id = d.chunk_id""")
 def g19_symbol_metadata(spark: SparkSession, folder: str) -> DataFrame:

@@ -117,7 +117,7 @@ def t14_diffs(spark: SparkSession, folder: str) -> DataFrame:
     return H.unified_diffs(f, f.withColumn("content", F.regexp_replace("content", r"\breturn\b", "yield")), "file_id", "content")
 
 
-@query("t15_merge")
+@query("t15_merge", r"""SELECT concat_ws('/', buffer_id, path) AS path, coalesce(regexp_replace(content, '\breturn\b', 'yield', 'g') || chr(10) || '# end', '') AS merged, false AS conflict FROM source_files""")
 def t15_merge(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "source_files").select(F.concat_ws("/", "buffer_id", "path").alias("path"), "content")
     return H.merged_lines(f, f.withColumn("content", F.regexp_replace("content", r"\breturn\b", "yield")), f.withColumn("content", F.concat("content", F.lit("\n# end"))))

@@ -14,9 +14,9 @@ from .search_queries import ASKED, SCORED, TOKENS, bm25_chunks, top
 
 #: Common SQL: every definition of the chunks with its parameters; those of the data hold no strings or brackets but of types.
 SIG = r"""
-    heads AS (SELECT buffer_id, chunk_id, file, text, unnest(regexp_extract_all(text, '(?s)(?:async\s+)?\bdef\s+[A-Za-z_]\w*\s*\([^()]*\)[^:]*:')) AS h, generate_subscripts(regexp_extract_all(text, '(?s)(?:async\s+)?\bdef\s+[A-Za-z_]\w*\s*\([^()]*\)[^:]*:'), 1) - 1 AS n FROM chunks WHERE text IS NOT NULL),
+    heads AS (SELECT buffer_id, chunk_id, file, text, unnest(regexp_extract_all(text, '(?ms)^[ \t]*(?:async\s+)?def\s+[A-Za-z_]\w*\s*\([^()]*\)[^:]*:')) AS h, generate_subscripts(regexp_extract_all(text, '(?ms)^[ \t]*(?:async\s+)?def\s+[A-Za-z_]\w*\s*\([^()]*\)[^:]*:'), 1) - 1 AS n FROM chunks WHERE text IS NOT NULL),
     cut AS (SELECT *, regexp_extract(h, 'def\s+(\w+)', 1) AS name, list_filter(list_transform(regexp_extract_all(regexp_extract(h, '(?s)\(([^()]*)\)', 1), '(?:[^,\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p NOT IN ('', 'self', 'cls', '*', '**', '/')) AS ps,
-      nullif(trim(regexp_extract(h, '(?s)\)\s*->\s*(.*?)\s*:$', 1)), '') AS returns, regexp_matches(h, '^async\s') AS is_async FROM heads),
+      nullif(trim(regexp_extract(h, '(?s)\)\s*->\s*(.*?)\s*:$', 1)), '') AS returns, regexp_matches(h, '^\s*async\s') AS is_async FROM heads),
     sig AS (SELECT buffer_id, chunk_id, file, n::INT AS n, name, list_transform(ps, lambda p: struct_pack(name := regexp_extract(p, '^\**\s*(\w+)', 1), type := nullif(trim(regexp_extract(p, '^\**\s*\w+\s*:\s*([^=]*)', 1)), ''), "default" := CASE WHEN contains(p, '=') THEN trim(regexp_extract(p, '=\s*(.*)$', 1)) END)) AS params, returns, is_async FROM cut)"""
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import graph as G
 from ..operators import packing as P
 from ..operators import search as S
-from ..sources.tables import table
+from ..sources.tables import table, written
 from .analysis_queries import over_planted, planted
+from .graph_queries import CALL, IMPORTS
 from .registry import query
 
 #: Common SQL: the lexical tokens of the chunks, and BM25 over them.
@@ -106,9 +108,12 @@ def q8_files(spark: SparkSession, folder: str) -> DataFrame:
     return S.files_like(table(spark, folder, "chunks"), r"(config|settings).*\.(yaml|py)$")
 
 
-@query("q9_symbols", "SELECT chunk_id, name, CASE WHEN lower(name) = 'load' THEN 1.0::DOUBLE ELSE 0.8 END AS score FROM chunks WHERE contains(lower(name), 'load')")
+@query("q9_symbols", f"""WITH {NEAREST}, v AS (SELECT id, score FROM near WHERE qid = 100), a AS (SELECT chunk_id, name, CASE WHEN lower(name) = 'load_config' THEN 1.0::DOUBLE ELSE 0.8 END AS score, 1 AS way FROM chunks WHERE contains(lower(name), 'load_config')),
+    b AS (SELECT chunk_id, name, v.score, 2 AS way FROM chunks JOIN v ON v.id = chunk_id WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM a)) SELECT chunk_id, name, score, row_number() OVER (ORDER BY way, score DESC, chunk_id)::INT AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY rank <= 10""")
 def q9_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks").filter(F.lower("name").contains("load")).select("chunk_id", "name", F.when(F.lower("name") == "load", 1.0).otherwise(0.8).alias("score"))
+    v = table(spark, folder, "embeddings")
+    one = v.filter("vec_id = 100").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return S.symbols_named(table(spark, folder, "chunks"), "load_config", S.vector_links(v, "vec_id", "embedding", one, -2.0).select("id", "score"))
 
 
 @query("q10_symbol_search", """
@@ -125,29 +130,47 @@ def q15_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return S.result_confidence(nearest(spark, folder, 20))
 
 
-@query("q12_score_parts", """
-    SELECT chunk_id, round((contains(lower(text), 'load')::INT + contains(lower(text), 'token')::INT) / 2.0, 3)::DOUBLE AS lexical,
-      CASE WHEN lower(coalesce(name, '')) = 'load token' THEN 1.0 WHEN contains(lower(coalesce(name, '')), 'load token') THEN 0.7 WHEN contains(lower(coalesce(name, '')), 'load') OR contains(lower(coalesce(name, '')), 'token') THEN 0.5 ELSE 0.0 END::DOUBLE AS symbol
-    FROM chunks WHERE text IS NOT NULL""")
+FACET = f"""{NEAREST}, c AS (SELECT chunk_id AS id, type, lower(coalesce(name, '')) AS n, lower(text) AS t FROM chunks WHERE lower(trim(language)) = 'python' AND end_line - start_line + 1 >= 3),
+    p AS (SELECT id, coalesce((contains(t, 'load')::INT + contains(t, 'token')::INT), 0) / 2.0::DOUBLE AS lexical, CASE WHEN n = 'load token' THEN 1.0 WHEN contains(n, 'load token') THEN 0.7 WHEN contains(n, 'load') OR contains(n, 'token') THEN 0.5 ELSE 0.0 END::DOUBLE AS symbol, CASE WHEN type = 'function' THEN 0.05 ELSE 0.0 END::DOUBLE AS bonus FROM c),
+    s AS (SELECT near.qid, p.id, near.score AS semantic, floor((0.7::DOUBLE * near.score + (0.15::DOUBLE * lexical + 0.15::DOUBLE * symbol + bonus)) * 1000 + 0.5::DOUBLE + 1e-9) / 1000 AS score, lexical, symbol FROM p JOIN near ON near.id = p.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10)"""
+
+
+@query("q12_score_parts", f"WITH {FACET} SELECT id AS chunk_id, round(lexical, 3) AS lexical, symbol, bonus FROM p")
 def q12_score_parts(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.lower(F.coalesce("name", F.lit("")))
-    lexical = (F.lower("text").contains("load").cast("int") + F.lower("text").contains("token").cast("int")) / 2
-    symbol = F.when(name == "load token", 1.0).when(name.contains("load token"), 0.7).when(name.contains("load") | name.contains("token"), 0.5).otherwise(0.0)
-    return table(spark, folder, "chunks").filter("text IS NOT NULL").select("chunk_id", F.round(lexical, 3).alias("lexical"), symbol.alias("symbol"))
+    p = S.score_parts(S.facet_filter(table(spark, folder, "chunks"), language="python", min_lines=3), "load token", "function")
+    return p.select(F.col("id").alias("chunk_id"), F.round("lexical", 3).alias("lexical"), "symbol", "bonus")
 
 
-@query("q11_faceted")
+@query("q11_faceted", f"""WITH {FACET}, g AS (SELECT *, max(score) OVER q - max(CASE WHEN rank = 2 THEN score END) OVER q AS gap, avg(score) OVER q AS mean FROM r WINDOW q AS (PARTITION BY qid))
+    SELECT qid, id AS chunk_id, score, round(lexical, 3) AS lexical, round(symbol, 3) AS symbol, CASE WHEN score < 0.3 THEN 'low' WHEN score > 0.85 THEN 'high' WHEN gap > 0.2 AND rank = 1 THEN 'high' WHEN gap < 0.05 THEN 'low' WHEN score > mean + 0.1 THEN 'high' WHEN score < mean - 0.3 THEN 'low' ELSE 'medium' END AS confidence,
+      concat_ws(' ', CASE WHEN semantic > 0.7 THEN 'Strong semantic match.' WHEN semantic > 0.4 THEN 'Moderate semantic match.' END, CASE WHEN lexical > 0.5 THEN 'Query terms found in the text.' END, CASE WHEN symbol > 0 THEN 'Symbol name matches.' END) AS why, rank FROM g""")
 def q11_faceted(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings")
     queries = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return S.faceted(S.facet_filter(table(spark, folder, "chunks"), language="python", min_lines=3), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries, "load token", 10, "function")
 
 
+def ivf(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vectors, the queries, and the approximate 10 nearest by an inverted file of about the root of the number of vectors, probed as calibrated."""
+    v = table(spark, folder, "embeddings")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    index, centres = S.inverted_file(v, "vec_id", "embedding", max(1, int(v.count() ** 0.5)))
+    index = written(index, "ivf")
+    return v, asked, S.inverted_file_search(index, centres, asked, 10, S.calibrated_probe(index, centres, v, "vec_id", "embedding", asked, 10, 0.95))
+
+
 @query("q29_ivf")
 def q29_ivf(spark: SparkSession, folder: str) -> DataFrame:
-    v = table(spark, folder, "embeddings")
-    index, centres = S.inverted_file(v, "vec_id", "embedding", 16)
-    return S.inverted_file_search(index, centres, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10, 8)
+    return ivf(spark, folder)[2]
+
+
+@query("q29_recall", "SELECT true AS enough")
+def q29_recall(spark: SparkSession, folder: str) -> DataFrame:
+    v, asked, found = ivf(spark, folder)
+    exact = S.vector_search(v, "vec_id", "embedding", asked, 10)
+    hit = exact.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return hit.agg((F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
 
 
 @query("j16_most_similar", f"""WITH n AS (SELECT a.vec_id AS id, b.vec_id AS best, round({DOT.format(a='a.embedding', b='b.embedding')}, 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 <> 0) b)
@@ -189,7 +212,13 @@ def c1_pack_context(spark: SparkSession, folder: str) -> DataFrame:
     return P.packed(bm25_chunks(spark, folder, 50), table(spark, folder, "chunks"), 2000)
 
 
-@query("c2_pack_smart")
+STRIP = f"array_to_string(list_filter(string_split({{t}}, chr(10)), lambda x: NOT (trim(x) = '' OR starts_with(trim(x), '#!/') OR contains(trim(x), 'coding:') OR contains(trim(x), '-*-') OR contains(trim(x), '__all__') OR regexp_matches(trim(x), '{T.LICENSE_LINE}'))), chr(10))"
+TESTED = r"regexp_matches(regexp_extract(file, '[^/]*$'), '^(test_.*\.py|.*_test\.py|.*\.(test|spec)\.(js|ts|jsx|tsx)|.*_test\.rs|.*_test\.go|.*Test\.java)$')"
+
+
+@query("c2_pack_smart", f"""WITH {TOKENS}, {ASKED}, {SCORED}, r AS (SELECT * FROM {top('scored', 50)}), k AS (SELECT chunk_id, file, start_line, text FROM chunks WHERE text IS NOT NULL AND type NOT IN ('sliding', 'orphan') AND NOT {TESTED} AND end_line - start_line + 1 BETWEEN 1 AND 400 QUALIFY row_number() OVER (PARTITION BY sha256(regexp_replace(lower(text), '\\s+', '', 'g')) ORDER BY chunk_id) = 1),
+    p AS (SELECT r.qid, k.file, k.start_line, r.id, r.rank, k.text, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS place FROM r JOIN k ON k.chunk_id = r.id), b AS (SELECT *, {STRIP.format(t="CASE WHEN place <= 3 THEN text ELSE split_part(text, chr(10), 1) END")} AS body FROM p), c AS (SELECT *, greatest(1, length(body) // 4)::INT AS cost FROM b)
+    SELECT qid, file, start_line, id, rank, cost, sum(cost) OVER (PARTITION BY qid ORDER BY place)::BIGINT AS used, body, (greatest(1, length(text) // 4) - cost)::INT AS saved FROM c QUALIFY used <= 2000""")
 def c2_pack_smart(spark: SparkSession, folder: str) -> DataFrame:
     return P.packed_smart(bm25_chunks(spark, folder, 50), table(spark, folder, "chunks"), 2000)
 
@@ -199,7 +228,13 @@ def c3_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks").filter("text IS NOT NULL").select("chunk_id", T.signature(F.col("text")).alias("signature"), T.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("c4_pack_hierarchy")
+HAS = "(contains(lower({c}), 'load')::INT + contains(lower({c}), 'token')::INT + contains(lower({c}), 'cluster')::INT)"
+
+
+@query("c4_pack_hierarchy", f"""WITH s AS (SELECT *, 8 * {HAS.format(c="coalesce(name, '')")} + 3 * {HAS.format(c='text')} AS s FROM chunks WHERE text IS NOT NULL), f0 AS (SELECT buffer_id, file, sum(s) + 5 * {HAS.format(c='file')} AS fs, coalesce(array_to_string(list_sort(list_distinct(list(name))), ', '), '') AS names FROM s GROUP BY buffer_id, file),
+    f AS (SELECT *, row_number() OVER (ORDER BY fs DESC, buffer_id, file) AS fr FROM f0 WHERE fs > 0 QUALIFY fr <= 5), i AS (SELECT s.buffer_id, s.file, s.chunk_id, s.text, f.fr, row_number() OVER (PARTITION BY s.buffer_id, s.file ORDER BY s.s DESC, s.chunk_id) AS cr FROM s JOIN f USING (buffer_id, file) WHERE s.s > 0 QUALIFY cr <= 10),
+    p AS (SELECT 1 AS level, file, fr, 0 AS cr, NULL::BIGINT AS chunk_id, concat_ws(': ', file, names) AS body FROM f UNION ALL SELECT 2, file, fr, cr, chunk_id, split_part(text, chr(10), 1) FROM i UNION ALL SELECT 3, file, fr, cr, chunk_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: {HAS.format(c='x')} > 0)[1:3], chr(10)) FROM i)
+    SELECT level::INT AS level, file, chunk_id, body, sum(greatest(1, length(body) // 4)) OVER (ORDER BY level, fr, cr)::BIGINT AS used FROM p QUALIFY used <= 4000""")
 def c4_pack_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     return P.packed_hierarchy(table(spark, folder, "chunks"), "load token cluster", 4000)
 
@@ -253,18 +288,58 @@ def q21_implementations(spark: SparkSession, folder: str) -> DataFrame:
     return P.implementations(planted(spark, folder))
 
 
-@query("q24_intents", "WITH " + NEAREST + f" SELECT * FROM {top('near', 3)}")
+#: Groups of the vectors by label: the mean of each, at unit length, is the centre of an intent.
+INTENTS = f"""m AS (SELECT label AS cluster, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) t(i) WHERE embedding IS NOT NULL GROUP BY ALL), z AS (SELECT cluster, sqrt(sum(x * x)) AS z FROM m GROUP BY cluster),
+    near AS (SELECT q.vec_id AS qid, m.cluster::BIGINT AS id, round(sum(q.embedding[m.i]::DOUBLE * (m.x / z.z)::FLOAT::DOUBLE), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q CROSS JOIN m JOIN z USING (cluster) GROUP BY ALL)"""
+
+
+@query("q24_intents", f"WITH {INTENTS} SELECT * FROM {top('near', 3)}")
 def q24_intents(spark: SparkSession, folder: str) -> DataFrame:
-    return nearest(spark, folder, 3)
+    v = table(spark, folder, "embeddings")
+    centres = S.intent_centres(v.select(F.col("label").cast("bigint").alias("cluster"), F.col("embedding").alias("v")))
+    return S.vector_search(centres, "cluster", "v", v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 3)
+
+
+DIRTY = "dirty AS (SELECT DISTINCT buffer_id, path AS file FROM source_files WHERE file_id % 3 = 0)"
 
 
-@query("q18_modified_only", f"""WITH {NEAREST}, r AS (SELECT * FROM {top('near', 50)}), dirty AS (SELECT chunk_id, file FROM chunks c JOIN buffers b USING (buffer_id) WHERE b.state = 'dirty')
-    SELECT qid, id, score FROM r WHERE id IN (SELECT chunk_id FROM dirty) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10""")
+def dirty_files(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_files").filter("file_id % 3 = 0").select("buffer_id", F.col("path").alias("file")).distinct()
+
+
+@query("q18_modified_only", f"""WITH {NEAREST}, {IMPORTS}, {DIRTY}, r AS (SELECT * FROM {top('near', 50)}), sc AS (SELECT buffer_id, file, max(e) AS is_edited FROM (SELECT buffer_id, file, true AS e FROM dirty UNION ALL SELECT t.buffer_id, t.target, false FROM targets t JOIN dirty d ON t.buffer_id = d.buffer_id AND t.file = d.file) GROUP BY ALL),
+    k AS (SELECT r.qid, r.id, r.score, sc.is_edited FROM r JOIN chunks c ON c.chunk_id = r.id JOIN sc ON sc.buffer_id = c.buffer_id AND sc.file = c.file QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r.score DESC, r.id) <= 10) SELECT qid, id, score, is_edited, row_number() OVER (PARTITION BY qid ORDER BY is_edited DESC, score DESC, id)::INT AS rank FROM k""")
 def q18_modified_only(spark: SparkSession, folder: str) -> DataFrame:
-    dirty = table(spark, folder, "chunks").join(table(spark, folder, "buffers").filter("state = 'dirty'").select("buffer_id"), "buffer_id", "left_semi").select(F.col("chunk_id").alias("id"))
-    return S.best(nearest(spark, folder, 50).drop("rank").join(dirty, "id", "left_semi"), 10).select("qid", "id", "score")
+    c = table(spark, folder, "chunks")
+    return S.modified_only(nearest(spark, folder, 50).drop("rank"), c, dirty_files(spark, folder), G.import_targets(c))
 
 
-@query("q26_why", r"""SELECT chunk_id, least(0.9, 0.3 * ((contains(lower(file), 'config'))::INT + (contains(lower(file), 'core'))::INT))::DOUBLE AS keyword FROM chunks WHERE contains(lower(file), 'config') OR contains(lower(file), 'core')""")
+@query("q19_scope_estimate", f"WITH {DIRTY}, a AS (SELECT buffer_id, count(DISTINCT file) AS files FROM chunks GROUP BY ALL), d AS (SELECT buffer_id, count(*) AS n FROM dirty GROUP BY ALL) SELECT a.buffer_id, coalesce(n, 0) * 10 AS searched, greatest(0, (files - coalesce(n, 0)) * 10) AS skipped, round(greatest(1.0, files * 10 / greatest(coalesce(n, 0) * 10, 1)), 1)::DOUBLE AS speedup FROM a LEFT JOIN d USING (buffer_id)")
+def q19_scope_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    return S.scope_estimate(table(spark, folder, "chunks"), dirty_files(spark, folder))
+
+
+@query("q26_why", f"""WITH {CALL}, {NEAREST}, {IMPORTS}, {DIRTY}, r AS (SELECT r.qid, r.id, r.score, c.buffer_id, c.file, 0.3 * (contains(lower(c.file), 'config')::INT + contains(lower(c.file), 'core')::INT) AS kw FROM {top('near', 20)} r JOIN chunks c ON c.chunk_id = r.id),
+    bc AS (SELECT DISTINCT t.buffer_id, t.file FROM edges e JOIN chunks s ON s.chunk_id = e.src JOIN dirty d ON d.buffer_id = s.buffer_id AND d.file = s.file JOIN chunks t ON t.chunk_id = e.dst), bi AS (SELECT DISTINCT t.buffer_id, t.target AS file FROM targets t JOIN dirty d ON t.buffer_id = d.buffer_id AND t.file = d.file),
+    w AS (SELECT r.qid, r.id, list_filter([CASE WHEN d.file IS NOT NULL THEN {{'c': 1.0::DOUBLE, 'n': 'edited'}} END, CASE WHEN bc.file IS NOT NULL THEN {{'c': 0.95::DOUBLE, 'n': 'called'}} END, CASE WHEN bi.file IS NOT NULL THEN {{'c': 0.9::DOUBLE, 'n': 'imported'}} END, CASE WHEN r.score > 0.5 THEN {{'c': 0.85::DOUBLE, 'n': 'semantic'}} END, CASE WHEN kw > 0 THEN {{'c': least(0.9, kw)::DOUBLE, 'n': 'keyword'}} END], lambda x: x IS NOT NULL) AS l
+      FROM r LEFT JOIN dirty d ON d.buffer_id = r.buffer_id AND d.file = r.file LEFT JOIN bc ON bc.buffer_id = r.buffer_id AND bc.file = r.file LEFT JOIN bi ON bi.buffer_id = r.buffer_id AND bi.file = r.file)
+    SELECT qid, id, coalesce(l[1].n, 'none') AS reason, round(coalesce(l[1].c, 0), 4)::DOUBLE AS confidence, coalesce(array_to_string(list_transform(l, lambda x: x.n), ','), '') AS reasons FROM w""")
 def q26_why(spark: SparkSession, folder: str) -> DataFrame:
-    return P.path_keywords(table(spark, folder, "chunks"), "the config of core")
+    c = table(spark, folder, "chunks")
+    return P.annotated_results(nearest(spark, folder, 20), c, "the config of core", dirty_files(spark, folder), G.call_edges(c), G.import_targets(c))
+
+
+@query("q27_adapted", "SELECT user_id, count(*) AS n, min(operation || CASE lower(role) WHEN 'reviewer' THEN ' review refactor improve' WHEN 'debugger' THEN ' error bug exception fail' WHEN 'architect' THEN ' interface api design public' WHEN 'documenter' THEN ' documentation example guide' ELSE '' END) AS query FROM (SELECT user_id, operation, CASE length(operation) % 5 WHEN 0 THEN 'reviewer' WHEN 1 THEN 'debugger' WHEN 2 THEN 'architect' WHEN 3 THEN 'documenter' END AS role FROM audit_log) GROUP BY user_id")
+def q27_adapted(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.length("operation") % 5
+    profile = F.when(n == 0, "reviewer").when(n == 1, "debugger").when(n == 2, "architect").when(n == 3, "documenter")
+    return table(spark, folder, "audit_log").groupBy("user_id").agg(F.count("*").alias("n"), F.min(S.adapted(F.col("operation"), profile)).alias("query"))
+
+
+@query("x6_query_cache", f"""WITH a AS (SELECT vec_id AS id, label AS buffer_id, 'Query ' || (vec_id // 3) AS query, embedding AS v FROM embeddings WHERE vec_id % 2 = 0), c AS (SELECT vec_id AS cached, label AS buffer_id, lower(trim(' QUERY ' || (vec_id // 3) || ' ')) AS key, embedding AS cv FROM embeddings WHERE vec_id % 2 = 1),
+    e AS (SELECT a.id, min(cached) AS ex FROM a JOIN c ON a.buffer_id = c.buffer_id AND lower(trim(a.query)) = c.key GROUP BY a.id), s AS (SELECT a.id, min(cached) AS si FROM a JOIN c ON a.buffer_id = c.buffer_id WHERE a.id NOT IN (SELECT id FROM e) AND round({DOT.format(a='a.v', b='c.cv')}, 6) >= 0.3 GROUP BY a.id)
+    SELECT a.id, CASE WHEN ex IS NOT NULL THEN 'exact' WHEN si IS NOT NULL THEN 'similar' ELSE 'miss' END AS kind, coalesce(ex, si) AS hit FROM a LEFT JOIN e USING (id) LEFT JOIN s USING (id)""")
+def x6_query_cache(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("buffer_id"), F.floor(F.col("vec_id") / 3).alias("n"), F.col("embedding").alias("v"))
+    cache = v.filter("id % 2 = 1").select(F.col("id").alias("cached"), "buffer_id", F.concat(F.lit(" QUERY "), F.col("n"), F.lit(" ")).alias("query"), "v")
+    return S.cached_queries(cache, v.filter("id % 2 = 0").select("id", "buffer_id", F.concat(F.lit("Query "), F.col("n")).alias("query"), "v"), 0.3)
