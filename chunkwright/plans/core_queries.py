@@ -34,4 +34,4 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes(table(spark, folder, "snapshot_files"))
 
 
-from . import analysis_queries, edit_queries, graph_queries, history_queries, interface_queries, search_queries  # noqa: E402, F401
+from . import analysis_queries, edit_queries, graph_queries, history_queries, interface_queries, search_queries, store_queries  # noqa: E402, F401

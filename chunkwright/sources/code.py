@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lex import BRACE_LANGUAGES, definitions
+
 WINDOW, OVERLAP = 30, 5
 
 
@@ -74,35 +76,53 @@ def _python_chunks(text: str) -> list[tuple[int, int, str, str | None]] | None:
 
     walk(tree, "")
     found.sort(key=lambda f: (f[0], -f[1]))
+    return found + _gaps(text, found)
+
+
+def _gaps(text: str, found: list) -> list[tuple[int, int, str, None]]:
+    """The lines outside of all definitions, as orphans, where they aren't blank."""
     lines, upto, gaps = text.split("\n"), 0, []
-    for a, z, _, _ in [*found, (len(lines) + 1, 0, "", None)]:
+    for a, z, _, _ in [*sorted(found, key=lambda f: (f[0], -f[1])), (len(lines) + 1, 0, "", None)]:
         if a > upto + 1 and "".join(lines[upto : a - 1]).strip():
             gaps.append((upto + 1, a - 1, "orphan", None))
         upto = max(upto, z)
-    return sorted([*found, *gaps], key=lambda f: (f[0], -f[1], f[2]))
+    return gaps
+
 
+def cut_chunks(path: str, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[int, int, str, str | None]]:
+    """(first line, last line, type, name) of the chunks of a file: definitions and gaps of Python, JavaScript, Java and Go, else sliding windows."""
+    plain = text.replace("\r", "").lstrip("\ufeff")
+    suffix = path.rsplit(".", 1)[-1].lower()
+    cut = None
+    if suffix in ("py", "pyw", "pyi"):
+        cut = _python_chunks(plain)
+    elif suffix in BRACE_LANGUAGES:
+        found = definitions(plain, BRACE_LANGUAGES[suffix])
+        cut = found + _gaps(plain, found) if found else None
+    if cut is None:
+        n = text.count("\n") + 1
+        return [(s + 1, min(s + window, n), "sliding", None) for s in range(0, max(1, n - overlap), window - overlap)]
+    return sorted(cut, key=lambda f: (f[0], -f[1], f[2]))
 
-def definition_chunks(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """key, start_line, end_line, type, name, text: Python files by definition and gap, all others by sliding window."""
+
+def definition_chunks(files: DataFrame, key: str, path: str, text: str, handler=cut_chunks) -> DataFrame:
+    """key, start_line, end_line, type, name, text: files by definition and gap where their language is known and they can be read, all others by sliding window.
+
+    ``handler`` (path, text) gives the (first line, last line, type, name) of a file's chunks, so that any chunker can be used.
+    """
     import pandas as pd
 
     def run(batches):
         for b in batches:
             out = []
-            for k, t in zip(b["k"], b["t"], strict=True):
+            for k, p, t in zip(b["k"], b["p"], b["t"], strict=True):
                 lines = t.split("\n")
-                cut = _python_chunks(t.replace("\r", "").lstrip("﻿"))
-                if cut is None:
-                    cut = [(s + 1, min(s + WINDOW, len(lines)), "sliding", None) for s in range(0, max(1, len(lines) - OVERLAP), WINDOW - OVERLAP)]
-                out += [(k, a, z, kind, name, "\n".join(lines[a - 1 : z])) for a, z, kind, name in cut]
+                out += [(k, a, z, kind, name, "\n".join(lines[a - 1 : z])) for a, z, kind, name in handler(p or "", t)]
             yield pd.DataFrame(out, columns=[key, "start_line", "end_line", "type", "name", "text"])
 
-    python = F.col(path).rlike(r"\.pyw?$")
-    rows = files.filter(F.col(text).isNotNull())
     kind = files.schema[key].dataType.simpleString()
-    cut = rows.filter(python).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, start_line INT, end_line INT, type STRING, name STRING, text STRING")
-    rest = sliding_chunks(rows.filter(~python), key, text).select(key, "start_line", "end_line", F.lit("sliding").alias("type"), F.lit(None).cast("string").alias("name"), "text")
-    return cut.unionByName(rest)
+    rows = files.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(text).alias("t"))
+    return rows.mapInPandas(run, f"{key} {kind}, start_line INT, end_line INT, type STRING, name STRING, text STRING")
 
 
 def folder_hashes(files: DataFrame) -> DataFrame:
