@@ -23,12 +23,14 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("s2_definitions", "SELECT file_id, start_line, end_line, name FROM chunks WHERE type IN ('function', 'nested_function', 'method', 'class') AND file_id IN (SELECT file_id FROM source_files WHERE content IS NOT NULL)")
+CUT = "SELECT file_id FROM chunks WHERE type IN ('function', 'nested_function', 'method', 'class')"
+
+
+@query("s2_definitions", f"SELECT file_id, start_line, end_line, type, name, text FROM chunks WHERE type <> 'sliding' AND file_id IN ({CUT})")
 def s2_definitions(spark: SparkSession, folder: str) -> DataFrame:
-    # The chunk table tells which files were cut by definition.
+    # The chunk table tells which files were cut by definition; the others are minified or data.
     by = chunks_of(spark, folder).filter("type IN ('function', 'nested_function', 'method', 'class')").select("file_id").distinct()
-    files = table(spark, folder, "source_files").join(by, "file_id", "left_semi")
-    return C.definition_chunks(files, "file_id", "path", "content").filter("name IS NOT NULL").select("file_id", "start_line", "end_line", "name")
+    return C.definition_chunks(table(spark, folder, "source_files").join(by, "file_id", "left_semi"), "file_id", "path", "content")
 
 
 @query("s7_chunk_table", "SELECT chunk_id, buffer_id, file, text FROM chunks")

@@ -80,11 +80,12 @@ def _python_chunks(text: str) -> list[tuple[int, int, str, str | None]] | None:
 
 
 def _gaps(text: str, found: list) -> list[tuple[int, int, str, None]]:
-    """The lines outside of all definitions, as orphans, where they aren't blank."""
+    """The lines outside of all definitions, as orphans without blank lines at their ends, where they aren't blank."""
     lines, upto, gaps = text.split("\n"), 0, []
     for a, z, _, _ in [*sorted(found, key=lambda f: (f[0], -f[1])), (len(lines) + 1, 0, "", None)]:
-        if a > upto + 1 and "".join(lines[upto : a - 1]).strip():
-            gaps.append((upto + 1, a - 1, "orphan", None))
+        filled = [n for n in range(upto + 1, a) if lines[n - 1].strip()]
+        if filled:
+            gaps.append((filled[0], filled[-1], "orphan", None))
         upto = max(upto, z)
     return gaps
 
@@ -108,7 +109,7 @@ def cut_chunks(path: str, text: str, window: int = WINDOW, overlap: int = OVERLA
 def definition_chunks(files: DataFrame, key: str, path: str, text: str, handler=cut_chunks) -> DataFrame:
     """key, start_line, end_line, type, name, text: files by definition and gap where their language is known and they can be read, all others by sliding window.
 
-    ``handler`` (path, text) gives the (first line, last line, type, name) of a file's chunks, so that any chunker can be used.
+    A chunk's text has no byte order mark before it and no carriage return after it. ``handler`` (path, text) gives the (first line, last line, type, name) of a file's chunks, so that any chunker can be used.
     """
     import pandas as pd
 
@@ -117,7 +118,7 @@ def definition_chunks(files: DataFrame, key: str, path: str, text: str, handler=
             out = []
             for k, p, t in zip(b["k"], b["p"], b["t"], strict=True):
                 lines = t.split("\n")
-                out += [(k, a, z, kind, name, "\n".join(lines[a - 1 : z])) for a, z, kind, name in handler(p or "", t)]
+                out += [(k, a, z, kind, name, "\n".join(lines[a - 1 : z]).removesuffix("\r").removeprefix("\ufeff")) for a, z, kind, name in handler(p or "", t)]
             yield pd.DataFrame(out, columns=[key, "start_line", "end_line", "type", "name", "text"])
 
     kind = files.schema[key].dataType.simpleString()

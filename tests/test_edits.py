@@ -44,7 +44,10 @@ def test_embedding(spark):
 
 def test_permissions(spark):
     a = spark.createDataFrame([("write_code", "viewer"), ("write_code", "admin"), ("write_code", None), ("read", "guest")], "operation STRING, role STRING")
-    assert E.denied(a, {"write_code": "write"}).count() == 2
+    assert E.denied(a).count() == 2 and E.denied(a, {"read": "search"}).count() == 0
+    own = spark.createDataFrame([("commit", "agent", "u", "b"), ("commit", "agent", "v", "b"), ("commit", "admin", "v", "b"), ("search", "agent", "v", "b")], "operation STRING, role STRING, user_id STRING, buffer_id STRING")
+    assert [(r.operation, r.user_id) for r in E.denied(own, owners=spark.createDataFrame([("b", "u")], "buffer_id STRING, owner STRING")).collect()] == [("commit", "v")]
+    assert {r.chunk_id for r in E.profiled(spark.createDataFrame([(1, "a.py", 1, 5, "assertion", 1.0), (2, "tests/a.py", 1, 100, "x", 1.0)], "chunk_id BIGINT, file STRING, start_line INT, end_line INT, type STRING, score DOUBLE")).filter("profile = 'debugger' AND priority = 1.5").collect()} == {1}
 
 
 def test_similar_vectors_keeps_every_link(spark, tmp_path):

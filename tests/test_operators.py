@@ -81,11 +81,35 @@ def test_vector_search_ties_and_recall(spark, folder):
     assert exact == {(r.qid, r.id) for r in S.vector_search(v, "vec_id", "embedding", q, 10).collect()}
     index, centres = S.inverted_file(v, "vec_id", "embedding", 16)
     assert index.count() == v.count()
-    near = {(r.qid, r.id) for r in S.inverted_file_search(index, centres, q, 10, 12).collect()}
-    assert len(near & exact) >= 0.9 * len(exact)
+    probe = S.calibrated_probe(index, centres, v, "vec_id", "embedding", q, 10, 0.9)
+    near = {(r.qid, r.id) for r in S.inverted_file_search(index, centres, q, 10, probe).collect()}
+    assert len(near & exact) >= 0.9 * len(exact) and 1 <= probe <= 16
     assert S.vector_search(v, "vec_id", "embedding", q.limit(0), 3).count() == 0
 
 
+def test_top_scores_in_parts():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.standard_normal((7, 500)), 1)  # many ties
+    ids = rng.permutation(500)
+    best = S.TopScores(7, 9)
+    for at in range(0, 500, 33):
+        best.add(scores[:, at : at + 33], ids[at : at + 33])
+    got = [[(int(i), float(s)) for q, i, s in zip(*best.held, strict=True) if q == k] for k in range(7)]
+    assert got == [[(int(i), float(s)) for s, i in sorted(((-x, i) for x, i in zip(row, ids, strict=True)))[:9] for s in [-s]] for row in scores]
+
+
+def test_buckets_and_cache(spark):
+    hits = spark.createDataFrame([(1, i, x) for i, x in enumerate((0.99, 0.97, 0.8, 0.78, 0.5))], "qid BIGINT, id BIGINT, score DOUBLE")
+    assert {r.id: r.bucket for r in S.score_buckets(hits, 0.95).collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}
+    assert {r.bucket: r.advice for r in S.bucket_facts(S.score_buckets(hits, 0.95), 0.95).collect()} == {1: "create_helper", 2: "create_helper", 3: "review_individually"}
+    row = "buffer_id STRING, query STRING, v ARRAY<FLOAT>"
+    cache = spark.createDataFrame([(1, "b", "Load file", [1.0, 0.0]), (2, "c", "Load file", [1.0, 0.0])], "cached BIGINT, " + row)
+    asked = spark.createDataFrame([(1, "b", " load FILE", [0.0, 1.0]), (2, "b", "read", [1.0, 0.01]), (3, "b", "x", [0.0, 1.0])], "id BIGINT, " + row)
+    assert {r.id: (r.kind, r.hit) for r in S.cached_queries(cache, asked).collect()} == {1: ("exact", 1), 2: ("similar", 1), 3: ("miss", None)}
+
+
 def test_matches_span_lines(spark):
     c = chunks(spark, (1, "a.py", 10, "function", "f", "x = 1\nreturn\n  y\nreturn z", None))
     assert [(r.line, r.n) for r in S.matches(c, r"return\s+\w+").orderBy("n").collect()] == [(11, 0), (13, 1)]
@@ -162,7 +186,7 @@ def test_graph(spark):
 def test_states_and_differences(spark):
     log = spark.createDataFrame([("b", 1, "ready"), ("b", 2, "dirty"), ("b", 3, "rebuilding"), ("b", 4, "dirty")], "buffer_id STRING, seq INT, state STRING")
     assert [(r.before, r.state) for r in H.invalid_transitions(log).collect()] == [("rebuilding", "dirty")]
-    v = lambda *x: spark.createDataFrame(list(x), "path STRING, hash STRING")
+    v = lambda *x: spark.createDataFrame([("b", *y) for y in x], "buffer_id STRING, path STRING, hash STRING")
     got = {r.path: r.state for r in H.conflicts(v(("a", "1"), ("b", "2"), ("c", "3")), v(("a", "1"), ("b", "1"), ("c", "1")), v(("a", "9"), ("b", "1"), ("c", "4"))).collect()}
     assert got == {"a": "buffer", "b": "disk", "c": "conflict"}
     f = lambda t: spark.createDataFrame([("p", t)], "path STRING, content STRING")
@@ -174,6 +198,66 @@ def test_states_and_differences(spark):
     assert "+x" in H.unified_diffs(old, new, "k", "t").first().diff
 
 
+def test_redo_and_test_runs(spark):
+    log = spark.createDataFrame([("b", i, a) for i, a in enumerate(("edit", "edit", "undo", "undo", "undo", "redo", "edit", "redo"))] + [(None, 1, "edit")], "branch STRING, seq INT, action STRING")
+    assert [(r.branch, r.undoable, r.redoable) for r in H.redo_stacks(log).collect()] == [("b", 2, 0)]
+    runs = spark.createDataFrame([("a", "FAILED tests/x.py::t - E\n=== 3 passed, 1 failed, 2 skipped in 0.05s"), ("b", ""), ("c", None)], "run STRING, output STRING")
+    assert {r.run: (r.passed, r.failed, r.skipped, r.total, r.failures) for r in H.test_run_summary(runs).collect()} == {"a": (3, 1, 2, 6, "tests/x.py::t"), "b": (0, 0, 0, 0, "")}
+
+
+def test_signatures_against_the_parser(spark, folder):
+    import ast
+    import textwrap
+
+    from chunkwright.operators.interfaces import parsed_signatures
+
+    odd = ["def f(a: Dict[str, List[int]] = {'x': (1, 2)}, *args, b='a,b)', **kw) -> Tuple[int, str]:\n    pass", "async def g(self,\n    x: int = 3,  # note, with a comma\n):\n    def h(q): return q", "def broken(a, b", "class A:\n    def m(cls, *, key=lambda x: x): pass"]
+    seen = 0
+    for text in odd + [r.text for r in spark.read.parquet(f"{folder}/chunks.parquet").filter("lower(trim(language)) = 'python' AND text IS NOT NULL").select("text").collect()]:
+        try:
+            tree = ast.parse(textwrap.dedent(text))
+        except (SyntaxError, ValueError):
+            continue
+        wanted = []
+        for node in ast.walk(tree):
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+                a = node.args
+                names = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])] if x.arg not in ("self", "cls")]
+                wanted.append((node.name, names, isinstance(node, ast.AsyncFunctionDef)))
+        got = [(n, [p[0] for p in ps], is_async) for n, ps, _, is_async in parsed_signatures(text)]
+        assert all(w in got for w in wanted)  # definitions written in a string are found as well
+        seen += len(wanted)
+    assert seen > 50
+    assert parsed_signatures(odd[0])[0][1][0] == ("a", "Dict[str, List[int]]", "{'x': (1, 2)}") and parsed_signatures(odd[0])[0][2] == "Tuple[int, str]"
+
+
+def test_names_mean_something_in_their_buffer_only(spark):
+    c = chunks(spark, (1, "a.py", 1, "function", "f", "def f():\n    g()", None), (2, "a.py", 5, "function", "g", "def g(): pass", None), (3, "a.py", 1, "function", "g", "def g(): pass", None), (4, "t/test_x.py", 1, "function", "t", "g()", ["a"]))
+    c = c.withColumn("buffer_id", F.when(F.col("chunk_id") < 3, "x").otherwise("y"))
+    assert {(r.src, r.dst) for r in G.call_edges(c).collect()} == {(1, 2), (4, 3)}
+    assert {(r.buffer_id, r.symbol): r.callers for r in G.dead_code(c).collect()} == {("x", "f"): 0, ("x", "g"): 1, ("y", "g"): 1, ("y", "t"): 0}
+    assert {(r.buffer_id, r.file, r.target) for r in G.import_targets(c).collect()} == {("y", "t/test_x.py", "a.py")}
+    assert {(r.buffer_id, r.symbol): r.callers for r in G.impact(c, c.select("buffer_id", F.col("name").alias("symbol"))).collect()}[("x", "g")] == 1
+    assert sorted((r.buffer_id, r.chunks) for r in A.file_summary(c).collect()) == [("x", 2), ("y", 1), ("y", 1)]
+    assert {(r.buffer_id, r.symbol): (r.callers, r.tests) for r in G.full_context(c).collect()}[("y", "g")] == (0, "t/test_x.py")
+
+
+def test_brace_languages():
+    js = "import x from 'y';\n\nclass K {\n    run(a) { return \"}\"; }\n}\n\nconst f = (a) => {\n    if (a) { g(); }\n};\n"
+    assert C.cut_chunks("a.js", js) == [(1, 1, "orphan", None), (3, 5, "class", "K"), (4, 4, "method", "run"), (7, 9, "function", "f")]
+    go = "package p\n\n// func no() {\nfunc (s *S) Load(x interface{}) map[string]interface{} {\n    return nil\n}\n\ntype S struct {\n    a int\n}\n"
+    assert [x[2:] for x in C.cut_chunks("a.go", go) if x[3]] == [("method", "Load"), ("class", "S")]
+    java = "public class A {\n    public <T> List<T> find(Map<String, T> m) throws E {\n        return x(m);\n    }\n    private int n = call(1);\n}\n"
+    assert C.cut_chunks("A.java", java) == [(1, 6, "class", "A"), (2, 4, "method", "find")]
+    assert C.cut_chunks("a.js", "x = 1\n") == [(1, 2, "sliding", None)]
+
+
+def test_own_chunk_handler(spark):
+    files = spark.createDataFrame([(1, "a.txt", "x\ny")], "id BIGINT, path STRING, content STRING")
+    got = C.definition_chunks(files, "id", "path", "content", handler=lambda p, t: [(2, 2, "line", p)]).first()
+    assert (got.type, got["name"], got.text) == ("line", "a.txt", "y")
+
+
 def test_histogram_index(spark):
     rows = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 7)], "k STRING, v INT")
     got = {r.k: (r.p50, r.p95, r.p99) for r in H.histogram(rows, "k", "v").collect()}
