@@ -292,14 +292,14 @@ def text_runs(text: str) -> set[str]:
 
 
 def keyed_literals(literals: DataFrame) -> DataFrame:
-    """literal, body, run: each literal with the hash of the one of its runs that the fewest literals have.
+    """literal, body, run: each literal with the hash of the one of its runs that the fewest literals have, of those one of letters and digits together if there is one.
 
     Wherever a literal stands by itself in a text, all its runs are whole runs of the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(x, body, _hash(r), len(r)) for x, body in zip(b.column("literal").to_pylist(), b.column("body").to_pylist(), strict=True) for r in set(_alnum.findall(x))]
+            rows = [(x, body, _hash(r), len(r) - 1000 * (r.isalpha() or r.isdigit())) for x, body in zip(b.column("literal").to_pylist(), b.column("body").to_pylist(), strict=True) for r in set(_alnum.findall(x))]
             kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["literal", "body", "run", "size"])
 
