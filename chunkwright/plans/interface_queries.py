@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import interfaces as I
 from ..sources.tables import table
+from .edit_queries import EMBED
 from .graph_queries import CALL, LOOSE, chunks_of, impact_sql
 from .registry import query
-from .search_queries import ASKED, SCORED, TOKENS, bm25_chunks, top
+from .search_queries import ASKED, DOT, SCORED, TOKENS, bm25_chunks, top
 
 #: Common SQL: every definition of the chunks with its parameters; those of the data hold no strings or brackets but of types.
 SIG = r"""
@@ -45,7 +48,18 @@ def q20_callable_search(spark: SparkSession, folder: str) -> DataFrame:
     return I.type_search(I.signatures(chunks_of(spark, folder)), "Callable[[int, str], dict]")
 
 
-@query("r16_inferred_types")
+def again(name: str) -> str:
+    """The SQL of embeddings over the table ``name`` instead of the chunks, under names of its own."""
+    sql = EMBED.replace("FROM chunks", f"FROM {name}")
+    for x in ("tk", "ex", "pl", "nm", "emb"):
+        sql = re.sub(rf"\b{x}\b", f"{x}_{name}", sql)
+    return sql
+
+
+SIGNED = "ft AS (SELECT c.buffer_id, c.name AS symbol, c.chunk_id, s.name || '(' || array_to_string(list_transform(s.params, lambda x: x.name || coalesce(': ' || x.type, '')), ', ') || ')' || coalesce(' -> ' || s.returns, '') AS text, s.returns FROM chunks c JOIN sig s ON s.chunk_id = c.chunk_id AND s.n = 0 WHERE c.name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c.buffer_id, c.name ORDER BY c.chunk_id) = 1)"
+
+
+@query("r16_inferred_types", f"WITH {SIG}, {SIGNED}, {EMBED}, {again('ft')} SELECT ft.buffer_id, ft.symbol, ft.chunk_id, ft.text AS signature, ft.returns, round(({DOT.format(a='a.embedding', b='b.embedding')} + 1) / 2, 4) AS confidence FROM ft JOIN emb_ft a USING (chunk_id) JOIN emb b USING (chunk_id)")
 def r16_inferred_types(spark: SparkSession, folder: str) -> DataFrame:
     return I.inferred_types(chunks_of(spark, folder))
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..sources.code import definition_chunks
 
@@ -18,9 +18,11 @@ def watched_files(spark: SparkSession, folder: str, pattern: str = "*.py") -> Da
     return raw.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
 
 
-def keep_chunks(files: DataFrame, target: str, checkpoint: str, pause: str | None = None):
+def keep_chunks(files: DataFrame, target: str, checkpoint: str, pause: str | None = None, encode=None):
     """Write the chunks of a stream of files into ``target``, replacing those of files that come again.
 
+    With ``encode`` (rows, key, text), which gives key and embedding, chunks are embedded as they come; those that stay keep their embeddings.
+
     Chunks lie in partitions by a hash of the path; of those only the touched ones are read and written again. ``pause``
     is the time between batches, which gathers quick changes; without it what is there is taken once.
     """
@@ -28,6 +30,9 @@ def keep_chunks(files: DataFrame, target: str, checkpoint: str, pause: str | Non
     def upsert(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("path").agg(F.max_by("content", "mtime").alias("content"))
         new = definition_chunks(last, "path", "path", "content").withColumn("part", F.pmod(F.xxhash64("path"), F.lit(64)).cast("int"))
+        if encode is not None:
+            new = new.withColumn("chunk", F.xxhash64("path", "start_line", "end_line", "type", F.coalesce("name", F.lit(""))))
+            new = new.join(encode(new, "chunk", "text"), "chunk", "left").drop("chunk")
         spark = batch.sparkSession
         try:
             old = spark.read.parquet(target)
@@ -47,6 +52,49 @@ def keep_chunks(files: DataFrame, target: str, checkpoint: str, pause: str | Non
     return (out.trigger(processingTime=pause) if pause else out.trigger(availableNow=True)).start()
 
 
+def drop_deleted(spark: SparkSession, target: str, present: DataFrame) -> int:
+    """Take the chunks of files that aren't among ``present`` (path) any more out of ``target``; gives how many files went.
+
+    Only the partitions that hold chunks of such files are written again.
+    """
+    old = spark.read.parquet(target)
+    gone = old.select("path", "part").distinct().join(present.select("path").distinct(), "path", "left_anti")
+    parts = [r[0] for r in gone.select("part").distinct().collect()]  # 64 at most
+    n = gone.count()
+    if n:
+        staged = f"{target}-staged/deleted"
+        kept = old.filter(F.col("part").isin(parts)).join(gone.select("path"), "path", "left_anti").select(*old.columns)
+        kept.write.mode("overwrite").parquet(staged)
+        kept = spark.read.schema(old.schema).parquet(staged)
+        left = {r[0] for r in kept.select("part").distinct().collect()}
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(target)
+        jvm = spark._jvm.org.apache.hadoop.fs
+        for part in set(parts) - left:  # a partition that lost all its rows isn't overwritten by none
+            path = jvm.Path(f"{target}/part={part}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+class Progress(StreamingQueryListener):
+    """Tells ``told`` (phase, query, batch, rows) when a query begins, after each of its batches and when it ends."""
+
+    def __init__(self, told):
+        self.told = told
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.told("started", str(event.id), -1, 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.told("batch", str(p.id), p.batchId, p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.told("idle", str(event.id), -1, 0)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.told("failed" if event.exception else "ended", str(event.id), -1, 0)
+
+
 class TokenBucket(StatefulProcessor):
     """Per key a bucket of ``capacity`` tokens, refilled at ``rate`` a second of event time; a request takes one."""
 
