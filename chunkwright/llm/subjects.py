@@ -278,23 +278,23 @@ def truncated_svd(known: DataFrame, weights: np.ndarray, rank: int, passes: int)
     return q
 
 
-def embedded(b: pa.RecordBatch, basis: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Embeddings of unit length of the documents of a batch; documents without known words have zeros."""
+def embedded(b: pa.RecordBatch, places: np.ndarray) -> np.ndarray:
+    """Embeddings of unit length of the documents of a batch from the ``places`` of words; documents without known words have zeros."""
     doc, _, at = _flat(b)
-    return unit_length(_rows_sum(weights[at, None] * basis[at], doc, b.num_rows))
+    return unit_length(_rows_sum(places[at], doc, b.num_rows))
 
 
-def centroid_sums(known: DataFrame, basis: np.ndarray, weights: np.ndarray, groups: list[tuple[int, str]], centroids: np.ndarray | None) -> np.ndarray:
+def centroid_sums(known: DataFrame, places: np.ndarray, groups: list[tuple[int, str]], centroids: np.ndarray | None) -> np.ndarray:
     """Sums of embeddings by group; from labelled documents (with shares) if there are no centroids yet."""
-    held = known.sparkSession.sparkContext.broadcast((basis, weights, groups, centroids))
+    held = known.sparkSession.sparkContext.broadcast((places, groups, centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, weights, groups, centroids = held.value
-        out = np.zeros((len(groups), basis.shape[1]))
+        places, groups, centroids = held.value
+        out = np.zeros((len(groups), places.shape[1]))
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 b = batch.slice(k, 2000)
-                v = embedded(b, basis, weights)
+                v = embedded(b, places)
                 if centroids is None:
                     lang = np.array([x or "" for x in b.column("lang").to_pylist()])
                     shares = np.array(b.column("shares").to_pylist(), dtype=float).reshape(b.num_rows, -1)
@@ -304,36 +304,37 @@ def centroid_sums(known: DataFrame, basis: np.ndarray, weights: np.ndarray, grou
                 else:
                     near = v @ centroids.T
                     best = near.argmax(axis=1)
-                    sure = near[np.arange(len(v)), best] >= NEAR_DOCUMENT
-                    np.add.at(out, best[sure], v[sure])
+                    sure = np.nonzero(near[np.arange(len(v)), best] >= NEAR_DOCUMENT)[0]
+                    by = sure[np.argsort(best[sure], kind="stable")]
+                    out += _rows_sum(v[by], best[by], len(out))
         yield _slices(out)
 
-    return summed(known.mapInArrow(run, "slice INT, part BINARY"), (len(groups), basis.shape[1]))
+    return summed(known.mapInArrow(run, "slice INT, part BINARY"), (len(groups), places.shape[1]))
 
 
-def _counts(n: int, doc: np.ndarray, unit: np.ndarray, at: np.ndarray, basis: np.ndarray, weights: np.ndarray, of: np.ndarray, centroids: np.ndarray, areas: int) -> np.ndarray:
+def _counts(n: int, doc: np.ndarray, unit: np.ndarray, at: np.ndarray, places: np.ndarray, of: np.ndarray, centroids: np.ndarray, areas: int) -> np.ndarray:
     """How many units of each of ``n`` documents speak of each area."""
     counts = np.zeros((n, areas), dtype=np.int32)
     if len(at):
         edge = np.r_[True, (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1])]
         number = np.cumsum(edge) - 1
-        near = unit_length(_rows_sum(weights[at, None] * basis[at], number, number[-1] + 1)) @ centroids.T
+        near = unit_length(_rows_sum(places[at], number, number[-1] + 1)) @ centroids.T
         least = np.maximum(NEAR_UNIT, RIVAL * near.max(axis=1))
         for a in np.unique(of):
             counts[:, a] = np.bincount(doc[edge], near[:, of == a].max(axis=1) >= least, n)
     return counts
 
 
-def area_counts(known: DataFrame, basis: np.ndarray, weights: np.ndarray, groups: list[tuple[int, str]], centroids: np.ndarray, areas: int) -> DataFrame:
+def area_counts(known: DataFrame, places: np.ndarray, groups: list[tuple[int, str]], centroids: np.ndarray, areas: int) -> DataFrame:
     """doc_id, n_units, counts ARRAY<INT>: how many units of each document speak of each area."""
-    held = known.sparkSession.sparkContext.broadcast((basis, weights, np.array([g[0] for g in groups]), centroids))
+    held = known.sparkSession.sparkContext.broadcast((places, np.array([g[0] for g in groups]), centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, weights, of, centroids = held.value
+        places, of, centroids = held.value
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 b = batch.slice(k, 2000)
-                counts = _counts(b.num_rows, *_flat(b), basis, weights, of, centroids, areas)
+                counts = _counts(b.num_rows, *_flat(b), places, of, centroids, areas)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_units"), pa.array(list(counts), pa.list_(pa.int32()))], ["doc_id", "n_units", "counts"])
 
     return known.select("doc_id", "lang", "n_units", "unit", "at").mapInArrow(run, "doc_id BIGINT, n_units INT, counts ARRAY<INT>")
@@ -353,11 +354,11 @@ def assigned(held, areas: int, share: float):
     """The shares of a batch of units by what the centroids in the broadcast ``held`` assign: of each document equal parts of its areas."""
 
     def task():
-        words, basis, weights, of, centroids = held.value
+        words, places, of, centroids = held.value
 
         def read(b: pa.RecordBatch) -> np.ndarray:
             doc, unit, at, per_doc = _places(b, words)
-            counts = _counts(b.num_rows, doc, unit, at, basis, weights, of, centroids, areas)
+            counts = _counts(b.num_rows, doc, unit, at, places, of, centroids, areas)
             about = (counts > 0) & (counts >= share * per_doc[:, None])
             n = about.sum(axis=1, keepdims=True)
             return np.concatenate([about / np.maximum(n, 1), n == 0], axis=1)
@@ -385,25 +386,26 @@ def document_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, mo
         if not len(words):
             return spark.createDataFrame([], nothing)
         known = written(known_words(units, words), "known")
-        basis = truncated_svd(known, weights, RANK, PASSES)
+        # Where each word lies: its row of the basis times its weight.
+        places = (weights[:, None] * truncated_svd(known, weights, RANK, PASSES)).astype(np.float32)
         taught = written(known.join(shares, "doc_id"), "taught")
         langs = [r[0] for r in taught.groupBy("lang").count().filter("lang IS NOT NULL").orderBy(F.desc("count"), "lang").collect()]  # of labelled documents, two letters each
         groups = [(a, code) for a in range(len(names)) for code in langs]
-        centroids = centroid_sums(taught, basis, weights, groups, None)
+        centroids = centroid_sums(taught, places, groups, None)
         some = np.linalg.norm(centroids, axis=1) > 0.2
         groups, centroids = [g for g, ok in zip(groups, some, strict=True) if ok], unit_length(centroids[some])
         if not groups:
             return spark.createDataFrame([], nothing)
         for _ in range(REFINEMENTS):
-            total = centroid_sums(known, basis, weights, groups, centroids)
+            total = centroid_sums(known, places, groups, centroids.astype(np.float32))
             # A centroid keeps half of its seed's direction, so that none wanders off to another area.
             moved = np.linalg.norm(total, axis=1) > 0
             centroids[moved] = unit_length(centroids[moved] + unit_length(total[moved]))
         if turn + 1 < ROUNDS:  # what is assigned teaches the next round, over all documents
-            held = spark.sparkContext.broadcast((words, basis, weights, np.array([g[0] for g in groups]), centroids))
+            held = spark.sparkContext.broadcast((words, places, np.array([g[0] for g in groups]), centroids.astype(np.float32)))
             sums = word_sums(units, len(names), assigned(held, len(names), share))
         else:
-            out = written(area_counts(known, basis, weights, groups, centroids, len(names)).withColumn("about", about), "areas")
+            out = written(area_counts(known, places, groups, centroids.astype(np.float32), len(names)).withColumn("about", about), "areas")
     return out
 
 
