@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,46 +54,43 @@ SLICE = 256
 #: Words whose sums a task holds before it gives them out.
 HELD_WORDS = 1_000_000
 
-_unit = re.compile(r"(?<=[.!?;{}])\s+|\n+")
+_unit = re.compile(r"[.!?;{}]\s+|\n+")
 _run = re.compile(r"[^\W\d_]+")
 _hump = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
 
 
-def unit_words(text: str) -> list[list[str]]:
-    """Lower-case words of each unit of ``text`` that has any."""
-    out = []
-    for u in _unit.split(text):
-        words = []
-        for w in _run.findall(u):
-            if len(w) > 1:
-                words += [w.lower()] if w.islower() or w.isupper() or w[1:].islower() else [p.lower() for p in _hump.sub(" ", w).split()]
-        if words:
-            out.append(words)
-    return out
+class WordHashes(dict):
+    """Runs of letters with the hashes of their lower-case words, each worked out once: names in code give their parts."""
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        words = () if len(run) < 2 else (run.lower(),) if run.islower() or run.isupper() or run[1:].islower() else tuple(p.lower() for p in _hump.sub(" ", run).split())
+        found = self[run] = tuple(xxhash.xxh64_intdigest(w) - (1 << 63) for w in words)
+        return found
+
+
+def unit_hashes(text: str, known: WordHashes) -> list[set[int]]:
+    """The distinct words, as hashes, of each unit of ``text`` that has any."""
+    each = (set(chain.from_iterable(map(known.__getitem__, _run.findall(u)))) for u in _unit.split(text))
+    return [u for u in each if u]
 
 
 def units_of(documents: DataFrame) -> DataFrame:
     """doc_id, lang, units ARRAY<INT> (words in each unit), words ARRAY<BIGINT>: the hashed words of each document."""
-    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-
-        def hashed(w: str) -> int:
-            h = known.get(w)
-            if h is None:
-                if len(known) > 1_000_000:
-                    known.clear()
-                h = known[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
-            return h
-
+        known = WordHashes()
         for b in batches:
-            sizes, words = [], []
-            for t in b.column("text").to_pylist():
-                own = unit_words(t) if t else []
-                sizes.append([len(set(u)) for u in own])
-                words.append([hashed(w) for u in own for w in dict.fromkeys(u)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(sizes, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "lang", "units", "words"])
+            own = [unit_hashes(t, known) if t else [] for t in b.column("text").to_pylist()]
+            per_doc = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            sizes = np.array([len(u) for units in own for u in units], dtype=np.int32)
+            at = np.r_[0, np.cumsum(sizes)][per_doc].astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(chain.from_iterable(own)), dtype=np.int64, count=int(at[-1]))
+            lists = [pa.ListArray.from_arrays(per_doc, pa.array(sizes)), pa.ListArray.from_arrays(at, pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *lists], ["doc_id", "lang", "units", "words"])
 
     rows = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.substring(F.lower(F.trim("lang")), 1, 2).alias("lang"), "text")
     return rows.mapInArrow(run, "doc_id BIGINT, lang STRING, units ARRAY<INT>, words ARRAY<BIGINT>")
