@@ -10,24 +10,71 @@ from pyspark.sql import functions as F
 
 # --- fixed values: names that the operators must agree on --------------------------------------------------------
 LANGUAGE_BY_EXTENSION = {
-    "python": "py pyw", "javascript": "js jsx mjs cjs", "typescript": "ts tsx", "java": "java", "c": "c h", "cpp": "cpp cxx cc hpp", "rust": "rs", "go": "go", "ruby": "rb erb", "php": "php",
-    "csharp": "cs", "swift": "swift", "kotlin": "kt kts", "scala": "scala sc", "r": "r", "objective_c": "m", "objective_cpp": "mm", "bash": "sh bash zsh", "powershell": "ps1", "perl": "pl pm", "lua": "lua",
-    "sql": "sql", "html": "html htm", "xml": "xml", "css": "css less", "scss": "scss sass", "json": "json", "yaml": "yaml yml", "toml": "toml", "ini": "ini cfg", "markdown": "md rst",
-    "dockerfile": "dockerfile", "makefile": "makefile mk", "cmake": "cmake", "dart": "dart", "elm": "elm", "elixir": "ex exs", "erlang": "erl hrl", "fsharp": "fs fsx fsi", "groovy": "groovy gradle",
-    "julia": "jl", "nim": "nim", "ocaml": "ml mli", "pascal": "pas pp", "tcl": "tcl", "hcl": "tf hcl", "verilog": "v", "systemverilog": "sv", "vhdl": "vhd vhdl",
-}
+    "python": ["py", "pyw"],
+    "javascript": ["js", "jsx", "mjs", "cjs"],
+    "typescript": ["ts", "tsx"],
+    "java": ["java"],
+    "c": ["c", "h"],
+    "cpp": ["cpp", "cxx", "cc", "hpp"],
+    "rust": ["rs"],
+    "go": ["go"],
+    "ruby": ["rb", "erb"],
+    "php": ["php"],
+    "csharp": ["cs"],
+    "swift": ["swift"],
+    "kotlin": ["kt", "kts"],
+    "scala": ["scala", "sc"],
+    "r": ["r"],
+    "objective_c": ["m"],
+    "objective_cpp": ["mm"],
+    "bash": ["sh", "bash", "zsh"],
+    "powershell": ["ps1"],
+    "perl": ["pl", "pm"],
+    "lua": ["lua"],
+    "sql": ["sql"],
+    "html": ["html", "htm"],
+    "xml": ["xml"],
+    "css": ["css", "less"],
+    "scss": ["scss", "sass"],
+    "json": ["json"],
+    "yaml": ["yaml", "yml"],
+    "toml": ["toml"],
+    "ini": ["ini", "cfg"],
+    "markdown": ["md", "rst"],
+    "dockerfile": ["dockerfile"],
+    "makefile": ["makefile", "mk"],
+    "cmake": ["cmake"],
+    "dart": ["dart"],
+    "elm": ["elm"],
+    "elixir": ["ex", "exs"],
+    "erlang": ["erl", "hrl"],
+    "fsharp": ["fs", "fsx", "fsi"],
+    "groovy": ["groovy", "gradle"],
+    "julia": ["jl"],
+    "nim": ["nim"],
+    "ocaml": ["ml", "mli"],
+    "pascal": ["pas", "pp"],
+    "tcl": ["tcl"],
+    "hcl": ["tf", "hcl"],
+    "verilog": ["v"],
+    "systemverilog": ["sv"],
+    "vhdl": ["vhd", "vhdl"],
+}
 LANGUAGE_ALIASES = {"py": "python", "js": "javascript", "ts": "typescript", "c++": "cpp", "cxx": "cpp", "rs": "rust", "rb": "ruby", "cs": "csharp", "kt": "kotlin", "objc": "objective_c", "objcpp": "objective_cpp", "shell": "bash", "ps": "powershell", "docker": "dockerfile"}
 SHEBANGS = [("python", "python"), ("node", "javascript"), ("bash", "bash"), ("sh", "bash"), ("zsh", "bash"), ("ruby", "ruby"), ("perl", "perl"), ("php", "php"), ("lua", "lua"), ("rscript", "r")]
-CRITICAL_FILES = "main.py app.py api.py server.py __init__.py config.py settings.py middleware.py models.py schema.py urls.py router.py views.py controllers.py".split()
-CALL_KEYWORDS = "if while for switch catch assert".split()
+CRITICAL_FILES = [
+    "main.py", "app.py", "api.py", "server.py", "__init__.py", "config.py", "settings.py", "middleware.py", "models.py", "schema.py", "urls.py", "router.py",
+    "views.py", "controllers.py",
+]
+CALL_KEYWORDS = ["if", "while", "for", "switch", "catch", "assert"]
 INTENT_KEYWORDS = {
-    "feature_addition": "add|implement|create|new feature|support|enable|introduce|allow|build|develop",
-    "bug_fix": "fix|bug|error|crash|break|issue|fail|broken|not working|problem|wrong|incorrect",
-    "refactoring": "refactor|cleanup|reorganize|simplify|improve|restructure|rename|extract|consolidate|optimize|performance",
-    "documentation": "document|docstring|comment|example|explain|readme|guide|tutorial|api|help",
-    "testing": "test|unittest|coverage|mock|verify|assert|validate",
-    "optimization": "optimize|fast|speed|performance|efficient|memory|cache|reduce latency|throughput",
-    "cleanup": "cleanup|remove|delete|dead code|unused|deprecate|retire|decommission",
+    "feature_addition": ["add", "implement", "create", "new feature", "support", "enable", "introduce", "allow", "build", "develop"],
+    "bug_fix": ["fix", "bug", "error", "crash", "break", "issue", "fail", "broken", "not working", "problem", "wrong", "incorrect"],
+    "refactoring": ["refactor", "cleanup", "reorganize", "simplify", "improve", "restructure", "rename", "extract", "consolidate", "optimize", "performance"],
+    "documentation": ["document", "docstring", "comment", "example", "explain", "readme", "guide", "tutorial", "api", "help"],
+    "testing": ["test", "unittest", "coverage", "mock", "verify", "assert", "validate"],
+    "optimization": ["optimize", "fast", "speed", "performance", "efficient", "memory", "cache", "reduce latency", "throughput"],
+    "cleanup": ["cleanup", "remove", "delete", "dead code", "unused", "deprecate", "retire", "decommission"],
 }
 TEST_NAME_BY_LANGUAGE = {
     "python": r"^(test_.*\.py|.*_test\.py)$", "javascript": r"^.*\.(test|spec)\.(js|ts|jsx|tsx)$", "typescript": r"^.*\.(test|spec)\.(js|ts|jsx|tsx)$", "rust": r"^.*_test\.rs$", "go": r"^.*_test\.go$",
@@ -65,7 +112,7 @@ def base_name(path: Column) -> Column:
 def language_of(path: Column, hint: Column | None = None, first_line: Column | None = None) -> Column:
     """Language by hint, else by extension, special file name or shebang; null if none tells."""
     ext = F.lower(F.regexp_extract(base_name(path), r"(?<=.)\.([^.]+)$", 1))
-    table = F.create_map(*[F.lit(x) for lang, exts in LANGUAGE_BY_EXTENSION.items() for e in exts.split() for x in (e, lang)])
+    table = F.create_map(*[F.lit(x) for lang, exts in LANGUAGE_BY_EXTENSION.items() for e in exts for x in (e, lang)])
     name = F.lower(base_name(path))
     special = F.when(name.startswith("dockerfile"), "dockerfile").when(name.isin("makefile", "gnumakefile"), "makefile").when(name == "cmakelists.txt", "cmake")
     found = F.coalesce(F.try_element_at(table, ext), special)
@@ -176,7 +223,7 @@ def signature(text: Column) -> Column:
 def intent(text: Column) -> Column:
     """struct(category, confidence) by keywords; the first category of the most hits wins, none gives unknown at 0.3."""
     low = F.lower(text)
-    hits = F.array(*[F.struct(F.lit(name).alias("category"), F.size(F.filter(F.array(*[F.lit(k) for k in keys.split("|")]), lambda k: F.contains(low, k))).alias("n")) for name, keys in INTENT_KEYWORDS.items()])
+    hits = F.array(*[F.struct(F.lit(name).alias("category"), F.size(F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(low, k))).alias("n")) for name, keys in INTENT_KEYWORDS.items()])
     most = F.array_max(F.transform(hits, lambda h: h["n"]))
     best = F.filter(hits, lambda h: h["n"] == most)[0]
     return F.struct(F.when(most > 0, best["category"]).otherwise("unknown").alias("category"), F.when(most > 0, F.least(F.lit(0.95), F.lit(0.5) + best["n"] / 5)).otherwise(F.lit(0.3)).alias("confidence"))

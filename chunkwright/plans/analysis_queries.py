@@ -258,7 +258,7 @@ def t13_stripped(spark: SparkSession, folder: str) -> DataFrame:
     return chunks_of(spark, folder).filter("text IS NOT NULL").select("chunk_id", stripped(F.col("text")).alias("body"))
 
 
-@query("t16_intents", "WITH h AS (SELECT doc_id, [" + ", ".join("{'category': '%s', 'n': %s}" % (k, " + ".join(f"contains(lower(text), '{w}')::INT" for w in v.split("|"))) for k, v in T.INTENT_KEYWORDS.items()) + """] AS hits FROM documents WHERE text IS NOT NULL),
+@query("t16_intents", "WITH h AS (SELECT doc_id, [" + ", ".join("{'category': '%s', 'n': %s}" % (k, " + ".join(f"contains(lower(text), '{w}')::INT" for w in v)) for k, v in T.INTENT_KEYWORDS.items()) + """] AS hits FROM documents WHERE text IS NOT NULL),
     b AS (SELECT doc_id, hits, list_max(list_transform(hits, lambda x: x.n)) AS n FROM h) SELECT doc_id, CASE WHEN n > 0 THEN list_filter(hits, lambda x: x.n = list_max(list_transform(hits, lambda y: y.n)))[1].category ELSE 'unknown' END AS category, CASE WHEN n > 0 THEN least(0.95, 0.5 + n / 5.0) ELSE 0.3 END::DOUBLE AS confidence FROM b""")
 def t16_intents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", T.intent(F.col("text")).alias("i")).select("doc_id", "i.category", "i.confidence")
@@ -282,6 +282,6 @@ def pred3_pred4_files(spark: SparkSession, folder: str) -> DataFrame:
     return chunks_of(spark, folder).select("file").distinct().select("file", T.is_test_file(c).alias("packing"), T.is_test_file_impact(c).alias("impact"), T.is_test_file_loose(c).alias("loose"), T.is_critical_file(c).alias("critical"))
 
 
-@query("s6_languages", "WITH e AS (SELECT file_id, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS x FROM source_files) SELECT file_id, CASE x " + " ".join(f"WHEN '{e}' THEN '{lang}'" for lang, exts in T.LANGUAGE_BY_EXTENSION.items() for e in exts.split()) + " END AS language FROM e")
+@query("s6_languages", "WITH e AS (SELECT file_id, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS x FROM source_files) SELECT file_id, CASE x " + " ".join(f"WHEN '{e}' THEN '{lang}'" for lang, exts in T.LANGUAGE_BY_EXTENSION.items() for e in exts) + " END AS language FROM e")
 def s6_languages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "source_files").select("file_id", T.language_of(F.col("path")).alias("language"))
