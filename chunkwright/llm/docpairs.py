@@ -19,16 +19,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.lex import LEXERS as BRACE_LEXERS
+from ..functions.lex import NOT_NAMES as KEYWORDS
+from ..functions.lex import lexed, matched_braces
+
 SUFFIX = {"py": "python", "pyi": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "javascript", "tsx": "javascript", "java": "java", "go": "go"}
 LEAST_WORDS = 4
 
-_block, _line = r"/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)", r"//[^\n]*"
 _dq, _sq = r"\"(?:\\.|[^\"\\\n])*(?:\"|(?=\n)|\Z)", r"'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)"
 LEXERS = {
     "python": re.compile(rf"(?P<c>#[^\n]*)|(?P<s>(?<![\w])[rRbBuUfF]{{0,2}}(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z)|{_dq}|{_sq}))", re.S),
-    "javascript": re.compile(rf"(?P<c>{_block}|{_line})|(?P<s>{_dq}|{_sq}|`(?:\\.|[^`\\])*(?:`|\Z))|(?P<r>(?:[=(,:;!&|?{{}}\[+]|\breturn)[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)", re.S),
-    "java": re.compile(rf"(?P<c>{_block}|{_line})|(?P<s>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|{_dq}|{_sq})", re.S),
-    "go": re.compile(rf"(?P<c>{_block}|{_line})|(?P<s>{_dq}|{_sq}|`[^`]*(?:`|\Z))", re.S),
+    **BRACE_LEXERS,
 }
 _args = r"\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)"
 _fn = rf"(?:async\b\s*+)?(?:function\b|(?:<[^<>()]*+>)?{_args}\s*+(?::[^=;{{}}\n]++)?=>|[\w$]++\s*+=>)"
@@ -46,8 +47,8 @@ DEFINITIONS = {
     "go": [re.compile(r"func\b[ \t]*+(?:\([^()]*+\)[ \t]*+)?([A-Za-z_]\w*)[ \t]*+(?:\[[^\]\n]*+\][ \t]*+)?\(")],
 }
 _annotation = re.compile(rf"[ \t]*+@[\w.$]++[ \t]*+(?:{_args})?[ \t]*+(?:\r?\n|$)")
-NOT_NAMES = set("if for while switch catch function return new else throw do try await typeof with synchronized super this assert case in of instanceof void delete yield import".split())
-_java_not_type = set("return new else throw assert case await yield package import".split())
+NOT_NAMES = {*KEYWORDS, "import"}
+_java_not_type = {"return", "new", "else", "throw", "assert", "case", "await", "yield", "package", "import"}
 _word = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _parts = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+")
 _tag_line = re.compile(r"(?i)^\s*(?:@(?:param|arg|argument|returns?|throws|exception|type|typedef|template|yields?|raises?|see|since|author|version|deprecated|override|private|public|protected|async|static|inheritdoc|memberof|name|function|method|example|link|todo)\b.*|:(?:param|type|returns?|rtype|raises?|arg|keyword|var|ivar)\b.*)$")
@@ -61,22 +62,6 @@ STUB = re.compile(
 )
 
 
-def lexed(text: str, language: str) -> tuple[str, list[tuple[int, int, str]]]:
-    """The code of ``text`` with comments and strings blanked out in place, and their spans as (begin, end, c or s)."""
-    spans: list[tuple[int, int, str]] = []
-    out, at = [], 0
-    for m in LEXERS[language].finditer(text):
-        kind = m.lastgroup
-        begin = m.start() if kind != "r" else m.start() + m[0].index("/")
-        if kind != "r":
-            spans.append((begin, m.end(), kind))
-        body = text[begin : m.end()]
-        out += [text[at:begin], re.sub(r"[^\n]", " ", body) if "\n" in body else " " * len(body)]
-        at = m.end()
-    out.append(text[at:])
-    return "".join(out), spans
-
-
 def plain_doc(doc: str, language: str) -> str:
     """The text of a documentation comment or docstring without its marks."""
     if language == "python":
@@ -112,17 +97,6 @@ def trivial(doc: str, name: str) -> bool:
     return len(words - own) < LEAST_WORDS
 
 
-def _braces(code: str) -> dict[int, int]:
-    """Places of opening braces with those of their closing ones; unclosed ones end with the file."""
-    ends, stack = {}, []
-    for m in re.finditer(r"[{}]", code):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            ends[stack.pop()] = m.start()
-    return ends | {s: len(code) - 1 for s in stack}
-
-
 _signature = re.compile(r"[()\[\]{}:]|\n(?=[ \t]*(?:def|class|async|return|@)\b)")
 
 
@@ -146,7 +120,7 @@ def documented(text: str, language: str) -> list[tuple[str, int, int, str]]:
     """(name, line, last line, documentation) of each function or method of ``text`` that has any documentation."""
     if not any(x in text for x in (('"""', "'''", "def") if language == "python" else ("/**",) if language != "go" else ("//", "/*"))):
         return []
-    code, spans = lexed(text, language)
+    code, spans = lexed(text, language, LEXERS)
     starts = [0]
     starts += [m.end() for m in re.finditer(r"\n", text)]
     def line(at: int) -> int:
@@ -197,7 +171,7 @@ def documented(text: str, language: str) -> list[tuple[str, int, int, str]]:
             docs[line(s)] = "\n".join(text[a:b] for a, b in run)
     if not docs:
         return []
-    ends = _braces(code)
+    ends = matched_braces(code)
     for above in docs:
         if above >= len(starts):
             continue

@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: directories, names and notices ----------------------------------------------------------------
-VENDOR_DIRS = set("vendor vendors vendored node_modules bower_components jspm_packages third_party thirdparty third-party 3rdparty 3rd_party site-packages dist-packages godeps _workspace pods carthage extern externals deps_src web_modules".split())
-GENERATED_DIRS = set("gen generated __generated__ autogen auto_generated generated-sources generated_src genfiles gen-src _generated".split())
+VENDOR_DIRS = {
+    "vendor", "vendors", "vendored", "node_modules", "bower_components", "jspm_packages", "third_party", "thirdparty", "third-party", "3rdparty", "3rd_party",
+    "site-packages", "dist-packages", "godeps", "_workspace", "pods", "carthage", "extern", "externals", "deps_src", "web_modules",
+}
+GENERATED_DIRS = {"gen", "generated", "__generated__", "autogen", "auto_generated", "generated-sources", "generated_src", "genfiles", "gen-src", "_generated"}
 #: ``external/name-1.2`` is a copy of a release; ``external`` alone may be anything.
 VERSIONED = re.compile(r"(?i)(?:^|/)(?:external|ext|contrib|lib|libs|deps)/[\w.]+-v?\d+(?:\.\d+)+/")
 GENERATED_NAME = re.compile(

@@ -37,13 +37,14 @@ MAX_OWNERS = 20
 
 # --- fixed values: names, formats and placeholders ---------------------------------------------------------------
 #: Last words of the names of credentials, written together.
-NAME_ENDS = (
-    "password passwort passwd pwd passphrase passcode motdepasse contrasena contraseña kennwort senha parola secret token credential credentials "
-    "apikey accesskey signingkey encryptionkey privatekey secretkey authkey accountkey masterkey sharedkey deploykey servicekey hmackey sshkey clientkey "
-    "authorization proxyauth authheader basicauth httpauth adminpass dbpass userpass rootpass smtppass mypass pass"
-).split()
+NAME_ENDS = [
+    "password", "passwort", "passwd", "pwd", "passphrase", "passcode", "motdepasse", "contrasena", "contraseña", "kennwort", "senha", "parola", "secret", "token",
+    "credential", "credentials", "apikey", "accesskey", "signingkey", "encryptionkey", "privatekey", "secretkey", "authkey", "accountkey", "masterkey", "sharedkey",
+    "deploykey", "servicekey", "hmackey", "sshkey", "clientkey", "authorization", "proxyauth", "authheader", "basicauth", "httpauth", "adminpass", "dbpass",
+    "userpass", "rootpass", "smtppass", "mypass", "pass",
+]
 #: Names of ordinary things that end like a credential.
-NOT_NAMES = "publickey pubkey primarykey foreignkey pass bypass compass nexttoken pagetoken stoptoken unktoken padtoken csrftoken".split()
+NOT_NAMES = ["publickey", "pubkey", "primarykey", "foreignkey", "pass", "bypass", "compass", "nexttoken", "pagetoken", "stoptoken", "unktoken", "padtoken", "csrftoken"]
 #: Names whose values need no long or mixed form.
 PASSWORD_NAME = re.compile(r"(?:pass\w*|pwd|motdepasse|contrase\w*|kennwort|senha|parola)$")
 #: Formats of tokens that need no name beside them.
@@ -65,10 +66,12 @@ PLACEHOLDER = re.compile(
     r"|(?:os|process|system|config|settings|env|getenv|secrets|vault|self|this)[.(\[].*|none|null|nil|true|false|undefined|n/a|password|passwort|secret|token|user|admin|root|test\w*|default|empty|string|str)$"
 )
 #: A line is looked at where one of these stands in it, in lower case.
-KEYWORDS = (
-    "pass pwd kennwort contrase senha parola secret token key auth cred login log_in connect( signin sign_in bind( bearer basic :// curl account akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat- "
-    "xoxa- xoxb- xoxe- xoxp- xoxr- xoxs- sk_live sk_prod rk_live rk_prod sk- aiza ya29. hf_ npm_ pypi- sg. dop_v1_ eyj mot_de_passe motdepasse"
-).split()
+KEYWORDS = [
+    "pass", "pwd", "kennwort", "contrase", "senha", "parola", "secret", "token", "key", "auth", "cred", "login", "log_in", "connect(", "signin", "sign_in",
+    "bind(", "bearer", "basic", "://", "curl", "account", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat-", "xoxa-", "xoxb-",
+    "xoxe-", "xoxp-", "xoxr-", "xoxs-", "sk_live", "sk_prod", "rk_live", "rk_prod", "sk-", "aiza", "ya29.", "hf_", "npm_", "pypi-", "sg.", "dop_v1_", "eyj",
+    "mot_de_passe", "motdepasse",
+]
 NAMED = re.compile(r"(?:pass(?:w(?:or[dt]|d)|phrase|code)?|pwd|mot_?de_?passe|contrase[nñ]a|kennwort|senha|parola|secret|token|credentials?|key|authorization|auth(?:[_\-]?header)?)")
 # -----------------------------------------------------------------------------------------------------------------
 

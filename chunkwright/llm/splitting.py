@@ -3,8 +3,7 @@
 A hierarchy of separators is tried from coarse to fine: section (blank lines before a heading or definition), paragraph,
 line, sentence, word, character. A text is cut by the coarsest separator that helps and only parts that are still too
 large are cut by the next one; parts are then packed greedily up to the limit. Each piece after the first begins with
-the last ``overlap`` characters of the piece before it, moved forward to a boundary where there is one, so that
-overlap and limit both hold.
+exactly the last ``overlap`` characters of the piece before it; the cuts are at boundaries, the beginnings of overlaps needn't be.
 
 Defined results: lengths are in code points; a text within its limit is one piece, as it stands; null texts give no piece
 and empty ones one empty piece; a language that is null or not listed has the limits of ``default``; limits under 1
