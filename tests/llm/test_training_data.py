@@ -524,3 +524,24 @@ def test_subjects_held_out(spark):
     assert not {9000, 9001, 9002} & set(got)
     for empty in ((d.limit(0), areas, lab), (d, areas, lab.limit(0)), (d, areas.limit(0), lab)):
         assert subjects.subjects_found(*empty).count() == 0
+
+
+def test_common_lengths_are_ranked_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 20, "a") for i in range(400)] + [(1000 + i, "word " * 20, "b") for i in range(400)], "doc_id BIGINT, text STRING, source STRING")
+    targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 2), ("c", 0.0, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+    found = []
+    for ranked in (10_000, 7):
+        monkeypatch.setattr(mixing, "RANKED", ranked)
+        rows = mixing.mixed_documents(docs, targets).collect()
+        found.append({(r.source, r.repeats): sum(x.source == r.source and x.repeats == r.repeats for x in rows) for r in rows})
+    assert found == [{("a", 1): 200, ("b", 2): 200, ("b", 1): 200}] * 2
+    assert [r.source for r in mixing.short_sources(docs, targets.replace(2, 1, "max_repeats")).collect()] == ["b"]
+
+
+def test_more_languages_than_fifty(spark):
+    codes = [a + b for a in "abcdefgh" for b in "klmnopq"][:55]
+    docs = [(100 * k + i, " ".join(f"{code}{w}{x}" for w in "uvw" for x in "rst") + ".", code) for k, code in enumerate(codes) for i in range(24)]
+    labels = [(100 * k + i, ("law", "sport")[k % 2], "x") for k in range(len(codes)) for i in range(24)]
+    areas = spark.createDataFrame([("law", "", ""), ("sport", "", "")], "subject STRING, title STRING, description STRING")
+    got = {(r.doc_id, r.subject) for r in subjects.subjects_found(spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING"), areas, spark.createDataFrame(labels, "doc_id BIGINT, subject STRING, annotator STRING")).collect()}
+    assert {i // 100 for i, _ in got} == set(range(len(codes))) and got <= {(i, s) for i, s, _ in labels}
