@@ -104,15 +104,15 @@ def label_shares(labels: DataFrame, areas: list[str], most: int) -> DataFrame:
     return n.select("doc_id", F.array(*[F.array_contains("s", a).cast("double") / F.size("s") for a in [*areas, ""]]).alias("shares"))
 
 
-def _word_sums(flat: np.ndarray, doc: np.ndarray, shares: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_sums(flat: pa.Array, doc: np.ndarray, shares: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words, and of each the documents that hold it, those of them that are taught, and the sums of their shares."""
-    by = np.lexsort((doc, flat))
-    w, d = flat[by], doc[by]
-    once = np.r_[True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])] if len(w) else np.zeros(0, dtype=bool)
-    w, d = w[once], d[once]
+    coded = flat.dictionary_encode()  # by hashing; what is sorted then are small numbers
+    n = len(shares)
+    pair = np.unique(coded.indices.to_numpy().astype(np.int64) * n + doc)
+    w, d = pair // n, pair % n
     begin = np.nonzero(np.r_[True, w[1:] != w[:-1]])[0] if len(w) else np.zeros(0, dtype=np.int64)
-    facts = np.concatenate([np.ones((len(d), 1)), taught[d, None], shares[d]], axis=1)
-    return w[begin], (np.add.reduceat(facts, begin) if len(w) else np.zeros((0, shares.shape[1] + 2)))
+    facts = np.concatenate([np.ones((n, 1)), taught[:, None], shares], axis=1)
+    return coded.dictionary.to_numpy()[w[begin]], (np.add.reduceat(facts[d], begin) if len(w) else np.zeros((0, shares.shape[1] + 2)))
 
 
 def word_sums(units: DataFrame, areas: int, shares_of) -> DataFrame:
@@ -142,7 +142,7 @@ def word_sums(units: DataFrame, areas: int, shares_of) -> DataFrame:
                 taught = ~np.isnan(shares[:, 0])
                 shares = np.nan_to_num(shares)
                 n = np.diff(b.column("words").offsets.to_numpy())
-                held.append(_word_sums(b.column("words").flatten().to_numpy(), np.repeat(np.arange(b.num_rows), n), shares, taught))
+                held.append(_word_sums(b.column("words").flatten(), np.repeat(np.arange(b.num_rows), n), shares, taught))
                 total += np.r_[b.num_rows, taught.sum(), shares.sum(axis=0)]
                 rows += len(held[-1][0])
                 if rows > HELD_WORDS:
@@ -202,11 +202,15 @@ def _slices(m: np.ndarray) -> pa.RecordBatch:
 def _places(b: pa.RecordBatch, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, unit, place among ``vocabulary``) of each known word of a batch of units, and the number of units of each document."""
     sizes, per_doc = b.column("units").flatten().to_numpy(), np.diff(b.column("units").offsets.to_numpy())
-    flat = b.column("words").flatten().to_numpy()
+    coded = b.column("words").flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy()
+    # Each distinct word is looked up once.
+    known = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    known = np.where(vocabulary[known] == words, known, -1)
+    place = known[coded.indices.to_numpy()]
+    hit = np.nonzero(place >= 0)[0]
     # Units are numbered within their document.
     first = np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    place = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-    hit = np.nonzero(vocabulary[place] == flat)[0]
     unit = np.repeat(np.arange(len(sizes)), sizes)[hit]
     doc = np.repeat(np.arange(b.num_rows), per_doc)
     return doc[unit], unit - first[unit], place[hit], per_doc
