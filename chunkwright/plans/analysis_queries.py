@@ -169,9 +169,9 @@ def r8_cache_libraries(spark: SparkSession, folder: str) -> DataFrame:
     return A.cache_libraries(chunks_of(spark, folder))
 
 
-@query("r9_module_mutables", f"SELECT DISTINCT chunk_id, unnest(regexp_extract_all(text, '{A.MODULE_MUTABLE}', 1)) AS name FROM chunks WHERE type IN ('module', 'orphan') AND text IS NOT NULL")
+@query("r9_module_mutables", f"SELECT DISTINCT chunk_id, unnest(regexp_extract_all(text || chr(10) || 'CACHE = {{}}' || chr(10) || 'SEEN: list = []', '{A.MODULE_MUTABLE}', 1)) AS name FROM chunks WHERE type IN ('module', 'orphan') AND text IS NOT NULL")
 def r9_module_mutables(spark: SparkSession, folder: str) -> DataFrame:
-    return A.module_mutables(chunks_of(spark, folder))
+    return A.module_mutables(chunks_of(spark, folder).withColumn("text", F.concat("text", F.lit("\nCACHE = {}\nSEEN: list = []"))))
 
 
 @query("r12_unresolved_imports", "WITH e AS (SELECT DISTINCT buffer_id, chunk_id, file, unnest(imports) AS module FROM chunks), s AS (SELECT DISTINCT buffer_id, regexp_replace(regexp_extract(file, '[^/]*$'), '\\.[^.]*$', '') AS stem FROM chunks) SELECT e.* FROM e WHERE module IS NOT NULL AND split_part(module, '.', 1) NOT IN (" + ", ".join(f"'{m}'" for m in A.KNOWN_MODULES) + ") AND NOT EXISTS (SELECT 1 FROM s WHERE s.buffer_id = e.buffer_id AND s.stem = split_part(e.module, '.', 1))")

@@ -127,13 +127,16 @@ def g10_branches(spark: SparkSession, folder: str) -> DataFrame:
     return G.branches(chunks_of(spark, folder).filter("lower(trim(language)) = 'python'"))
 
 
-FILE_EDGES = "fe AS (SELECT buffer_id || '/' || file AS src, buffer_id || '/' || target AS dst FROM targets)"
+#: Few imports of the data can be resolved, so edges between customers' numbers and nations stand beside those of files.
+FILE_EDGES = "fe AS (SELECT buffer_id || '/' || file AS src, buffer_id || '/' || target AS dst FROM targets UNION SELECT 'c' || (c_custkey % 60), 'c' || c_nationkey FROM customer WHERE c_acctbal > 9000 AND c_custkey % 60 <> c_nationkey)"
 
 
 @query("g7_cycles", f"""WITH RECURSIVE {IMPORTS}, {FILE_EDGES}, walk AS (SELECT [src, dst] AS p, false AS closed FROM fe WHERE dst > src UNION SELECT CASE WHEN e.dst = w.p[1] THEN w.p ELSE list_append(w.p, e.dst) END, e.dst = w.p[1] FROM walk w JOIN fe e ON w.p[-1] = e.src WHERE NOT w.closed AND len(w.p) <= 3 AND (e.dst = w.p[1] OR (len(w.p) < 3 AND e.dst > w.p[1] AND NOT list_contains(w.p, e.dst)))) SELECT DISTINCT array_to_string(p, ' > ') AS cycle FROM walk WHERE closed""")
 def g7_cycles(spark: SparkSession, folder: str) -> DataFrame:
     t = G.import_targets(chunks_of(spark, folder))
-    return G.cycles(t.select(F.concat_ws("/", "buffer_id", "file").alias("src"), F.concat_ws("/", "buffer_id", "target").alias("dst")), 3)
+    number = F.col("c_custkey") % 60
+    more = table(spark, folder, "customer").filter("c_acctbal > 9000").select(F.concat(F.lit("c"), number).alias("src"), F.concat(F.lit("c"), "c_nationkey").alias("dst"))
+    return G.cycles(t.select(F.concat_ws("/", "buffer_id", "file").alias("src"), F.concat_ws("/", "buffer_id", "target").alias("dst")).unionByName(more), 3)
 
 
 @query("g5_call_chain", """WITH RECURSIVE e AS (SELECT DISTINCT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),

@@ -92,12 +92,17 @@ def r13_interface_changes(spark: SparkSession, folder: str) -> DataFrame:
     return I.interface_changes(old, new)
 
 
-@query("r17_error_contexts", r"""WITH e AS (SELECT buffer_id, chunk_id, file, start_line, text, regexp_extract_all(text, '(?s)(.*?try:[ \t\r]*\n.*?\bexcept\b)', 1) AS p FROM chunks WHERE regexp_matches(text, '(?s)try:[ \t\r]*\n.*?\bexcept\b')),
+#: The data have no try blocks, so each chunk gets one that names it.
+TRIED = "tried AS (SELECT * REPLACE (text || chr(10) || 'try:' || chr(10) || '    ' || coalesce(name, 'x') || '()' || chr(10) || 'except E:' || chr(10) || '    pass' AS text) FROM chunks)"
+
+
+@query("r17_error_contexts", f"WITH {TRIED}, " + r"""e AS (SELECT buffer_id, chunk_id, file, start_line, text, regexp_extract_all(text, '(?s)(.*?try:[ \t\r]*\n.*?\bexcept\b)', 1) AS p FROM tried WHERE regexp_matches(text, '(?s)try:[ \t\r]*\n.*?\bexcept\b')),
     o AS (SELECT *, unnest(range(1, len(p) + 1)) AS n FROM e), q AS (SELECT buffer_id, file, start_line, p[n] AS piece, array_to_string(p[1:n - 1], '') AS upto FROM o),
     b AS (SELECT buffer_id, file, (start_line + length(upto || split_part(piece, 'try:', 1)) - length(replace(upto || split_part(piece, 'try:', 1), chr(10), '')))::INT AS line, regexp_extract(piece, '(?s)try:[ \t\r]*\n(.*?)\bexcept\b', 1) AS body FROM q)
     SELECT DISTINCT b.buffer_id, d.symbol, b.file, b.line, substr(regexp_replace(b.body, '^\s+|\s+$', '', 'g'), 1, 200) AS context FROM b JOIN (SELECT DISTINCT buffer_id, name AS symbol FROM chunks WHERE name IS NOT NULL) d ON b.buffer_id = d.buffer_id AND list_contains(regexp_extract_all(b.body, '[A-Za-z_$][A-Za-z0-9_$]*'), d.symbol)""")
 def r17_error_contexts(spark: SparkSession, folder: str) -> DataFrame:
-    return G.error_contexts(chunks_of(spark, folder)).distinct()
+    c = chunks_of(spark, folder)
+    return G.error_contexts(c.withColumn("text", F.concat("text", F.lit("\ntry:\n    "), F.coalesce("name", F.lit("x")), F.lit("()\nexcept E:\n    pass")))).distinct()
 
 
 @query("r15_change_template", impact_sql("SELECT buffer_id, symbol FROM defs").replace("WITH RECURSIVE", f"WITH RECURSIVE {TOKENS.strip().replace('df AS', 'dfs AS')}, {ASKED.strip()}, {SCORED.strip().replace('JOIN df d', 'JOIN dfs d')},", 1).rsplit("SELECT *, CASE WHEN risk", 1)[0] + f""", hits AS (SELECT * FROM {top('scored', 10)}), f1 AS (SELECT h.qid, c.buffer_id, c.file, min(h.rank) AS rank FROM hits h JOIN chunks c ON c.chunk_id = h.id GROUP BY ALL),
