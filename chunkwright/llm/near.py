@@ -10,7 +10,7 @@ No pair of different records at or over the threshold is lost:
   similarity t or more must share a run among the first ``n - ceil(t * n) + 1`` of each. Those of them that the
   sketch doesn't prove to be of one record only are the block keys of a class. The order only has to be the same
   everywhere and estimates are never too low, so any size of sketch will do; it is taken from the measured length of the
-  texts, up to 32 MB. Beyond about 4 million runs per MB of it, fewer keys are dropped and more rows are exchanged.
+  texts, up to 32 MB. From about a million runs per MB of it on, fewer keys are dropped and more rows are exchanged.
 * Tiles: within a block the classes are compared by numpy exclusive-or and bit counts of parity sketches (bit
   ``h mod BITS`` flips with each run), whose distance never exceeds the symmetric difference of the sets. At
   similarity t or more that difference is at most ``(1 - t) / (1 + t) * (|A| + |B|)``, the radius. Rows are sorted by set

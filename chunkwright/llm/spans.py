@@ -16,7 +16,7 @@ Records with equal text form a class (128 bits of hash), of which one stands for
   anchors go through a second sketch, and those estimated as repeated are grouped exactly by hash; a window met
   in two files is shared, and what such windows cover is the share of their record.
 
-A sketch's size is taken from the number of hashes it has to hold, up to 32 MB; beyond about 4 million of them per MB,
+A sketch's size is taken from the number of hashes it has to hold, up to 32 MB; from about a million of them per MB on,
 fewer are dropped and more are exchanged, with the same result.
 
 Defined results: null and empty texts share nothing; repeated rows of one id count once; ids without a file
