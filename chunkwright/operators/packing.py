@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import runs as R
 from ..functions import text as T
 from ..sources.tables import written
 from .graph import buffered, file_evidence
@@ -153,17 +154,84 @@ def duplicates(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:
     return out.select(F.least("ka", "kb").alias("chunk_a"), F.greatest("ka", "kb").alias("chunk_b"), F.round("sim", 4).alias("similarity"))
 
 
+def run_sets(rows: DataFrame, key: str, text: str, n: int, threshold: float = 0, known: tuple | None = None) -> DataFrame:
+    """``key``, c, n, s: the distinct runs of ``n`` words of each text that has some, as hashes; rows of one c have the same s and n.
+
+    With the filter ``known`` (a broadcast and its bits), s keeps only runs that it may hold, and texts are left out whose s
+    is under ``threshold`` of their n runs.
+    """
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            counts, h = R.distinct_runs(b.column(1), n)
+            size, least = counts, np.ones(len(counts))
+            if known:
+                hit = R.may_hold(known[0].value, h, known[1])
+                own = np.repeat(np.arange(len(size)), size)
+                counts = np.bincount(own[hit], minlength=len(size))
+                least = np.maximum(1, np.ceil(threshold * size * (1 - 1e-9)))
+                h = h[hit & (counts >= least)[own]]
+            keep = counts >= least
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(size[keep], pa.int32()), R.list_array(counts[keep], h)], ["k", "n", "s"])
+
+    cutting = rows.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), text)
+    sets = cutting.mapInArrow(cut, f"k {cutting.schema['k'].dataType.simpleString()}, n INT, s ARRAY<BIGINT>")
+    return sets.select(F.col("k").alias(key), F.xxhash64("n", "s").alias("c"), "n", "s")
+
+
+def run_filter(sets: DataFrame) -> tuple:
+    """A filter of all runs in ``sets``, broadcast, and its bits; the driver holds 32 MB at most, whatever is in the sets."""
+    bits = R.filter_bits(sets.agg(F.sum(F.size("s"))).first()[0] or 0)
+    slices = bits - R.SLICE_BITS
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cells = np.zeros((1 << slices, 1 << R.SLICE_BITS - 3), dtype=np.uint8)
+        for b in batches:
+            R.put(cells.reshape(-1), b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+        used = np.flatnonzero(cells.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([cells[i].tobytes() for i in used], pa.binary())], ["slice", "cells"])
+
+    runs = sets.select(F.explode("s").alias("h")).repartition(min(64, 1 << slices), F.shiftrightunsigned("h", 64 - slices) if slices else F.lit(0))
+    cells = bytearray(1 << bits - 3)
+    for r in runs.mapInArrow(fill, "slice INT, cells BINARY").toLocalIterator():
+        cells[r["slice"] << R.SLICE_BITS - 3 : (r["slice"] + 1) << R.SLICE_BITS - 3] = r["cells"]
+    import numpy as np
+
+    return sets.sparkSession.sparkContext.broadcast(np.frombuffer(bytes(cells), dtype=np.uint8)), bits
+
+
 def similar_snippets(chunks: DataFrame, snippets: DataFrame, threshold: float = 0.7, n: int = 3) -> DataFrame:
-    """qid, id, score: the chunks whose runs of ``n`` words overlap with those of a snippet (qid, snippet) by ``threshold`` or more."""
-    def runs(rows: DataFrame, key: str, text: str, count: str) -> DataFrame:
-        w = rows.filter(F.col(text).isNotNull()).select(key, T.words(F.col(text)).alias("w")).filter(F.size("w") >= n)
-        return w.select(key, T.shingles(F.col("w"), n).alias("s")).select(key, F.size("s").alias(count), F.explode("s").alias("h"))
-
-    q = runs(snippets, "qid", "snippet", "nq")
-    d = runs(chunks.withColumnRenamed("chunk_id", "id"), "id", "text", "nd")
-    k = q.join(d, "h").groupBy("qid", "id", "nq", "nd").agg(F.count("*").alias("k"))
-    score = F.col("k") / (F.col("nq") + F.col("nd") - F.col("k"))
-    return k.filter(score >= threshold).select("qid", "id", F.round(score, 6).alias("score"))
+    """qid, id, score: the chunks whose runs of ``n`` words overlap with those of a snippet (qid, snippet) by ``threshold`` or more, exactly.
+
+    A chunk of which fewer than ``threshold`` of its runs may be in any snippet is left out when it is cut. Equal sets form a
+    class; only one of each is compared. With runs ordered from rare to frequent, similar sets share one of their first
+    n - ceil(threshold * n) + 1, so only those are joined on; the candidates, filtered by size, are then confirmed on the
+    whole sets. All joins merge: a size estimated before runs are exploded is far too small, and the driver would build a
+    broadcast of all of them.
+    """
+    asked = written(run_sets(snippets, "qid", "snippet", n), "snippets")
+    found = written(run_sets(chunks.withColumnRenamed("chunk_id", "id"), "id", "text", n, threshold, run_filter(asked)), "runs")
+    sets = asked.select(F.lit(True).alias("q"), "c", "n", "s").unionByName(found.select(F.lit(False).alias("q"), "c", "n", "s")).distinct()
+    each = sets.select("q", "c", "n", F.explode("s").alias("h"))
+    df = each.groupBy("h").agg(F.count("*").alias("df"), F.count_if("q").alias("dq")).filter("dq > 0 AND df > dq").select("h", "df")
+    least = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") * (1 - 1e-9)))
+    # o: the runs that both sides have, rare first; all others of a set count as rarer.
+    ordered = each.join(df.hint("merge"), "h").groupBy("q", "c", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("o"))
+    ordered = written(ordered.withColumn("k", F.size("o")).filter(F.col("k") >= least), "ordered")
+
+    prefix = ordered.select("q", "c", "n", "k", F.explode(F.slice("o", 1, (F.col("k") - least + 1).cast("int"))).alias("h"))
+    side = lambda rows, q, *names: rows.filter("q" if q else "NOT q").select(*[F.col(x).alias(x if x == "h" else x + "qd"[not q]) for x in names])
+    both = F.col("nq") + F.col("nd")
+    pairs = side(prefix, True, "h", "c", "n", "k").join(side(prefix, False, "h", "c", "n", "k").hint("merge"), "h").filter(F.least("kq", "kd") * (1 + threshold) >= threshold * both * (1 - 1e-9)).select("cq", "cd").distinct()
+    shared = pairs.join(side(ordered, False, "c", "n", "o").hint("merge"), "cd").join(side(ordered, True, "c", "n", "o").hint("merge"), "cq").withColumn("k", F.size(F.array_intersect("od", "oq")))
+    score = F.col("k") / (both - F.col("k"))
+    links = shared.filter((F.col("k") > 0) & (score >= threshold)).select("cq", "cd", F.round(score, 6).alias("score"))
+    return links.join(found.select("id", F.col("c").alias("cd")).hint("merge"), "cd").join(asked.select("qid", F.col("c").alias("cq")).hint("merge"), "cq").select("qid", "id", "score")
 
 
 def greedy_clusters(vectors: DataFrame, threshold: float = 0.75, ahead: int = 64) -> DataFrame:
